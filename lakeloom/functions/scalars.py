@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,11 +97,11 @@ def fill_default(c: Column | str, default) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """Right-most entry wins, like a chain of dictionary updates."""
-    merged = maps[0]
-    for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
-    return merged
+
+    def update(first: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(later, k)), later)
+
+    return reduce(update, maps)
 
 
 def zip_map(names: Column, values: Column) -> Column:

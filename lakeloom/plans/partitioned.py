@@ -202,10 +202,8 @@ def _(t):
     "partition_completeness",
     "G13",
     """WITH k AS (SELECT DISTINCT event_type AS base_id, user_id FROM events),
-            s AS (SELECT base_id, user_id, count(*) AS n FROM
-                    (SELECT event_type AS base_id, user_id, event_id FROM events) e
-                    JOIN v_log l ON l.id = e.event_id AND l.base_id = e.base_id
-                  WHERE status = 'success' AND attempts = 3 GROUP BY 1, 2)
+            s AS (SELECT event_type AS base_id, user_id, count(*) AS n FROM events
+                  WHERE event_id % 17 <> 0 AND 1 + event_id % 3 = 3 GROUP BY 1, 2)
        SELECT base_id, user_id, coalesce(n, 0) AS materializations,
               CASE WHEN coalesce(n, 0) = 0 THEN 'lost' WHEN n > 1 THEN 'duplicated' ELSE 'once' END
                 AS state FROM k LEFT JOIN s USING (base_id, user_id)""",

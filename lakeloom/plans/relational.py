@@ -14,6 +14,12 @@ from lakeloom.operators import transforms as P
 from lakeloom.plans.registry import query
 
 
+def sql_mean(column: str, digits: int) -> str:
+    """Mean of a four-decimal column rounded half up in integer arithmetic."""
+    total, unit = f"sum(({column}::DECIMAL(18,4) * 10000)::BIGINT)", 10 ** (4 - digits)
+    return f"((2 * {total} + {unit} * count(*)) // (2 * {unit} * count(*)))::DOUBLE / {10**digits}"
+
+
 def dbl(df, *columns):
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -226,10 +232,10 @@ def _(t):
     return J.left_join_default(counts, dim, "customer_id", "tier", "UNKNOWN")
 
 
-SQL_MASTER = """
+SQL_MASTER = f"""
     r AS (SELECT l_partkey AS shuttle_id, l_suppkey AS company_id,
-                 round(sum(l_quantity::DECIMAL(18,4)) / count(*), 4)::DOUBLE AS mean_score,
-                 round(sum(l_extendedprice::DECIMAL(18,4)) / count(*), 2)::DOUBLE AS mean_price
+                 {sql_mean('l_quantity', 4)} AS mean_score,
+                 {sql_mean('l_extendedprice', 2)} AS mean_price
           FROM lineitem GROUP BY 1, 2),
     s AS (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'STANDARD' THEN 2
                  WHEN 'PROMO' THEN 3 ELSE 0 END AS type_code,
@@ -459,9 +465,9 @@ def mart_summary(t):
 @query(
     "pair_means",
     "A5",
-    """SELECT l_partkey AS shuttle_id, l_suppkey AS company_id,
-              round(sum(l_quantity::DECIMAL(18,4)) / count(*), 4)::DOUBLE AS mean_score,
-              round(sum(l_extendedprice::DECIMAL(18,4)) / count(*), 2)::DOUBLE AS mean_price
+    f"""SELECT l_partkey AS shuttle_id, l_suppkey AS company_id,
+              {sql_mean('l_quantity', 4)} AS mean_score,
+              {sql_mean('l_extendedprice', 2)} AS mean_price
        FROM lineitem GROUP BY 1, 2""",
 )
 def _(t):

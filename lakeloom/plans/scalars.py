@@ -176,13 +176,13 @@ def _(t):
     "parse_int",
     "F16",
     """SELECT p_partkey, try_cast(substr(p_brand, 7) AS BIGINT) AS brand_no,
-              try_cast(substr(p_name, 2) AS BIGINT) AS name_no FROM part""",
+              coalesce(try_cast(substr(p_brand, 6) AS BIGINT), -1) AS bad_no FROM part""",
 )
 def _(t):
     return t.part.select(
         "p_partkey",
         S.parse_int("p_brand", 6).alias("brand_no"),
-        S.parse_int("p_name", 1).alias("name_no"),
+        S.fill_default(S.parse_int("p_brand", 5), -1).alias("bad_no"),
     )
 
 
