@@ -127,13 +127,13 @@ def asym_ewma(
     if initial is not None:
         top = top.union(initial.agg(F.max("estimate")))
     ceiling = F.coalesce(top.toDF("v").agg(F.max("v")).scalar(), F.lit(0.0))
-    folded = blocks.withColumns(
+    folded = blocks.withColumn("_top", ceiling).withColumns(
         {
             "_low": F.aggregate("_xs", F.lit(0.0), ewma_step),
-            "_high": F.aggregate("_xs", ceiling, ewma_step),
+            "_high": F.aggregate("_xs", F.col("_top"), ewma_step),
         }
     )
-    settled = F.col("_high") - F.col("_low") <= ceiling * 1e-15
+    settled = F.col("_high") - F.col("_low") <= F.col("_top") * 1e-15
     marks = folded.select(
         key,
         "_block",

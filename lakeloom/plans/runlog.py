@@ -206,7 +206,7 @@ def _(t):
 )
 def _(t):
     fires = t.events.select(
-        "event_type", (epoch_micros("ts").cast("decimal(20,6)") / 1_000_000).alias("at")
+        "event_type", (epoch_micros("ts").cast("decimal(20,0)") / 1_000_000).alias("at")
     )
     return R.trigger_lateness(fires, "event_type", "at")
 

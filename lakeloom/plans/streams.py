@@ -1 +1,189 @@
-"""Pending."""
+"""Sensors and refreshes run to the end of the available files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakeloom.operators import lineage as L
+from lakeloom.plans.registry import query
+from lakeloom.plans.runlog import SQL_EWMA
+from lakeloom.session import scratch_path
+from lakeloom.streaming import streams as S
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def in_time_order(t, columns=EVENT_COLUMNS, files: int = 4):
+    """Folder of event files, each covering a later range of ids than the one before.
+
+    File times follow the order of writing, which is the order streams read them in.
+    """
+    events = t.events.select(*columns)
+    folder = scratch_path(t.spark, "inbox")
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    step = top // files + 1
+    for i in range(files):
+        part = events.where(
+            (F.col("event_id") >= i * step) & (F.col("event_id") < (i + 1) * step)
+        )
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return folder, events.schema
+
+
+@query("sensor_file_stream", "ST1", "SELECT event_id, user_id, event_type, value FROM events")
+def _(t):
+    folder, schema = in_time_order(t)
+    rows = S.ingest_files(t.spark, folder, schema, max_files=1)
+    return rows.select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "observe_change",
+    "ST2",
+    """SELECT 'orders' AS sensor, poll, poll <> 1 AS update_detected, (SELECT count(*) FROM orders)
+         AS row_count FROM (VALUES (0), (1), (2)) v(poll)""",
+)
+def _(t):
+    """Three polls of the order table: first seen, unchanged, one price changed."""
+    folder = scratch_path(t.spark, "polls")
+    rows = t.orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    first = rows.agg(F.min("o_orderkey")).scalar()
+    bump = F.when(F.col("o_orderkey") == first, 1).otherwise(0)
+    changed = rows.withColumn("cents", F.col("cents") + bump)
+    for snapshot in (rows, rows, changed):
+        snapshot.coalesce(1).write.mode("append").parquet(folder)
+    stream = S.sensor_file_stream(t.spark, folder, rows.schema, max_files=1)
+    log = S.observation_log(t.spark, stream, "orders", ["o_orderkey", "cents"])
+    return log.select("sensor", F.col("poll").cast("int").alias("poll"), "update_detected", "row_count")
+
+
+@query(
+    "propagate_if_updated",
+    "ST3",
+    """WITH RECURSIVE a AS (SELECT o_custkey, count(*) AS n FROM orders
+                             WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY 1),
+            b AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+            u AS (SELECT o_custkey AS node_id FROM b LEFT JOIN a USING (o_custkey)
+                  WHERE a.n IS DISTINCT FROM b.n),
+            r AS (SELECT node_id FROM u
+                  UNION SELECT downstream FROM v_edges JOIN r ON upstream = node_id)
+       SELECT node_id FROM r""",
+)
+def _(t):
+    """One sensor per customer, polled before and after the last month of orders."""
+
+    def poll(orders, number):
+        return orders.groupBy(F.col("o_custkey").alias("sensor")).agg(
+            F.count(F.lit(1)).alias("digest")
+        ).withColumn("poll", F.lit(number))
+
+    before = poll(t.orders.where(F.expr("o_orderdate < TIMESTAMP_NTZ '2001-07-01 00:00:00'")), 0)
+    after = poll(t.orders, 1)
+    last = before.select("sensor", F.col("digest").alias("last"))
+    observed = after.join(last, "sensor", "left").select(
+        "sensor", "poll", (~F.col("digest").eqNullSafe(F.col("last"))).alias("update_detected")
+    )
+    first = before.select("sensor", "poll", F.lit(True).alias("update_detected"))
+    updated = S.updated_sources(first.unionByName(observed))
+    return L.downstream_closure(t.v_edges, updated.select(F.col("sensor").alias("node_id")))
+
+
+@query(
+    "stream_type_counts",
+    "ST4",
+    "SELECT event_type, count(*) AS count FROM events WHERE value > 0.1 GROUP BY 1",
+)
+def _(t):
+    folder, schema = in_time_order(t)
+    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=2).where("value > 0.1")
+    return S.stream_type_counts(t.spark, stream, "event_type")
+
+
+@query(
+    "stream_daily_counts",
+    "ST5",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2""",
+)
+def _(t):
+    folder, schema = in_time_order(t)
+    # a late sentinel row moves the watermark past the last day, which closes it
+    last = t.events.agg(F.max("ts").alias("ts"))
+    last.select(
+        F.lit(-1).cast("bigint").alias("event_id"),
+        (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"),
+        F.lit(-1).cast("bigint").alias("user_id"),
+        F.lit("sentinel").alias("event_type"),
+        F.lit(0.0).alias("value"),
+    ).coalesce(1).write.mode("append").parquet(folder)
+    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
+    daily = S.stream_daily_counts(t.spark, stream, "ts", ["event_type"], "1 day")
+    return daily.where("event_type <> 'sentinel'")
+
+
+def per_type(df):
+    return df.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
+        F.count_distinct("user_id").alias("users"),
+    )
+
+
+@query(
+    "stream_partition_refresh",
+    "ST6",
+    """SELECT event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents,
+              count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
+)
+def _(t):
+    folder, schema = in_time_order(t, files=3)
+    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1).drop("file_name")
+    return S.stream_partition_refresh(t.spark, stream, ["event_type"], per_type)
+
+
+@query("stream_dedupe", "ST7", "SELECT event_id, user_id, event_type FROM events")
+def _(t):
+    folder, schema = in_time_order(t, files=2)
+    # every file arrives a second time
+    t.events.select(*EVENT_COLUMNS).coalesce(1).write.mode("append").parquet(folder)
+    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
+    rows = stream.select("event_id", "user_id", "event_type", "ts")
+    return S.stream_dedupe(t.spark, rows, ["event_id"], "ts").drop("ts")
+
+
+@query("stream_ewma", "ST8", SQL_EWMA)
+def _(t):
+    folder, schema = in_time_order(t, files=3)
+    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
+    out = S.stream_ewma(t.spark, stream, "event_type", "event_id", "value")
+    return out.withColumn("estimate", F.round("estimate", 6))
+
+
+@query(
+    "scheduled_refresh",
+    "ST9",
+    """SELECT run, n FROM (SELECT 0 AS run, count(*) AS n FROM events
+         WHERE event_id <= (SELECT max(event_id) FROM events) // 2
+         UNION ALL SELECT 1, count(*) FROM events
+         WHERE event_id > (SELECT max(event_id) FROM events) // 2)""",
+)
+def _(t):
+    """Two runs of one schedule: the second takes up what came while it was down."""
+    root = scratch_path(t.spark, "refresh")
+    folder = f"{root}/inbox"
+    events = t.events.select(*EVENT_COLUMNS)
+    middle = (events.agg(F.max("event_id")).first()[0] or 0) // 2
+
+    def refresh(batch, batch_id):
+        batch.agg(
+            F.lit(batch_id).alias("run"), F.count(F.lit(1)).alias("n")
+        ).write.mode("overwrite").parquet(f"{root}/runs/run_{batch_id}")
+
+    for part in (events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)):
+        part.write.mode("append").parquet(folder)
+        S.scheduled_refresh(
+            t.spark,
+            lambda: S.sensor_file_stream(t.spark, folder, events.schema),
+            refresh,
+            f"{root}/checkpoint",
+        )
+    return t.spark.read.schema("run int, n bigint").parquet(f"{root}/runs/*")
