@@ -8,12 +8,12 @@ ends when a level is empty; only that row count reaches the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.session import materialize, materialize_counted, scratch_path
-
-MAX_DEPTH = 100_000
+from lakeloom.session import materialize, materialize_counted, scratch_path, write_counted
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
@@ -29,10 +29,9 @@ def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataF
     frontier = reached
     while True:
         path = f"{root}/level_{len(paths)}"
-        frontier.write.parquet(path)
+        level, size = write_counted(frontier, path)
         paths.append(path)
-        level = spark.read.schema(schema).parquet(path)
-        if level.isEmpty():
+        if size == 0:
             break
         seen = spark.read.schema(schema).parquet(*paths)
         frontier = (
@@ -63,36 +62,33 @@ def stale_propagation(edges: DataFrame, changed: DataFrame) -> DataFrame:
     )
 
 
-def topo_level(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Longest-path level of each node of an acyclic graph; sources are level 0."""
-    spark = edges.sparkSession
+def topo_level(edges: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """Longest-path level of each node of an acyclic graph; sources are level 0.
+
+    Level ``i`` of the walk holds every node some path of length ``i`` reaches,
+    so a node's level is the last one it appears in. A walk longer than
+    ``max_depth`` is an error: the graph is cyclic (see :func:`validate_edges`)
+    or the bound has to be raised.
+    """
     hops = materialize(edges.select("upstream", "downstream"), "hops")
     fed = hops.select(F.col("downstream").alias("node_id"))
     frontier = nodes.select("node_id").distinct().join(fed, "node_id", "left_anti")
-    schema = "node_id " + dict(frontier.dtypes)["node_id"]
-    root = scratch_path(spark, "levels")
-    limit = MAX_DEPTH
-    depth = 0
-    paths = []
+    root = scratch_path(nodes.sparkSession, "levels")
+    levels: list[DataFrame] = []
     while True:
-        path = f"{root}/depth_{depth}"
-        frontier.write.parquet(path)
-        level = spark.read.schema(schema).parquet(path)
-        if level.isEmpty():
+        level, size = write_counted(frontier, f"{root}/level_{len(levels)}")
+        levels.append(level.withColumn("level", F.lit(len(levels)).cast("bigint")))
+        if size == 0:
             break
-        paths.append(level.withColumn("level", F.lit(depth).cast("bigint")))
-        depth += 1
-        if depth > limit:
-            raise ValueError("the edges hold a cycle")
+        if len(levels) > max_depth:
+            raise ValueError(f"paths longer than {max_depth}: cyclic edges or a low max_depth")
         frontier = (
             hops.withColumnRenamed("upstream", "node_id")
             .join(level, "node_id", "left_semi")
             .select(F.col("downstream").alias("node_id"))
             .distinct()
         )
-    every = paths[0]
-    for more in paths[1:]:
-        every = every.unionByName(more)
+    every = reduce(DataFrame.unionByName, levels)
     return every.groupBy("node_id").agg(F.max("level").alias("level"))
 
 
@@ -127,7 +123,9 @@ def cycle_core(edges: DataFrame) -> DataFrame:
         ends = live.select(F.col("downstream").alias("upstream")).distinct()
         starts = live.select(F.col("upstream").alias("downstream")).distinct()
         kept, m = materialize_counted(
-            live.join(ends, "upstream", "left_semi").join(starts, "downstream", "left_semi"),
+            live.join(ends, "upstream", "left_semi")
+            .join(starts, "downstream", "left_semi")
+            .select("upstream", "downstream"),
             "live",
         )
         live = kept

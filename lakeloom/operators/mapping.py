@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeloom.operators.joins import unique_per_key
 from lakeloom.operators.sets import union_branches
 
 OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
@@ -28,18 +29,68 @@ def with_slices(
     keys: Sequence[str],
     slice_rows: int = SLICE_ROWS,
     slice_by: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Rows with a ``_slice`` number, and the slice count of each key.
+) -> DataFrame:
+    """Rows with a ``_slice`` number: 0 for keys of at most ``slice_rows`` rows.
 
-    The count comes from partial aggregation. A row picks its slice by a hash of
-    ``slice_by`` (all columns by default), so a retried task slices as before.
-    Name a unique column where a key may hold many copies of one row.
+    The row count per key comes from partial aggregation. A row picks its slice
+    by a hash of ``slice_by`` (all columns by default), so a retried task slices
+    as before. Name a unique column where a key may hold many copies of one row.
     """
     sizes = df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / slice_rows).cast("bigint").alias("_slices")
     )
     spread = F.pmod(F.xxhash64(*(slice_by or df.columns)), F.col("_slices"))
-    return df.join(sizes, list(keys)).withColumn("_slice", spread).drop("_slices"), sizes
+    return df.join(sizes, list(keys)).withColumn("_slice", spread).drop("_slices")
+
+
+def _by_group(
+    df: DataFrame,
+    group: Sequence[str],
+    call: Callable[[tuple, pd.DataFrame], pd.DataFrame],
+    schema: StructType | str,
+) -> DataFrame:
+    """``call(group_key, rows)`` per group, many groups to an Arrow batch.
+
+    Groups arrive sorted, so a group ends where the key changes; only the last
+    group of a batch is held back until its end is seen. This costs far less per
+    group than one Arrow stream each.
+    """
+    group = list(group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        held_key = None
+
+        def keys_at(pdf: pd.DataFrame, rows) -> list[tuple]:
+            return [tuple(r) for r in pdf[group].iloc[rows].itertuples(index=False)]
+
+        def joined(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            marks = pdf[group]
+            before = marks.shift()
+            same = (marks == before) | (marks.isna() & before.isna())
+            starts = (~same.all(axis=1)).to_numpy().nonzero()[0].tolist()
+            if not starts or starts[0] != 0:
+                starts = [0, *starts]
+            keys = keys_at(pdf, starts)
+            ends = [*starts[1:], len(pdf)]
+            out = []
+            for key, lo, hi in zip(keys, starts, ends, strict=True):
+                if held and key != held_key:
+                    out.append(call(held_key, joined(held)))
+                    held = []
+                held_key = key
+                held.append(pdf.iloc[lo:hi])
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield call(held_key, joined(held))
+
+    return df.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, schema)
 
 
 def map_by_key(
@@ -50,20 +101,20 @@ def map_by_key(
     slice_rows: int = SLICE_ROWS,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``fn(key, rows)`` for the rows of each partition key, slice by slice.
+    """``fn(key, rows)`` for every partition key.
 
-    Suited to functions of single rows and to partial results that the caller
+    A key of at most ``slice_rows`` rows is one call. A larger one is several,
+    which suits functions of single rows and partial results that the caller
     merges with an aggregation over ``keys``.
     """
-    keys = list(keys)
     columns = df.columns
     width = len(keys)
-    sliced, _ = with_slices(df, keys, slice_rows, slice_by)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(key[:width], pdf[columns])
+    def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(group[:width], pdf[columns])
 
-    return sliced.groupBy(*keys, "_slice").applyInPandas(run, schema)
+    sliced = with_slices(df, keys, slice_rows, slice_by)
+    return _by_group(sliced, [*keys, "_slice"], call, schema)
 
 
 def map_aligned(
@@ -75,32 +126,27 @@ def map_aligned(
     slice_rows: int = SLICE_ROWS,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``fn(key, left_rows, right_rows)`` over aligned partitions.
+    """``fn(key, left_rows, right_row)`` for every partition key of ``left``.
 
-    ``right`` is the small side of every key (typically one row); it is repeated
-    once per slice of the key's left rows. Keys missing on one side still call
-    ``fn`` with an empty frame.
+    ``right`` must hold one row per key, which is checked; a key it lacks gets
+    an empty frame. Slicing is that of :func:`map_by_key`.
     """
     keys = list(keys)
-    left_cols, right_cols = left.columns, right.columns
     width = len(keys)
-    sliced, sizes = with_slices(left, keys, slice_rows, slice_by)
-    copies = (
-        right.join(sizes, keys, "left")
-        .withColumn(
-            "_slice",
-            F.explode(
-                F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1)
-            ),
-        )
-        .drop("_slices")
+    left_cols = left.columns
+    right_cols = [c for c in right.columns if c not in keys]
+    renamed = {c: f"_right_{c}" for c in right_cols}
+    single = unique_per_key(right, keys).withColumnsRenamed(renamed).withColumn(
+        "_matched", F.lit(True)
     )
+    joined = with_slices(left, keys, slice_rows, slice_by).join(single, keys, "left")
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return fn(key[:width], a[left_cols], b[right_cols])
+    def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[list(renamed.values())].iloc[: int(pdf["_matched"].notna().iloc[0])]
+        row = row.set_axis(right_cols, axis=1)
+        return fn(group[:width], pdf[left_cols], row)
 
-    group = [*keys, "_slice"]
-    return sliced.groupBy(*group).cogroup(copies.groupBy(*group)).applyInPandas(run, schema)
+    return _by_group(joined, [*keys, "_slice"], call, schema)
 
 
 def attempt(

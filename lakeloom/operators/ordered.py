@@ -179,14 +179,15 @@ def asym_ewma(
     )
 
 
-def value_splits(df: DataFrame, value: str, blocks: int) -> list[float]:
-    """At most ``blocks`` split points that cut the whole column into even parts.
+def value_splits(df: DataFrame, value: str, block_rows: int = 1_000_000) -> list[float]:
+    """Split points that cut the column into 64 to 8192 blocks of about ``block_rows`` rows.
 
     They only balance work: results never depend on how exact they are.
     """
+    blocks = min(8192, max(64, df.count() // block_rows))
     fractions = [i / blocks for i in range(1, blocks)]
     found = df.agg(F.percentile_approx(value, fractions, max(10_000, 10 * blocks))).first()[0]
-    return [float("-inf"), *sorted(set(found or [])), float("inf")]
+    return [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
 
 
 def rank_select(
@@ -194,7 +195,7 @@ def rank_select(
     keys: Sequence[str],
     value: str,
     ranks: Mapping[str, Callable[[Column], Column]],
-    blocks: int = 1024,
+    block_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact order statistics per key: (keys, n, one column per rank).
 
@@ -205,9 +206,7 @@ def rank_select(
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    splits = value_splits(rows, "_v", blocks)
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
+    splits = value_splits(rows, "_v", block_rows)
     rows = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(rows)
     per_key = Window.partitionBy(*keys)
     counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions.scalars import epoch_micros
 from lakeloom.operators import lineage as L
 from lakeloom.plans.registry import query
 from lakeloom.plans.runlog import SQL_EWMA
@@ -116,6 +117,8 @@ def _(t):
         F.lit(0.0).alias("value"),
     ).coalesce(1).write.mode("append").parquet(folder)
     stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
+    # the zoneless event time becomes the instant with the same UTC clock
+    stream = stream.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
     daily = S.stream_daily_counts(t.spark, stream, "ts", ["event_type"], "1 day")
     return daily.where("event_type <> 'sentinel'")
 

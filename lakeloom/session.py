@@ -56,8 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """As :func:`materialize`, with the row count taken during the same write."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return write_counted(df, scratch_path(df.sparkSession, label))
+
+
+def write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Write ``df`` to ``path``; the table read back and its row count."""
     seen = Observation(f"rows-{uuid.uuid4().hex}")
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])

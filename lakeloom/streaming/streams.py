@@ -136,17 +136,18 @@ def stream_type_counts(spark: SparkSession, events: DataFrame, column: str) -> D
 def stream_daily_counts(
     spark: SparkSession, events: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 day"
 ) -> DataFrame:
-    """Final counts per day and key. A day is written once the watermark passes it.
+    """Final counts per UTC day and key. A day is written once the watermark passes it.
 
     The watermark is what bounds the state: days older than ``delay`` behind the
     newest event are closed and their late rows dropped.
     """
     root = scratch_path(spark, "daily-counts")
+    start = F.floor(F.unix_seconds("w.start") / 86_400).cast("int")
     daily = (
         events.withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 day").alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *keys, "count")
+        .select(F.date_from_unix_date(start).cast("string").alias("day"), *keys, "count")
     )
     run_available(daily, f"{root}/checkpoint", path=f"{root}/table")
     return spark.read.schema(daily.schema).parquet(f"{root}/table")
