@@ -53,9 +53,11 @@ def _by_group(
 
     Groups arrive sorted, so a group ends where the key changes; only the last
     group of a batch is held back until its end is seen. This costs far less per
-    group than one Arrow stream each.
+    group than one Arrow stream each. The partition count is explicit, because
+    few bytes may still be much Python work and must not be merged into one task.
     """
     group = list(group)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -90,7 +92,7 @@ def _by_group(
         if held:
             yield call(held_key, joined(held))
 
-    return df.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, schema)
+    return df.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
 
 
 def map_by_key(

@@ -323,7 +323,7 @@ def _(t):
     "scalar_feedback",
     "J5",
     """SELECT c_custkey, round(
-         (SELECT sum(c_acctbal::DECIMAL(18,4))::DOUBLE FROM customer) * cos(c_custkey * 0.2), 2)
+         (SELECT sum(c_acctbal::DECIMAL(18,4))::DOUBLE FROM customer) * cos(c_custkey * 0.2), 0)
          AS value FROM customer""",
 )
 def _(t):
@@ -331,7 +331,7 @@ def _(t):
     out = J.scalar_feedback(
         t.customer.select("c_custkey"), layer, "value", lambda s: s * F.cos(F.col("c_custkey") * 0.2)
     )
-    return out.select("c_custkey", F.round("value", 2).alias("value"))
+    return out.select("c_custkey", F.round("value", 0).alias("value"))
 
 
 SQL_STEPS = """
