@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.functions.scalars import round_money
+from lakeloom.functions.scalars import exact_sum, round_money
 from lakeloom.operators.joins import left_join_default
 from lakeloom.session import materialize
 
@@ -81,7 +81,7 @@ def pair_means(
     """Rounded mean per key pair; ``means`` maps output to (column, digits)."""
     return df.groupBy(*keys).agg(
         *[
-            F.round(F.sum(F.col(c).cast("decimal(18,4)")) / F.count(c), digits).alias(out)
+            F.round(exact_sum(c) / F.count(c), digits).alias(out)
             for out, (c, digits) in means.items()
         ]
     )
@@ -121,13 +121,13 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def dimension_rollup(dims: Mapping[str, DataFrame]) -> DataFrame:
     """Row count and score sum of each dimension table."""
     tagged = [
-        df.select(F.lit(name).alias("dim"), F.col("score").cast("decimal(18,4)").alias("score"))
+        df.select(F.lit(name).alias("dim"), F.col("score").cast("double").alias("score"))
         for name, df in dims.items()
     ]
     return (
         reduce(DataFrame.unionByName, tagged)
         .groupBy("dim")
-        .agg(F.count(F.lit(1)).alias("dimension_rows"), F.sum("score").alias("score"))
+        .agg(F.count(F.lit(1)).alias("dimension_rows"), exact_sum("score").alias("score"))
     )
 
 
@@ -136,7 +136,7 @@ def collect_totals(reports: DataFrame) -> DataFrame:
     return reports.agg(
         F.count(F.lit(1)).alias("regions"),
         F.sum("users").alias("total_users"),
-        F.round(F.sum(F.col("revenue").cast("decimal(18,4)")), 2).alias("total_revenue"),
+        F.round(exact_sum("revenue"), 2).alias("total_revenue"),
     )
 
 

@@ -12,6 +12,7 @@ from lakeloom.operators.joins import semi_join_hits
 from lakeloom.operators.ordered import latest_success
 from lakeloom.operators.partitions import key_suffix
 from lakeloom.operators.sets import merge_logs, universe_diff
+from lakeloom.session import materialize
 
 # Fixed value: the version that enters every fingerprint.
 PROTOCOL_VERSION = "1.0.0"
@@ -142,24 +143,41 @@ def cache_lookup(steps: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def partition_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def partition_digest(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], portable: bool = False
+) -> DataFrame:
     """Content token per partition: (keys, row_count, token).
 
-    The token adds up row hashes, so it depends on every row, its multiplicity
-    and nothing else, and is built by partial aggregation.
+    The token adds up two hashes of every row, so it depends on each row, its
+    multiplicity and nothing else, and is built by partial aggregation. Rows are
+    hashed with two seeds of xxhash64; ``portable`` tokens use md5 of the row's
+    text instead, which other engines can reproduce at several times the cost.
     """
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
-    high = hex_to_int(F.substring(row, 1, 15)).cast("decimal(38,0)")
-    low = hex_to_int(F.substring(row, 16, 15)).cast("decimal(38,0)")
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.concat_ws(
-            "-", F.count(F.lit(1)).cast("string"), F.sum(high).cast("string"),
-            F.sum(low).cast("string"),
-        ).alias("token"),
+    if portable:
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+        halves = [hex_to_int(F.substring(F.md5(text), at, 15)) for at in (1, 16)]
+    else:
+        # xxhash64 passes over nulls, so their places are hashed as well
+        places = [F.col(c).isNull() for c in columns]
+        halves = [F.xxhash64(F.lit(seed), *columns, *places) for seed in (1, 2)]
+    hashed = df.select(*keys, halves[0].alias("_a"), halves[1].alias("_b"))
+    rows = F.count(F.lit(1))
+    sums = [_exact_hash_sum("_a"), _exact_hash_sum("_b")]
+    return hashed.groupBy(*keys).agg(
+        rows.alias("row_count"),
+        F.concat_ws("-", rows.cast("string"), *[s.cast("string") for s in sums]).alias("token"),
     )
 
 
+def _exact_hash_sum(column: str) -> Column:
+    """Exact sum of 64-bit hashes, added up as four 16-bit limbs in plain longs."""
+    limbs = [F.sum(F.shiftright(column, s).bitwiseAND(F.lit(0xFFFF))) for s in (0, 16, 32, 48)]
+    wide = [limb.cast("decimal(38,0)") for limb in limbs]
+    return sum(
+        (w * F.lit(2**s) for w, s in zip(wide[1:], (16, 32, 48), strict=True)), wide[0]
+    ).cast("decimal(38,0)")
+
+
 def stale_partitions(
     current: DataFrame, recorded: DataFrame, keys: Sequence[str], fingerprint: str = "token"
 ) -> DataFrame:
@@ -181,9 +199,14 @@ def incremental_refresh(
 
     ``current`` and ``recorded`` hold the fingerprint per key now and at the
     time ``previous`` was built. Keys that left the source leave the result.
+    The fingerprints and the stale keys, one row per key each, are written
+    once and read wherever they are needed.
     """
     keys = list(keys)
-    stale = stale_partitions(current, recorded, keys, fingerprint).select(*keys)
+    current = materialize(current.select(*keys, fingerprint), "fingerprints")
+    stale = materialize(
+        stale_partitions(current, recorded, keys, fingerprint).select(*keys), "stale"
+    )
     fresh = compute(source.join(stale, keys, "left_semi"))
     kept = current.select(*keys).join(stale, keys, "left_anti")
     reused = previous.join(kept, keys, "left_semi")

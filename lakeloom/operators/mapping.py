@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from lakeloom.operators.joins import unique_per_key
 from lakeloom.operators.sets import union_branches
+from lakeloom.session import spread
 
 OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
 SLICE_ROWS = 100_000
@@ -208,7 +209,7 @@ def guarded_map(
             yield pd.DataFrame(rows, columns=["idx", "ok", "value", "error", "attempts"])
 
     picked = df.select(F.col(idx).cast("bigint").alias("idx"), F.col(item).alias("item"))
-    return picked.mapInPandas(run, OUTCOME)
+    return spread(picked).mapInPandas(run, OUTCOME)
 
 
 def branch_map(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions.scalars import fixed_units
 from lakeloom.operators import incremental as I
 from lakeloom.operators import lineage as L
 from lakeloom.operators import ordered as W
@@ -165,27 +166,30 @@ def sql_token(view: str) -> str:
 
 
 def in_cents(df):
-    return df.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    return df.withColumn("cents", fixed_units("o_totalprice", 2))
 
 
-def month_tokens(df):
-    return I.partition_digest(in_cents(df), ["month"], ["o_orderkey", "o_custkey", "cents"])
+def month_tokens(df, portable=False):
+    columns = ["o_orderkey", "o_custkey", "cents"]
+    return I.partition_digest(in_cents(df), ["month"], columns, portable)
 
 
 @query("partition_digest", "I6", sql_token("v_src_old"))
 def _(t):
-    return month_tokens(t.v_src_old)
+    return month_tokens(t.v_src_old, portable=True)
 
 
 @query(
     "stale_partitions",
     "I5",
     f"""WITH o AS ({sql_token("v_src_old")}), n AS ({sql_token("v_src_new")})
-        SELECT month, token FROM n WHERE NOT EXISTS
+        SELECT month, row_count FROM n WHERE NOT EXISTS
           (SELECT 1 FROM o WHERE o.month = n.month AND o.token = n.token)""",
 )
 def _(t):
-    return I.stale_partitions(month_tokens(t.v_src_new), month_tokens(t.v_src_old), ["month"])
+    now = month_tokens(t.v_src_new)
+    stale = I.stale_partitions(now, month_tokens(t.v_src_old), ["month"])
+    return now.join(stale, ["month", "token"], "left_semi").select("month", "row_count")
 
 
 def month_totals(df):

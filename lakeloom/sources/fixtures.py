@@ -6,10 +6,13 @@ checks), under the same name.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lakeloom.functions.scalars import hex_to_int, money, month_of
+from lakeloom.functions.scalars import fixed_units, hex_to_int, month_of
 
 SQL_VIEWS = {
     "v_orders": """
@@ -70,6 +73,10 @@ SQL_VIEWS = {
 }
 
 
+# Schemas of tables already opened, so that later queries start no inference job.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """The test tables of one scale factor, and the views over them."""
 
@@ -80,15 +87,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @property
     def v_orders(self) -> DataFrame:
+        # price * (1 - discount) in units of 1e-8, rounded half up to cents
+        product = fixed_units("l_extendedprice") * (10_000 - fixed_units("l_discount"))
+        cents = F.call_function("div", product + 500_000, F.lit(1_000_000))
         lines = self.lineitem.select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").alias("quantity"),
-            F.round(money("l_extendedprice") * (1 - money("l_discount")), 2).alias("total"),
+            (cents.cast("decimal(14,0)") * F.lit(Decimal("0.01"))).alias("total"),
         )
         heads = self.orders.select(
             F.col("o_orderkey").alias("order_id"),
