@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.scalars import hex_to_int
 from lakeloom.operators.joins import semi_join_hits
-from lakeloom.operators.ordered import latest_success
-from lakeloom.operators.partitions import key_suffix
+from lakeloom.operators.ordered import latest_success, mark_hot
+from lakeloom.operators.partitions import key_suffix, restrict
 from lakeloom.operators.sets import merge_logs, universe_diff
 from lakeloom.session import materialize
 
@@ -63,18 +63,21 @@ def gather_upstream(
     sha256 per hash bucket of its ids instead, which is as sensitive to any
     change and independent of order, and is built by one task per bucket.
     """
-    sizes = pairs.groupBy(step).agg(F.count(F.lit(1)).alias("n_upstream"))
-    wide = F.col("n_upstream") > inline
+    wide = F.col("_hot_rows").isNotNull()
     bucket = F.when(wide, F.substring(F.md5(upstream), 1, 4)).otherwise("")
     lists = (
-        pairs.select(step, upstream)
-        .join(sizes, step)
-        .groupBy(step, "n_upstream", bucket.alias("_bucket"))
-        .agg(F.array_sort(F.collect_list(upstream)).alias("_ids"))
+        mark_hot(pairs.select(step, upstream), [step], inline)
+        .groupBy(step, wide.alias("_wide"), bucket.alias("_bucket"))
+        .agg(
+            F.array_sort(F.collect_list(upstream)).alias("_ids"), F.count(F.lit(1)).alias("_n")
+        )
     )
-    part = F.when(wide, F.array(F.sha2(F.array_join("_ids", "\n"), 256))).otherwise(F.col("_ids"))
-    return lists.groupBy(step, "n_upstream").agg(
-        F.array_sort(F.flatten(F.collect_list(part))).alias("upstream_ids")
+    part = F.when(
+        F.col("_wide"), F.array(F.sha2(F.array_join("_ids", "\n"), 256))
+    ).otherwise(F.col("_ids"))
+    return lists.groupBy(step).agg(
+        F.sum("_n").alias("n_upstream"),
+        F.array_sort(F.flatten(F.collect_list(part))).alias("upstream_ids"),
     )
 
 
@@ -207,7 +210,7 @@ def incremental_refresh(
     stale = materialize(
         stale_partitions(current, recorded, keys, fingerprint).select(*keys), "stale"
     )
-    fresh = compute(source.join(stale, keys, "left_semi"))
+    fresh = compute(restrict(source, stale, keys))
     kept = current.select(*keys).join(stale, keys, "left_anti")
     reused = previous.join(kept, keys, "left_semi")
     return fresh.unionByName(reused)

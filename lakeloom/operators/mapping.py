@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeloom.operators.joins import unique_per_key
+from lakeloom.operators.ordered import mark_hot
 from lakeloom.operators.sets import union_branches
-from lakeloom.session import spread
+from lakeloom.session import shuffle_partitions
 
 OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
 SLICE_ROWS = 100_000
@@ -33,15 +34,15 @@ def with_slices(
 ) -> DataFrame:
     """Rows with a ``_slice`` number: 0 for keys of at most ``slice_rows`` rows.
 
-    The row count per key comes from partial aggregation. A row picks its slice
-    by a hash of ``slice_by`` (all columns by default), so a retried task slices
-    as before. Name a unique column where a key may hold many copies of one row.
+    Only keys above that size are counted out and joined back. A row picks its
+    slice by a hash of ``slice_by`` (all columns by default), so a retried task
+    slices as before. Name a unique column where a key may hold many copies of
+    one row.
     """
-    sizes = df.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / slice_rows).cast("bigint").alias("_slices")
-    )
-    spread = F.pmod(F.xxhash64(*(slice_by or df.columns)), F.col("_slices"))
-    return df.join(sizes, list(keys)).withColumn("_slice", spread).drop("_slices")
+    slices = F.ceil(F.col("_hot_rows") / slice_rows)
+    place = F.pmod(F.xxhash64(*(slice_by or df.columns)), slices)
+    marked = mark_hot(df, keys, slice_rows)
+    return marked.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("bigint")).drop("_hot_rows")
 
 
 def _by_group(
@@ -58,7 +59,7 @@ def _by_group(
     few bytes may still be much Python work and must not be merged into one task.
     """
     group = list(group)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -192,12 +193,14 @@ def guarded_map(
     retries: int = 1,
     backoff: float = 0.0,
     timeout: float | None = None,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """``fn`` over every item, all settled: (idx, ok, value, error, attempts).
 
     A failing item yields its error and stops no other. ``idx`` is the argument
     order; sort by it where order matters. Attempts are counted within one
-    successful task, since Spark may run a task again.
+    successful task, since Spark may run a task again. ``parallelism`` spreads
+    the items over that many tasks, for functions slow beside the size of an item.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +212,9 @@ def guarded_map(
             yield pd.DataFrame(rows, columns=["idx", "ok", "value", "error", "attempts"])
 
     picked = df.select(F.col(idx).cast("bigint").alias("idx"), F.col(item).alias("item"))
-    return spread(picked).mapInPandas(run, OUTCOME)
+    if parallelism:
+        picked = picked.repartition(parallelism)
+    return picked.mapInPandas(run, OUTCOME)
 
 
 def branch_map(
@@ -218,10 +223,14 @@ def branch_map(
     item: str,
     branches: Mapping[str, Callable[[object], object]],
     retries: int = 1,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Several functions over the same items, results tagged by branch."""
     return union_branches(
-        {tag: guarded_map(df, idx, item, fn, retries) for tag, fn in branches.items()}
+        {
+            tag: guarded_map(df, idx, item, fn, retries, parallelism=parallelism)
+            for tag, fn in branches.items()
+        }
     )
 
 

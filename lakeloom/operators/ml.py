@@ -17,39 +17,31 @@ def train_test_split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 42)
     """Seeded shuffle cut at exactly ``int(n * frac)``: adds ``split`` train or test.
 
     Rows are ordered by a seeded hash of their unique key. Counts per leading
-    hash digits tell which of the 65,536 ranges holds the cut; only the rows of
-    that range are ranked.
+    hash digits tell which of 65,536 ranges holds the cut, only that range is
+    ranked, and the row found there is the scalar every row is compared with.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 4))
+    place = F.struct(digest.alias("digest"), F.col(key).alias("key"))
+    places = df.select(place.alias("_at"), F.substring(digest, 1, 4).alias("_range"))
     counts = (
-        rows.groupBy("_range")
+        places.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.sum("_n").over(Window.orderBy("_range")))
     )
-    size = counts.agg(F.sum("_n")).scalar()
-    cut = F.floor(size * F.lit(frac))
-    placed = counts.select(
-        "_range",
-        (cut - F.col("_end") + F.col("_n")).alias("_room"),
-        (F.col("_end") <= cut).alias("_whole"),
-    )
-    edge = placed.where(~F.col("_whole") & (F.col("_room") > 0))
-    inside = Window.partitionBy("_range").orderBy("_digest", key)
-    kept = (
-        rows.select(key, "_digest", "_range")
-        .join(edge.select("_range", "_room"), "_range")
-        .withColumn("_rank", F.row_number().over(inside))
-        .where(F.col("_rank") <= F.col("_room"))
-        .select(key, F.lit(True).alias("_kept"))
-    )
-    split = F.when(F.col("_whole") | F.col("_kept"), "train").otherwise("test")
-    return (
-        rows.join(placed.select("_range", "_whole"), "_range")
-        .join(kept, key, "left")
-        .withColumn("split", split)
-        .select(*df.columns, "split")
+    # the rank of the last training row within its range, when that range is this one
+    cut = F.floor(df.agg(F.count(F.lit(1))).scalar() * F.lit(frac))
+    holder = counts.select(
+        "_range", (cut - F.col("_end") + F.col("_n")).alias("_rank"), "_n"
+    ).where((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
+    inside = Window.partitionBy("_range").orderBy("_at")
+    last = (
+        places.join(holder, "_range")
+        .withColumn("_at_rank", F.row_number().over(inside))
+        .where(F.col("_at_rank") == F.col("_rank"))
+        .agg(F.max("_at"))
+        .scalar()
     )
+    return df.withColumn("split", F.when(place <= last, "train").otherwise("test"))
 
 
 def _with_vector(df: DataFrame, features: str) -> DataFrame:

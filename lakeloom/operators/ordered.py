@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 1_000_000
 
 # Weights of the cost estimate.
 ALPHA_RISE = 0.5
@@ -27,6 +27,20 @@ def order_block(order: str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(order) / block_rows).cast("bigint")
 
 
+def mark_hot(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Adds ``_hot_rows``: the row count of keys with more than ``limit`` rows, else null.
+
+    There are at most rows / limit such keys, so the joined table is tiny next
+    to the data and its measured size lets the optimizer broadcast it.
+    """
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_hot_rows"))
+        .where(F.col("_hot_rows") > limit)
+    )
+    return df.join(hot, list(keys), "left")
+
+
 def latest_success(
     log: DataFrame, keys: Sequence[str] = ("node_id", "run_hash"), order: str = "id"
 ) -> DataFrame:
@@ -94,88 +108,83 @@ def asym_ewma(
     order: str,
     value: str,
     initial: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = 100_000,
+    fanout: int = 1000,
 ) -> DataFrame:
     """Final estimate per key after all observations: (key, estimate, samples).
 
     The fold is not associative, but it is monotone in the previous estimate
     and each step shrinks the distance between two estimates to at most 3/4.
-    Every block is therefore folded from both ends of the possible range; when
-    the two results meet (to the last bits of a double), the block's result is
-    known without what came before, and only the rows after the last such block
-    of a key are folded in sequence. Blocks that do not meet are short: a
-    hundred-odd steps always suffice.
-
-    ``initial`` (key, estimate, samples) continues earlier estimates.
+    Every block is therefore folded from both ends of the possible range. When
+    the results meet (to the last bits of a double), the block's result is known
+    without what came before it; otherwise the block is short, a hundred-odd
+    observations at most, and keeps them. Blocks are merged ``fanout`` at a time
+    by the same rule, so every group at every level stays small.
+
+    ``order`` is a non-negative integer, unique within a key. ``initial`` (key,
+    estimate, samples) continues earlier estimates.
     """
     seen = df.select(
         F.col(key),
         F.col(order).cast("bigint").alias("_o"),
         F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
     ).where(F.col("_x").isNotNull())
-    blocks = (
+    bounds = seen.agg(F.max("_o").alias("o"), F.max("_x").alias("x")).first()
+    # every estimate lies between 0 and the largest value seen or carried in
+    top = bounds["x"] or 0.0
+    if initial is not None:
+        top = max(top, initial.agg(F.max("estimate")).first()[0] or 0.0)
+
+    def settle(start: Column, xs: Column) -> list[Column]:
+        """State of a block: a known result, or else its observations."""
+        low = F.aggregate(xs, F.coalesce(start, F.lit(0.0)), ewma_step)
+        high = F.aggregate(xs, F.coalesce(start, F.lit(top)), ewma_step)
+        known = start.isNotNull() | (high - low <= top * 1e-15)
+        return [
+            F.when(known, low).alias("_start"),
+            F.when(known, F.array().cast("array<double>")).otherwise(xs).alias("_xs"),
+        ]
+
+    level = (
         seen.groupBy(key, F.floor(F.col("_o") / block_rows).alias("_block"))
         .agg(
             F.array_sort(F.collect_list(F.struct("_o", "_x"))).alias("_obs"),
             F.count(F.lit(1)).alias("_n"),
         )
-        .withColumn("_xs", F.col("_obs._x"))
-        .drop("_obs")
+        .select(key, "_block", "_n", *settle(F.lit(None).cast("double"), F.col("_obs._x")))
     )
-    # Every estimate lies between 0 and the largest value seen or carried in.
-    top = seen.agg(F.max("_x"))
-    if initial is not None:
-        top = top.union(initial.agg(F.max("estimate")))
-    ceiling = F.coalesce(top.toDF("v").agg(F.max("v")).scalar(), F.lit(0.0))
-    folded = blocks.withColumn("_top", ceiling).withColumns(
-        {
-            "_low": F.aggregate("_xs", F.lit(0.0), ewma_step),
-            "_high": F.aggregate("_xs", F.col("_top"), ewma_step),
-        }
-    )
-    settled = F.col("_high") - F.col("_low") <= F.col("_top") * 1e-15
-    marks = folded.select(
-        key,
-        "_block",
-        "_n",
-        settled.alias("_settled"),
-        F.when(settled, F.col("_low")).alias("_value"),
-        F.when(~settled, F.col("_xs")).alias("_xs"),
-    )
-    last = marks.groupBy(key).agg(
-        F.max(F.when(F.col("_settled"), F.col("_block"))).alias("_last"),
-        F.sum("_n").alias("_total"),
-    )
-    tail = (
-        marks.join(last, key)
-        .where(F.col("_last").isNull() | (F.col("_block") >= F.col("_last")))
-        .groupBy(key, "_total")
-        .agg(
-            F.max(F.when(F.col("_block") == F.col("_last"), F.col("_value"))).alias("_start"),
-            F.array_sort(
-                F.collect_list(F.when(~F.col("_settled"), F.struct("_block", "_xs")))
-            ).alias("_parts"),
+    last_block = (bounds["o"] or 0) // block_rows
+    while last_block > 0:
+        last_block //= fanout
+        merged = level.groupBy(key, F.floor(F.col("_block") / fanout).alias("_up")).agg(
+            F.sum("_n").alias("_n"),
+            F.array_sort(F.collect_list(F.struct("_block", "_start", "_xs"))).alias("_parts"),
+            F.max(F.when(F.col("_start").isNotNull(), F.col("_block"))).alias("_known"),
+        )
+        # whatever precedes the last block with a known result has no influence
+        known = F.col("_known")
+        tail = F.filter("_parts", lambda p: known.isNull() | (p["_block"] >= known))
+        start = F.element_at(F.concat(tail["_start"], F.array(F.lit(None).cast("double"))), 1)
+        level = merged.withColumns({"_first": start, "_rest": F.flatten(tail["_xs"])}).select(
+            key, F.col("_up").alias("_block"), "_n", *settle(F.col("_first"), F.col("_rest"))
         )
-        .withColumn("_xs", F.flatten(F.col("_parts._xs")))
-    )
     if initial is not None:
         before = initial.select(
             key, F.col("estimate").alias("_before"), F.col("samples").alias("_samples")
         )
-        tail = tail.join(before, key, "full_outer")
+        level = level.join(before, key, "full_outer")
     else:
-        tail = tail.withColumns({"_before": F.lit(None).cast("double"), "_samples": F.lit(0)})
+        level = level.withColumns({"_before": F.lit(None).cast("double"), "_samples": F.lit(0)})
     start = F.coalesce(F.col("_start"), F.col("_before"))
     xs = F.coalesce(F.col("_xs"), F.array().cast("array<double>"))
-    # A key without a start value begins with its first observation.
+    # a key without a start value begins with its first observation
     begin = F.coalesce(start, F.try_element_at(xs, F.lit(1)))
     rest = F.when(start.isNull() & (F.size(xs) > 0), F.slice(xs, F.lit(2), F.size(xs))).otherwise(xs)
-    return tail.select(
+    samples = F.coalesce("_n", F.lit(0)) + F.coalesce("_samples", F.lit(0))
+    return level.select(
         key,
         F.aggregate(rest, begin, ewma_step).alias("estimate"),
-        (F.coalesce("_total", F.lit(0)) + F.coalesce("_samples", F.lit(0))).cast("bigint").alias(
-            "samples"
-        ),
+        samples.cast("bigint").alias("samples"),
     )
 
 

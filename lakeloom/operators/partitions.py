@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.scalars import md5_8, unit_score
-from lakeloom.operators.ordered import order_block
+from lakeloom.operators.ordered import mark_hot, order_block
 from lakeloom.operators.sets import universe_diff
 
 
@@ -23,9 +23,16 @@ def declared_keys(spark: SparkSession, dims: Mapping[str, Sequence]) -> DataFram
 
 
 def static_partitions(df: DataFrame, dims: Mapping[str, Sequence]) -> DataFrame:
-    """Rows of the declared keys only; a key without rows keeps one empty row."""
+    """Rows of the declared keys only; a key without rows keeps one empty row.
+
+    The declared keys are small and reach the rows as the build side of an inner
+    join; the keys that found no rows are added apart, so rows are never
+    gathered by key.
+    """
     keys = declared_keys(df.sparkSession, dims)
-    return keys.join(df, list(dims), "left")
+    rows = df.join(keys, list(dims))
+    missing = keys.join(df.select(*dims).distinct(), list(dims), "left_anti")
+    return rows.unionByName(missing, allowMissingColumns=True)
 
 
 def derived_partitions(upstream: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,17 +135,24 @@ def hashed_id(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("h", md5_8(column))
 
 
+def _chunked(df: DataFrame, parent: str, order: str, chunk_rows: int) -> DataFrame:
+    chunk = F.when(F.col("_hot_rows").isNull(), 0).otherwise(order_block(order, chunk_rows))
+    marked = mark_hot(df, [parent], chunk_rows)
+    return marked.withColumn("chunk", chunk.cast("bigint")).drop("_hot_rows")
+
+
 def collect_list_by(
     df: DataFrame, parent: str, order: str, value: str, chunk_rows: int = 1_000_000
 ) -> DataFrame:
     """Ordered fan-in: (parent, chunk, items), items sorted by ``order``.
 
-    A parent's list is delivered in chunks that cover consecutive ranges of the
-    integer ``order``; read in chunk order they are the whole list, and no chunk
-    holds more than ``chunk_rows`` items however hot the parent is.
+    The list of a parent with at most ``chunk_rows`` items is chunk 0. A larger
+    one is delivered in chunks over consecutive ranges of the integer ``order``:
+    read in chunk order they are the whole list, and none exceeds ``chunk_rows``.
     """
     return (
-        df.groupBy(parent, order_block(order, chunk_rows).alias("chunk"))
+        _chunked(df, parent, order, chunk_rows)
+        .groupBy(parent, "chunk")
         .agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_items"))
         .select(parent, "chunk", F.col(f"_items.{value}").alias("items"))
     )
@@ -149,7 +163,8 @@ def collect_map_by(
 ) -> DataFrame:
     """As :func:`collect_list_by`, but each chunk is a map from partition key to value."""
     return (
-        df.groupBy(parent, order_block(order, chunk_rows).alias("chunk"))
+        _chunked(df, parent, order, chunk_rows)
+        .groupBy(parent, "chunk")
         .agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("items")
         )
@@ -178,6 +193,21 @@ def single_partition(df: DataFrame, keys: Mapping[str, object]) -> DataFrame:
     return df.where(reduce(and_, [F.col(k) == F.lit(v) for k, v in keys.items()]))
 
 
+def restrict(df: DataFrame, wanted: DataFrame, keys: Sequence[str], limit: int = 1000) -> DataFrame:
+    """Rows of the wanted keys.
+
+    Up to ``limit`` keys become a literal predicate, which prunes directories and
+    row groups before anything is read; more are met by a semi join.
+    """
+    few = wanted.select(*keys).distinct().limit(limit + 1).collect()
+    if len(few) > limit:
+        return df.join(wanted.select(*keys), list(keys), "left_semi")
+    if len(keys) == 1:
+        return df.where(F.col(keys[0]).isin([row[0] for row in few]))
+    either = [reduce(and_, [F.col(k) == F.lit(row[k]) for k in keys]) for row in few]
+    return df.where(reduce(or_, either, F.lit(False)))
+
+
 def partition_completeness(keys: DataFrame, log: DataFrame, on: Sequence[str]) -> DataFrame:
     """Materializations per expected key, flagged lost (0) or duplicated (more than 1)."""
     seen = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import mapping as X
 from lakeloom.plans.registry import query
-from lakeloom.session import materialize
+from lakeloom.session import materialize, shuffle_partitions
 
 
 def type_profile(key, pdf):
@@ -72,7 +72,7 @@ def _(t):
     return out
 
 
-def half_even(price):
+def halve(price):
     """Fails on every amount whose whole part ends in 7."""
     whole = int(price)
     if whole % 10 == 7:
@@ -92,7 +92,9 @@ SQL_GUARDED = """
           CASE WHEN w % 10 = 7 THEN 2 ELSE 1 END::INTEGER AS attempts FROM ({SQL_GUARDED})""",
 )
 def _(t):
-    return X.guarded_map(t.orders, "o_orderkey", "o_totalprice", half_even, retries=2)
+    return X.guarded_map(
+        t.orders, "o_orderkey", "o_totalprice", halve, retries=2, parallelism=shuffle_partitions(t.spark)
+    )
 
 
 class Flaky:
@@ -138,7 +140,10 @@ def slow_on_negative(balance):
                 AS error, 1 AS attempts FROM customer""",
 )
 def _(t):
-    out = X.guarded_map(t.customer, "c_custkey", "c_acctbal", slow_on_negative, timeout=0.25)
+    out = X.guarded_map(
+        t.customer, "c_custkey", "c_acctbal", slow_on_negative, timeout=0.25,
+        parallelism=shuffle_partitions(t.spark),
+    )
     return out.select("idx", "ok", "error", "attempts")
 
 
@@ -175,7 +180,15 @@ def _(t):
 )
 def _(t):
     settled = materialize(
-        X.guarded_map(t.orders, "o_orderkey", "o_totalprice", half_even, retries=2), "settled"
+        X.guarded_map(
+            t.orders,
+            "o_orderkey",
+            "o_totalprice",
+            halve,
+            retries=2,
+            parallelism=shuffle_partitions(t.spark),
+        ),
+        "settled",
     )
     values, errors = X.split_outcomes(settled)
     first = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import scalars as S
 from lakeloom.plans.registry import query
-from lakeloom.session import spread
+from lakeloom.session import shuffle_partitions
 
 
 @query("upper", "F1", "SELECT c_custkey, upper(c_mktsegment) AS tier FROM customer")
@@ -98,7 +98,9 @@ def _(t):
               lambda a, b: sha256(a)), 1, 16) AS hash FROM customer""",
 )
 def _(t):
-    return spread(t.customer.select("c_custkey")).select(
+    # 500 digests per row: spread by work, not by bytes
+    keys = t.customer.select("c_custkey").repartition(shuffle_partitions(t.spark))
+    return keys.select(
         "c_custkey", F.substring(S.sha256_iterated("c_custkey", 500), 1, 16).alias("hash")
     )
 

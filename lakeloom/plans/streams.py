@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions.scalars import epoch_micros
+from lakeloom.functions.scalars import epoch_micros, fixed_units
 from lakeloom.operators import lineage as L
 from lakeloom.plans.registry import query
 from lakeloom.plans.runlog import SQL_EWMA
@@ -14,28 +14,35 @@ from lakeloom.streaming import streams as S
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
-def in_time_order(t, columns=EVENT_COLUMNS, files: int = 4):
-    """Folder of event files, each covering a later range of ids than the one before.
+def event_parts(t, parts: int = 3):
+    """All events, cut into consecutive ranges of ids as they would arrive."""
+    events = t.events.select(*EVENT_COLUMNS)
+    step = (events.agg(F.max("event_id")).first()[0] or 0) // parts + 1
+    return [events.where(F.floor(F.col("event_id") / step) == i) for i in range(parts)]
+
 
-    File times follow the order of writing, which is the order streams read them in.
+def arrive(t, parts, take_up):
+    """Drop each part into an inbox and let ``take_up(stream, root)`` run after it.
+
+    Every run resumes from the checkpoint of the one before and sees the new
+    files only; the result of the last run is returned.
     """
-    events = t.events.select(*columns)
-    folder = scratch_path(t.spark, "inbox")
-    top = events.agg(F.max("event_id")).first()[0] or 0
-    step = top // files + 1
-    for i in range(files):
-        part = events.where(
-            (F.col("event_id") >= i * step) & (F.col("event_id") < (i + 1) * step)
-        )
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder, events.schema
+    inbox, root = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "stream")
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(inbox)
+        out = take_up(S.sensor_file_stream(t.spark, inbox, part.schema), root)
+    return out
 
 
 @query("sensor_file_stream", "ST1", "SELECT event_id, user_id, event_type, value FROM events")
 def _(t):
-    folder, schema = in_time_order(t)
-    rows = S.ingest_files(t.spark, folder, schema, max_files=1)
-    return rows.select("event_id", "user_id", "event_type", "value")
+    inbox, root = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "stream")
+    out = None
+    for part in event_parts(t):
+        part.write.mode("append").parquet(inbox)
+        out = S.ingest_files(t.spark, inbox, part.schema, max_files=100, root=root)
+    return out.select("event_id", "user_id", "event_type", "value")
 
 
 @query(
@@ -46,15 +53,17 @@ def _(t):
 )
 def _(t):
     """Three polls of the order table: first seen, unchanged, one price changed."""
-    folder = scratch_path(t.spark, "polls")
-    rows = t.orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    rows = t.orders.select("o_orderkey", fixed_units("o_totalprice", 2).alias("cents"))
     first = rows.agg(F.min("o_orderkey")).scalar()
     bump = F.when(F.col("o_orderkey") == first, 1).otherwise(0)
     changed = rows.withColumn("cents", F.col("cents") + bump)
-    for snapshot in (rows, rows, changed):
-        snapshot.coalesce(1).write.mode("append").parquet(folder)
-    stream = S.sensor_file_stream(t.spark, folder, rows.schema, max_files=1)
-    log = S.observation_log(t.spark, stream, "orders", ["o_orderkey", "cents"])
+    log = arrive(
+        t,
+        [rows, rows, changed],
+        lambda stream, root: S.observation_log(
+            t.spark, stream, "orders", ["o_orderkey", "cents"], root
+        ),
+    )
     return log.select("sensor", F.col("poll").cast("int").alias("poll"), "update_detected", "row_count")
 
 
@@ -74,9 +83,11 @@ def _(t):
     """One sensor per customer, polled before and after the last month of orders."""
 
     def poll(orders, number):
-        return orders.groupBy(F.col("o_custkey").alias("sensor")).agg(
-            F.count(F.lit(1)).alias("digest")
-        ).withColumn("poll", F.lit(number))
+        return (
+            orders.groupBy(F.col("o_custkey").alias("sensor"))
+            .agg(F.count(F.lit(1)).alias("digest"))
+            .withColumn("poll", F.lit(number))
+        )
 
     before = poll(t.orders.where(F.expr("o_orderdate < TIMESTAMP_NTZ '2001-07-01 00:00:00'")), 0)
     after = poll(t.orders, 1)
@@ -95,9 +106,13 @@ def _(t):
     "SELECT event_type, count(*) AS count FROM events WHERE value > 0.1 GROUP BY 1",
 )
 def _(t):
-    folder, schema = in_time_order(t)
-    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=2).where("value > 0.1")
-    return S.stream_type_counts(t.spark, stream, "event_type")
+    return arrive(
+        t,
+        event_parts(t),
+        lambda stream, root: S.stream_type_counts(
+            t.spark, stream.where("value > 0.1"), "event_type", root
+        ),
+    )
 
 
 @query(
@@ -106,27 +121,28 @@ def _(t):
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2""",
 )
 def _(t):
-    folder, schema = in_time_order(t)
-    # a late sentinel row moves the watermark past the last day, which closes it
-    last = t.events.agg(F.max("ts").alias("ts"))
-    last.select(
+    # a last sentinel row moves the watermark past the final day, which closes it
+    sentinel = t.events.agg(F.max("ts").alias("ts")).select(
         F.lit(-1).cast("bigint").alias("event_id"),
         (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"),
         F.lit(-1).cast("bigint").alias("user_id"),
         F.lit("sentinel").alias("event_type"),
         F.lit(0.0).alias("value"),
-    ).coalesce(1).write.mode("append").parquet(folder)
-    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
-    # the zoneless event time becomes the instant with the same UTC clock
-    stream = stream.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
-    daily = S.stream_daily_counts(t.spark, stream, "ts", ["event_type"], "1 day")
+    )
+
+    def take_up(stream, root):
+        # the zoneless event time becomes the instant with the same UTC clock
+        timed = stream.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
+        return S.stream_daily_counts(t.spark, timed, "ts", ["event_type"], "1 day", root)
+
+    daily = arrive(t, [*event_parts(t, 2), sentinel], take_up)
     return daily.where("event_type <> 'sentinel'")
 
 
 def per_type(df):
     return df.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
+        F.sum(fixed_units("value", 2)).alias("cents"),
         F.count_distinct("user_id").alias("users"),
     )
 
@@ -138,26 +154,42 @@ def per_type(df):
               count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
 )
 def _(t):
-    folder, schema = in_time_order(t, files=3)
-    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1).drop("file_name")
-    return S.stream_partition_refresh(t.spark, stream, ["event_type"], per_type)
+    return arrive(
+        t,
+        event_parts(t, 2),
+        lambda stream, root: S.stream_partition_refresh(
+            t.spark, stream.drop("file_name"), ["event_type"], per_type, root
+        ),
+    )
 
 
 @query("stream_dedupe", "ST7", "SELECT event_id, user_id, event_type FROM events")
 def _(t):
-    folder, schema = in_time_order(t, files=2)
-    # every file arrives a second time
-    t.events.select(*EVENT_COLUMNS).coalesce(1).write.mode("append").parquet(folder)
-    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
-    rows = stream.select("event_id", "user_id", "event_type", "ts")
-    return S.stream_dedupe(t.spark, rows, ["event_id"], "ts").drop("ts")
+    # the second arrival repeats every row of the first
+    events = t.events.select(*EVENT_COLUMNS)
+    out = arrive(
+        t,
+        [events, events],
+        lambda stream, root: S.stream_dedupe(
+            t.spark,
+            stream.select("event_id", "user_id", "event_type", "ts"),
+            ["event_id"],
+            "ts",
+            root=root,
+        ),
+    )
+    return out.drop("ts")
 
 
 @query("stream_ewma", "ST8", SQL_EWMA)
 def _(t):
-    folder, schema = in_time_order(t, files=3)
-    stream = S.sensor_file_stream(t.spark, folder, schema, max_files=1)
-    out = S.stream_ewma(t.spark, stream, "event_type", "event_id", "value")
+    out = arrive(
+        t,
+        event_parts(t),
+        lambda stream, root: S.stream_ewma(
+            t.spark, stream, "event_type", "event_id", "value", root
+        ),
+    )
     return out.withColumn("estimate", F.round("estimate", 6))
 
 

@@ -66,11 +66,6 @@ def write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """At least ``parts`` partitions (default: one per core) for work heavy per row.
-
-    File splits follow bytes, so a small file with much work per row would
-    otherwise be a single task. Input that is split enough is left alone.
-    """
-    wanted = parts or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Task count for work that is heavy per row, where file splits follow bytes instead."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

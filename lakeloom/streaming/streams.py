@@ -3,6 +3,9 @@
 Every batch is identified by its id, and every write made for a batch goes to a
 place named after that id and overwrites it. A batch that is replayed after a
 failure therefore leaves the same files.
+
+Functions with a ``root`` keep checkpoint and results there: called again with
+the same root they take up what arrived in between.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from lakeloom.operators.incremental import partition_digest
 from lakeloom.operators.ordered import asym_ewma
+from lakeloom.operators.partitions import restrict
 from lakeloom.session import scratch_path
 from lakeloom.sources.sinks import path_exists, sink_partitioned
 
@@ -56,11 +60,23 @@ def run_available(
         raise query.exception()
 
 
+def latest_batch(spark: SparkSession, folder: str) -> str:
+    """The folder of the newest batch below ``folder``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    ids = [int(e.getPath().getName().rsplit("_", 1)[1]) for e in entries]
+    return f"{folder}/batch_{max(ids)}"
+
+
 def ingest_files(
-    spark: SparkSession, folder: str, schema: StructType, max_files: int | None = None
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    max_files: int | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Table of all rows a file sensor has let in so far."""
-    root = scratch_path(spark, "ingest")
+    root = root or scratch_path(spark, "ingest")
     stream = sensor_file_stream(spark, folder, schema, max_files=max_files)
     run_available(stream, f"{root}/checkpoint", path=f"{root}/table")
     return spark.read.parquet(f"{root}/table")
@@ -88,10 +104,14 @@ def observe_change(
 
 
 def observation_log(
-    spark: SparkSession, stream: DataFrame, sensor: str, columns: Sequence[str]
+    spark: SparkSession,
+    stream: DataFrame,
+    sensor: str,
+    columns: Sequence[str],
+    root: str | None = None,
 ) -> DataFrame:
     """Poll once per batch: each batch is a snapshot compared with the poll before."""
-    root = scratch_path(spark, "observations")
+    root = root or scratch_path(spark, "observations")
     schema = "sensor string, update_detected boolean, digest string, row_count bigint, poll bigint"
 
     def poll(batch: DataFrame, batch_id: int) -> None:
@@ -119,29 +139,34 @@ def updated_sources(observations: DataFrame) -> DataFrame:
     )
 
 
-def stream_type_counts(spark: SparkSession, events: DataFrame, column: str) -> DataFrame:
+def stream_type_counts(
+    spark: SparkSession, events: DataFrame, column: str, root: str | None = None
+) -> DataFrame:
     """Running count per type; the table always holds the newest complete result."""
-    root = scratch_path(spark, "type-counts")
+    root = root or scratch_path(spark, "type-counts")
     counts = events.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    newest = {"id": -1}
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/result/batch_{batch_id}")
-        newest["id"] = batch_id
 
     run_available(counts, f"{root}/checkpoint", each=keep, mode="complete")
-    return spark.read.parquet(f"{root}/result/batch_{newest['id']}")
+    return spark.read.schema(counts.schema).parquet(latest_batch(spark, f"{root}/result"))
 
 
 def stream_daily_counts(
-    spark: SparkSession, events: DataFrame, ts: str, keys: Sequence[str], delay: str = "1 day"
+    spark: SparkSession,
+    events: DataFrame,
+    ts: str,
+    keys: Sequence[str],
+    delay: str = "1 day",
+    root: str | None = None,
 ) -> DataFrame:
     """Final counts per UTC day and key. A day is written once the watermark passes it.
 
     The watermark is what bounds the state: days older than ``delay`` behind the
     newest event are closed and their late rows dropped.
     """
-    root = scratch_path(spark, "daily-counts")
+    root = root or scratch_path(spark, "daily-counts")
     start = F.floor(F.unix_seconds("w.start") / 86_400).cast("int")
     daily = (
         events.withWatermark(ts, delay)
@@ -158,16 +183,15 @@ def stream_partition_refresh(
     stream: DataFrame,
     keys: Sequence[str],
     compute: Callable[[DataFrame], DataFrame],
+    root: str | None = None,
 ) -> DataFrame:
     """Keep ``compute`` of all rows so far, recomputing only the keys a batch touches.
 
     Batches are stored by key; a touched key is recomputed from its stored rows
     and its result directory is replaced, others are left alone.
     """
-    root = scratch_path(spark, "partition-refresh")
+    root = root or scratch_path(spark, "partition-refresh")
     keys = list(keys)
-    result_schema: list[StructType] = []
-
     def refresh(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         sink_partitioned(batch, f"{root}/rows/batch={batch_id}", keys)
@@ -175,23 +199,27 @@ def stream_partition_refresh(
         stored = session.read.schema(batch.schema).option("basePath", f"{root}/rows").parquet(
             *[f"{root}/rows/batch={i}" for i in range(batch_id + 1)]
         )
-        out = compute(stored.join(touched, keys, "left_semi"))
-        result_schema[:] = [out.schema]
-        sink_partitioned(out, f"{root}/result", keys)
+        sink_partitioned(compute(restrict(stored, touched, keys)), f"{root}/result", keys)
 
     run_available(stream, f"{root}/checkpoint", each=refresh)
-    return spark.read.schema(result_schema[0]).parquet(f"{root}/result")
+    shape = compute(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(shape).parquet(f"{root}/result")
 
 
 def stream_dedupe(
-    spark: SparkSession, stream: DataFrame, key: Sequence[str], ts: str, delay: str | None = None
+    spark: SparkSession,
+    stream: DataFrame,
+    key: Sequence[str],
+    ts: str,
+    delay: str | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Each key once, however often it is replayed.
 
     With ``delay`` the state forgets keys older than the watermark; without it
     every key is remembered.
     """
-    root = scratch_path(spark, "dedupe")
+    root = root or scratch_path(spark, "dedupe")
     unique = (
         stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
         if delay
@@ -202,7 +230,12 @@ def stream_dedupe(
 
 
 def stream_ewma(
-    spark: SparkSession, stream: DataFrame, key: str, order: str, value: str
+    spark: SparkSession,
+    stream: DataFrame,
+    key: str,
+    order: str,
+    value: str,
+    root: str | None = None,
 ) -> DataFrame:
     """Live estimate per key: (key, estimate, samples).
 
@@ -210,9 +243,8 @@ def stream_ewma(
     under the batch id. Rows are ordered within a batch; batches are taken to
     arrive in order.
     """
-    root = scratch_path(spark, "ewma")
+    root = root or scratch_path(spark, "ewma")
     schema = f"{key} {dict(stream.dtypes)[key]}, estimate double, samples bigint"
-    newest = {"id": -1}
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -224,10 +256,9 @@ def stream_ewma(
         )
         state = asym_ewma(batch, key, order, value, before)
         state.write.mode("overwrite").parquet(f"{root}/state/batch_{batch_id}")
-        newest["id"] = batch_id
 
     run_available(stream, f"{root}/checkpoint", each=fold)
-    return spark.read.schema(schema).parquet(f"{root}/state/batch_{newest['id']}")
+    return spark.read.schema(schema).parquet(latest_batch(spark, f"{root}/state"))
 
 
 def scheduled_refresh(
