@@ -7,10 +7,10 @@ Results per key that need all slices are merged by a second aggregation.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,33 +153,65 @@ def map_aligned(
     return _by_group(joined, [*keys, "_slice"], call, schema)
 
 
+class TimedCaller:
+    """Calls functions with a time limit on one helper thread.
+
+    Python cannot stop a running call, so after a timeout the thread is left
+    behind and the next call gets a new one.
+    """
+
+    def __init__(self, timeout: float | None):
+        self.timeout = timeout if timeout and timeout > 0 else None
+        self.todo: queue.SimpleQueue | None = None
+        self.done: queue.SimpleQueue | None = None
+
+    def __call__(self, fn: Callable[[object], object], item: object) -> object:
+        if self.timeout is None:
+            return fn(item)
+        if self.todo is None:
+            self.todo, self.done = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=self.serve, args=(self.todo, self.done), daemon=True).start()
+        self.todo.put((fn, item))
+        try:
+            value, error = self.done.get(timeout=self.timeout)
+        except queue.Empty:
+            self.todo = None
+            raise TimeoutError(f"no result within {self.timeout:g} seconds") from None
+        if error is not None:
+            raise error
+        return value
+
+    @staticmethod
+    def serve(todo: queue.SimpleQueue, done: queue.SimpleQueue) -> None:
+        while True:
+            fn, item = todo.get()
+            try:
+                done.put((fn(item), None))
+            except Exception as exc:
+                done.put((None, exc))
+
+
 def attempt(
     fn: Callable[[object], object],
     item: object,
     retries: int = 1,
     backoff: float = 0.0,
-    timeout: float | None = 300.0,
+    call: TimedCaller | None = None,
 ) -> tuple[bool, str | None, str | None, int]:
     """Call ``fn(item)`` up to ``retries`` times: (ok, value, error, attempts).
 
-    The wait after failed attempt ``n`` is ``backoff * n`` seconds. An attempt
-    over ``timeout`` seconds counts as failed; its thread is left behind, since
-    Python cannot stop it.
+    The wait after failed attempt ``n`` is ``backoff * n`` seconds; an attempt
+    over the caller's time limit counts as failed.
     """
+    call = call or TimedCaller(None)
     error = None
     tries = max(1, int(retries))
     for number in range(1, tries + 1):
-        pool = ThreadPoolExecutor(max_workers=1) if timeout and timeout > 0 else None
         try:
-            value = pool.submit(fn, item).result(timeout) if pool else fn(item)
+            value = call(fn, item)
             return True, None if value is None else str(value), None, number
-        except FutureTimeout:
-            error = f"TimeoutError: no result within {timeout:g} seconds"
         except Exception as exc:
             error = f"{type(exc).__name__}: {exc}"
-        finally:
-            if pool:
-                pool.shutdown(wait=False, cancel_futures=True)
         if number < tries and backoff > 0:
             time.sleep(backoff * number)
     return False, None, error, tries
@@ -192,7 +224,7 @@ def guarded_map(
     fn: Callable[[object], object],
     retries: int = 1,
     backoff: float = 0.0,
-    timeout: float | None = None,
+    timeout: float | None = 300.0,
     parallelism: int | None = None,
 ) -> DataFrame:
     """``fn`` over every item, all settled: (idx, ok, value, error, attempts).
@@ -204,9 +236,10 @@ def guarded_map(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = TimedCaller(timeout)
         for pdf in batches:
             rows = [
-                (i, *attempt(fn, x, retries, backoff, timeout))
+                (i, *attempt(fn, x, retries, backoff, call))
                 for i, x in zip(pdf["idx"], pdf["item"], strict=True)
             ]
             yield pd.DataFrame(rows, columns=["idx", "ok", "value", "error", "attempts"])

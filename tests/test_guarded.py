@@ -35,7 +35,7 @@ def test_attempts_and_backoff():
             raise ValueError("not yet")
         return "done"
 
-    assert X.attempt(flaky, None, retries=3, backoff=0.05, timeout=None) == (True, "done", None, 3)
+    assert X.attempt(flaky, None, retries=3, backoff=0.05) == (True, "done", None, 3)
     # the wait grows with the number of the failed attempt
     assert calls[1] - calls[0] >= 0.05
     assert calls[2] - calls[1] >= 0.10
@@ -50,9 +50,12 @@ def test_default_is_one_attempt_and_less_clamps_to_one():
 
 
 def test_timeout_is_an_error_value():
-    ok, value, error, attempts = X.attempt(lambda s: time.sleep(s), 5, timeout=0.1)
-    assert (ok, value, attempts) == (False, None, 1)
-    assert error.startswith("TimeoutError")
+    call = X.TimedCaller(0.1)
+    ok, value, error, attempts = X.attempt(time.sleep, 5, retries=2, call=call)
+    assert (ok, value, attempts) == (False, None, 2)
+    assert error == "TimeoutError: no result within 0.1 seconds"
+    # the caller goes on with a new thread
+    assert X.attempt(abs, -3, call=call) == (True, "3", None, 1)
 
 
 def test_empty_input(spark):
