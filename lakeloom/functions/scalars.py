@@ -124,7 +124,7 @@ def zip_map(names: Column, values: Column) -> Column:
 
 
 def sorted_concat(*arrays: Column) -> Column:
-    return F.array_sort(F.concat(*arrays))
+    return F.sort_array(F.concat(*arrays))
 
 
 def epoch_micros(c: Column | str) -> Column:

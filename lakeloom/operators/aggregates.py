@@ -209,7 +209,7 @@ def ordered_digest(df: DataFrame, index: str, digest: str, fanout: int = 1000) -
     while True:
         level = (
             level.groupBy(F.floor(F.col("i") / fanout).alias("i"))
-            .agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("items"))
+            .agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("items"))
             .select("i", F.sha2(F.concat_ws("", F.col("items.h")), 256).alias("h"))
         )
         if top < fanout:

@@ -39,7 +39,7 @@ def run_fingerprint_of(
         return F.when(value.isNull(), "").otherwise(F.concat(F.lit(label), value, F.lit("\n")))
 
     lines = F.transform(
-        F.array_sort(upstream), lambda u: F.concat(F.lit("upstream:"), u, F.lit("\n"))
+        F.sort_array(upstream), lambda u: F.concat(F.lit("upstream:"), u, F.lit("\n"))
     )
     return F.sha2(
         F.concat(
@@ -60,24 +60,31 @@ def gather_upstream(
     """Upstream ids of each step as one bounded array: (step, n_upstream, upstream_ids).
 
     A step with at most ``inline`` ids lists them all. A larger fan-in lists one
-    sha256 per hash bucket of its ids instead, which is as sensitive to any
-    change and independent of order, and is built by one task per bucket.
+    token instead, the sum of its id hashes: independent of order, changed by any
+    id, and built by partial aggregation without ever gathering the ids.
     """
     wide = F.col("_hot_rows").isNotNull()
-    bucket = F.when(wide, F.substring(F.md5(upstream), 1, 4)).otherwise("")
-    lists = (
-        mark_hot(pairs.select(step, upstream), [step], inline)
-        .groupBy(step, wide.alias("_wide"), bucket.alias("_bucket"))
+    hashed = mark_hot(pairs.select(step, upstream), [step], inline).select(
+        step,
+        wide.alias("_wide"),
+        F.when(~wide, F.col(upstream)).alias("_id"),
+        *[F.when(wide, F.xxhash64(F.lit(seed), upstream)).alias(f"_h{seed}") for seed in (1, 2)],
+    )
+    n = F.count(F.lit(1))
+    sums = [_exact_hash_sum(c).cast("string") for c in ("_h1", "_h2")]
+    token = F.sha2(F.concat_ws("-", n.cast("string"), *sums), 256)
+    return (
+        hashed.groupBy(step, "_wide")
         .agg(
-            F.array_sort(F.collect_list(upstream)).alias("_ids"), F.count(F.lit(1)).alias("_n")
+            n.alias("n_upstream"),
+            F.sort_array(F.collect_list("_id")).alias("_ids"),
+            token.alias("_token"),
+        )
+        .select(
+            step,
+            "n_upstream",
+            F.when(F.col("_wide"), F.array("_token")).otherwise(F.col("_ids")).alias("upstream_ids"),
         )
-    )
-    part = F.when(
-        F.col("_wide"), F.array(F.sha2(F.array_join("_ids", "\n"), 256))
-    ).otherwise(F.col("_ids"))
-    return lists.groupBy(step).agg(
-        F.sum("_n").alias("n_upstream"),
-        F.array_sort(F.flatten(F.collect_list(part))).alias("upstream_ids"),
     )
 
 

@@ -148,7 +148,7 @@ def asym_ewma(
     level = (
         seen.groupBy(key, F.floor(F.col("_o") / block_rows).alias("_block"))
         .agg(
-            F.array_sort(F.collect_list(F.struct("_o", "_x"))).alias("_obs"),
+            F.sort_array(F.collect_list(F.struct("_o", "_x"))).alias("_obs"),
             F.count(F.lit(1)).alias("_n"),
         )
         .select(key, "_block", "_n", *settle(F.lit(None).cast("double"), F.col("_obs._x")))
@@ -158,7 +158,7 @@ def asym_ewma(
         last_block //= fanout
         merged = level.groupBy(key, F.floor(F.col("_block") / fanout).alias("_up")).agg(
             F.sum("_n").alias("_n"),
-            F.array_sort(F.collect_list(F.struct("_block", "_start", "_xs"))).alias("_parts"),
+            F.sort_array(F.collect_list(F.struct("_block", "_start", "_xs"))).alias("_parts"),
             F.max(F.when(F.col("_start").isNotNull(), F.col("_block"))).alias("_known"),
         )
         # whatever precedes the last block with a known result has no influence

@@ -91,7 +91,7 @@ def partition_combos(dims: Mapping[str, DataFrame]) -> DataFrame:
 
 def key_suffix(keys: Column) -> Column:
     """``k1=v1,k2=v2`` of a map column, dimensions sorted."""
-    entries = F.array_sort(F.map_entries(keys))
+    entries = F.sort_array(F.map_entries(keys))
     return F.array_join(
         F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","
     )
@@ -153,7 +153,7 @@ def collect_list_by(
     return (
         _chunked(df, parent, order, chunk_rows)
         .groupBy(parent, "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_items"))
         .select(parent, "chunk", F.col(f"_items.{value}").alias("items"))
     )
 
@@ -166,7 +166,7 @@ def collect_map_by(
         _chunked(df, parent, order, chunk_rows)
         .groupBy(parent, "chunk")
         .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("items")
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("items")
         )
         .select(parent, "chunk", "items")
     )

@@ -110,7 +110,7 @@ def _(t):
     customers = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
     key, balance = F.col("c_custkey"), F.col("c_acctbal")
     # the partitions of a customer asset are the market segments seen in the data
-    segments = F.array_sort(F.collect_set("c_mktsegment"))
+    segments = F.sort_array(F.collect_set("c_mktsegment"))
     spread = customers.withColumn("seg", F.explode(t.customer.agg(segments).scalar()))
 
     def hashed(tag, seg):

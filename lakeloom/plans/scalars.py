@@ -68,7 +68,7 @@ def _(t):
     line = F.concat("event_type", F.lit(": "), S.percent_format("rate"))
     # one line per event type: the list is as short as the report itself
     return rates.groupBy("total").agg(
-        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report")
+        F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("report")
     )
 
 

@@ -14,7 +14,7 @@ from lakeloom.streaming import streams as S
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
-def event_parts(t, parts: int = 3):
+def event_parts(t, parts: int = 2):
     """All events, cut into consecutive ranges of ids as they would arrive."""
     events = t.events.select(*EVENT_COLUMNS)
     step = (events.agg(F.max("event_id")).first()[0] or 0) // parts + 1
@@ -135,7 +135,7 @@ def _(t):
         timed = stream.withColumn("ts", F.timestamp_micros(epoch_micros("ts")))
         return S.stream_daily_counts(t.spark, timed, "ts", ["event_type"], "1 day", root)
 
-    daily = arrive(t, [*event_parts(t, 2), sentinel], take_up)
+    daily = arrive(t, [*event_parts(t), sentinel], take_up)
     return daily.where("event_type <> 'sentinel'")
 
 
@@ -156,7 +156,7 @@ def per_type(df):
 def _(t):
     return arrive(
         t,
-        event_parts(t, 2),
+        event_parts(t),
         lambda stream, root: S.stream_partition_refresh(
             t.spark, stream.drop("file_name"), ["event_type"], per_type, root
         ),
