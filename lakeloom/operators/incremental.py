@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.scalars import hex_to_int
 from lakeloom.operators.joins import semi_join_hits
 from lakeloom.operators.ordered import latest_success, mark_hot
-from lakeloom.operators.partitions import key_suffix, restrict
+from lakeloom.operators.partitions import key_predicate, key_suffix
 from lakeloom.operators.sets import merge_logs, universe_diff
 from lakeloom.session import materialize
 
@@ -209,18 +209,21 @@ def incremental_refresh(
 
     ``current`` and ``recorded`` hold the fingerprint per key now and at the
     time ``previous`` was built. Keys that left the source leave the result.
-    The fingerprints and the stale keys, one row per key each, are written
-    once and read wherever they are needed.
+    The fingerprints, one row per key, are written once and read where needed;
+    few stale keys become a predicate that the scan of the source can prune by.
     """
     keys = list(keys)
     current = materialize(current.select(*keys, fingerprint), "fingerprints")
-    stale = materialize(
-        stale_partitions(current, recorded, keys, fingerprint).select(*keys), "stale"
-    )
-    fresh = compute(restrict(source, stale, keys))
-    kept = current.select(*keys).join(stale, keys, "left_anti")
-    reused = previous.join(kept, keys, "left_semi")
-    return fresh.unionByName(reused)
+    stale = stale_partitions(current, recorded, keys, fingerprint).select(*keys)
+    listed = key_predicate(stale, keys)
+    if listed is not None:
+        fresh, kept = source.where(listed), current.where(~listed)
+    else:
+        stale = materialize(stale, "stale")
+        fresh = source.join(stale, keys, "left_semi")
+        kept = current.join(stale, keys, "left_anti")
+    reused = previous.join(kept.select(*keys), keys, "left_semi")
+    return compute(fresh).unionByName(reused)
 
 
 def refresh_policy(

@@ -3,7 +3,7 @@
 Graphs of any size are walked level by level. Each level is one Spark job that
 writes the newly reached nodes to a scratch table, so the plan of the next level
 stays small and a lost executor costs no more than the current level. The walk
-ends when a level is empty; only that row count reaches the driver.
+ends when a level is empty; nothing but that reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.session import materialize, materialize_counted, scratch_path, write_counted
+from lakeloom.session import materialize, scratch_path, write_table
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
@@ -29,9 +29,9 @@ def _walk(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataF
     frontier = reached
     while True:
         path = f"{root}/level_{len(paths)}"
-        level, size = write_counted(frontier, path)
+        level = write_table(frontier, path)
         paths.append(path)
-        if size == 0:
+        if level.isEmpty():
             break
         seen = spark.read.schema(schema).parquet(*paths)
         frontier = (
@@ -76,9 +76,9 @@ def topo_level(edges: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> Dat
     root = scratch_path(nodes.sparkSession, "levels")
     levels: list[DataFrame] = []
     while True:
-        level, size = write_counted(frontier, f"{root}/level_{len(levels)}")
+        level = write_table(frontier, f"{root}/level_{len(levels)}")
         levels.append(level.withColumn("level", F.lit(len(levels)).cast("bigint")))
-        if size == 0:
+        if level.isEmpty():
             break
         if len(levels) > max_depth:
             raise ValueError(f"paths longer than {max_depth}: cyclic edges or a low max_depth")
@@ -118,20 +118,20 @@ def cycle_core(edges: DataFrame) -> DataFrame:
     Edges are dropped while their start has no incoming or their end no
     outgoing edge. Trimming both ends removes at least half of a tree per round.
     """
-    live, n = materialize_counted(edges.select("upstream", "downstream").distinct(), "live")
+    live = materialize(edges.select("upstream", "downstream").distinct(), "live")
+    n = live.count()
     while n:
         ends = live.select(F.col("downstream").alias("upstream")).distinct()
         starts = live.select(F.col("upstream").alias("downstream")).distinct()
-        kept, m = materialize_counted(
+        live = materialize(
             live.join(ends, "upstream", "left_semi")
             .join(starts, "downstream", "left_semi")
             .select("upstream", "downstream"),
             "live",
         )
-        live = kept
-        if m == n:
+        before, n = n, live.count()
+        if n == before:
             break
-        n = m
     return live
 
 

@@ -193,9 +193,17 @@ def value_splits(df: DataFrame, value: str, block_rows: int = 1_000_000) -> list
 
     They only balance work: results never depend on how exact they are.
     """
-    blocks = min(8192, max(64, df.count() // block_rows))
-    fractions = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(value, fractions, max(10_000, 10 * blocks))).first()[0]
+
+    def splits(blocks: int):
+        fractions = [i / blocks for i in range(1, blocks)]
+        accuracy = max(10_000, 10 * blocks)
+        return df.agg(
+            F.count(value), F.percentile_approx(value, fractions, accuracy)
+        ).first()
+
+    rows, found = splits(64)
+    if rows > 64 * block_rows:
+        _, found = splits(min(8192, rows // block_rows))
     return [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
 
 

@@ -193,19 +193,36 @@ def single_partition(df: DataFrame, keys: Mapping[str, object]) -> DataFrame:
     return df.where(reduce(and_, [F.col(k) == F.lit(v) for k, v in keys.items()]))
 
 
-def restrict(df: DataFrame, wanted: DataFrame, keys: Sequence[str], limit: int = 1000) -> DataFrame:
-    """Rows of the wanted keys.
+def key_predicate(wanted: DataFrame, keys: Sequence[str], limit: int = 1000) -> Column | None:
+    """Predicate naming the keys of ``wanted``, or None when there are more than ``limit``.
 
-    Up to ``limit`` keys become a literal predicate, which prunes directories and
-    row groups before anything is read; more are met by a semi join.
+    It never evaluates to null, so its negation names all other keys.
     """
     few = wanted.select(*keys).distinct().limit(limit + 1).collect()
     if len(few) > limit:
-        return df.join(wanted.select(*keys), list(keys), "left_semi")
+        return None
+    if not few:
+        return F.lit(False)
     if len(keys) == 1:
-        return df.where(F.col(keys[0]).isin([row[0] for row in few]))
-    either = [reduce(and_, [F.col(k) == F.lit(row[k]) for k in keys]) for row in few]
-    return df.where(reduce(or_, either, F.lit(False)))
+        values = [row[0] for row in few]
+        named = F.col(keys[0]).isin([v for v in values if v is not None])
+        if None in values:
+            named = named | F.col(keys[0]).isNull()
+        return F.coalesce(named, F.lit(False)) if None in values else named
+    each = [reduce(and_, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in few]
+    return reduce(or_, each)
+
+
+def restrict(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the wanted keys.
+
+    Few keys become a literal predicate, which prunes directories and row groups
+    before anything is read; more are met by a semi join.
+    """
+    listed = key_predicate(wanted, keys)
+    if listed is None:
+        return df.join(wanted.select(*keys), list(keys), "left_semi")
+    return df.where(listed)
 
 
 def partition_completeness(keys: DataFrame, log: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lakeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,19 +50,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage with a table that outlives lost executors, and gives later
     joins a true size to choose a broadcast by.
     """
-    return materialize_counted(df, label)[0]
+    return write_table(df, scratch_path(df.sparkSession, label))
 
 
-def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As :func:`materialize`, with the row count taken during the same write."""
-    return write_counted(df, scratch_path(df.sparkSession, label))
-
-
-def write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Write ``df`` to ``path``; the table read back and its row count."""
-    seen = Observation(f"rows-{uuid.uuid4().hex}")
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path``; the table read back. Counting it reads file footers only."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

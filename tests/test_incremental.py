@@ -136,3 +136,17 @@ def test_step_id_round_trip(spark):
     for base, suffix, text, got_base, got in (tuple(r) for r in back.collect()):
         assert text == (f"{base}[{suffix}]" if suffix else base)
         assert (got_base, got) == (base, suffix)
+
+
+def test_key_predicate_covers_nulls_and_limits(spark):
+    from lakeloom.operators.partitions import key_predicate, restrict
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "k string, v int")
+    wanted = spark.createDataFrame([("a",), (None,)], "k string")
+    named = key_predicate(wanted, ["k"])
+    assert rows(df.where(named), "v") == [(1,), (3,)]
+    assert rows(df.where(~named), "v") == [(2,), (4,)]
+    assert df.where(key_predicate(wanted.where("false"), ["k"])).count() == 0
+    assert key_predicate(wanted, ["k"], limit=1) is None
+    pairs = spark.createDataFrame([("a", 1), ("c", 9)], "k string, v int")
+    assert rows(restrict(df, pairs, ["k", "v"])) == [("a", 1)]
