@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.scalars import hex_to_int
 from lakeloom.operators.joins import semi_join_hits
 from lakeloom.operators.ordered import latest_success, mark_hot
-from lakeloom.operators.partitions import key_predicate, key_suffix
+from lakeloom.operators.partitions import key_predicate
 from lakeloom.operators.sets import merge_logs, universe_diff
 from lakeloom.session import materialize
 
@@ -319,12 +319,3 @@ def continuity_key(name: Column, file: Column, function: Column) -> Column:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("definitions")).where("definitions > 1")
-
-
-def step_fingerprints(steps: DataFrame, definition: Column, keys: Column) -> DataFrame:
-    """Run hash of partitioned steps without upstreams."""
-    none = F.lit(None).cast("string")
-    return steps.withColumn(
-        "run_hash",
-        run_fingerprint_of(definition, key_suffix(keys), F.array().cast("array<string>"), none),
-    )

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.scalars import md5_8, unit_score
+from lakeloom.functions.scalars import unit_score
 from lakeloom.operators.ordered import mark_hot, order_block
 from lakeloom.operators.sets import universe_diff
 
@@ -131,10 +131,6 @@ def enrich_with_hash(df: DataFrame, *parts: str) -> DataFrame:
     return df.withColumn("hash", F.substring(F.sha2(token, 256), 1, 8))
 
 
-def hashed_id(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("h", md5_8(column))
-
-
 def _chunked(df: DataFrame, parent: str, order: str, chunk_rows: int) -> DataFrame:
     chunk = F.when(F.col("_hot_rows").isNull(), 0).otherwise(order_block(order, chunk_rows))
     marked = mark_hot(df, [parent], chunk_rows)

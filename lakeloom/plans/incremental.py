@@ -39,6 +39,21 @@ def _(t):
     return catalog(t)
 
 
+@query(
+    "partition_source_fingerprint",
+    "I2",
+    """SELECT user_id, sha256('partition_source:1.0.0' || chr(10) || '["' ||
+              string_agg(DISTINCT event_type, '","' ORDER BY event_type) || '"]') AS source_hash
+       FROM events GROUP BY user_id""",
+)
+def _(t):
+    # the values are event types, few however many events a user has
+    values = F.to_json(F.sort_array(F.collect_set("event_type")))
+    return t.events.groupBy("user_id").agg(
+        I.partition_source_fingerprint(values).alias("source_hash")
+    )
+
+
 SQL_RUN_HASH = """
     d AS (SELECT o_orderkey, sha256('definition:1.0.0' || chr(10) || o_orderpriority || chr(10) ||
               chr(10) || '{}') AS definition_hash FROM orders),
