@@ -255,7 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
 
 
-def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded binary) from what ``encode`` returns; null ids decode to nothing."""
     content = _content(tokens, ranks_path)
 
@@ -274,8 +274,8 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", with_ids:
     return source.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
-def with_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` returns."""
+def with_digests(decoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` returns; the ids too if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,12 +285,16 @@ def with_digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
             at = np.concatenate([[0], np.cumsum(sizes)])
             ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             texts = [hashlib.sha256(t or b"").hexdigest() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(lists)
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = decoded.schema[id_col].dataType.simpleString()
     return decoded.select(id_col, "ids", "decoded").mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run,
+        f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        + ", ids array<int>" * with_ids,
     )

@@ -9,7 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, chat, decontaminate, exact_dedup, licenses, token_counts, url_filter
+from lakeloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    licenses,
+    ngram_join,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +80,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op2_ngram_jaccard",
+    f"""
+WITH RECURSIVE d AS (
+       SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (
+       SELECT DISTINCT doc_id, w[k:k + 2] AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     pairs AS (
+       SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+       GROUP BY ALL),
+     links AS (
+       SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+       WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+     reach AS (
+       SELECT doc_id AS a, doc_id AS b FROM d
+       UNION
+       SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     "op3_exact_dedup",
     f"""
@@ -88,6 +126,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_exact", "n_near", "n_quoted"
+    )
+
+
 @query("op6_chat_formatting")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'</s>[INST] ok [/INST]'"
