@@ -1,15 +1,15 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-The global order of all n-grams is cut into fragments by their hash; inside a
-fragment the frequent ones come last. A set's n-grams in a fragment are its
-segment. If the Jaccard similarity of two sets reaches the threshold, that of
-their segments does in one fragment at least, so two such sets share an n-gram
-of a segment's prefix there. Prefixes give candidate pairs; for these, every
-fragment counts its own part of the overlap, and the parts are summed per pair.
+All n-grams have one global order: rare ones by hash, then the frequent ones by
+frequency and hash. Two sets that reach the threshold share a few n-grams of
+their prefixes in this order, which gives candidate pairs. The n-grams are cut
+into fragments by ranges of their hash; for the candidates every fragment counts
+its own part of the overlap, and the parts are summed per pair.
 
 Only one set of each content takes part. N-grams that many prefixes share are
 not expanded into pairs: their sets are compared with a few leaders first, and
 again in further rounds, until all of them are in one component or compared.
+Rare n-grams that two sets do not share rule most of these comparisons out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.components import components
@@ -34,11 +34,18 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 #: Frequent n-grams, broadcast to be ordered last: at most this many, from as many of each task.
 FREQUENT, TASK_FREQUENT = 262_144, 16_384
 #: Sets of one n-gram that are paired at once; larger blocks go by rounds of leaders.
-BLOCK = 32
+BLOCK = 64
 #: Leaders of a block in the first round, and how many times more in each next one.
-LEADERS, LEADERS_GROW = 4, 4
+LEADERS, LEADERS_GROW = 4, 8
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
-TASK_POSTINGS, TASK_PAIRS = 2_000_000, 100_000
+TASK_POSTINGS, TASK_PAIRS = 2_000_000, 20_000
+#: Set sizes from which two and three n-grams of a prefix have to be common.
+TWO_FROM, THREE_FROM = 48, 96
+
+
+def _common(size: np.ndarray) -> np.ndarray:
+    """N-grams that a set of this size shares with a similar one within both prefixes, at least."""
+    return 1 + (size >= TWO_FROM) + (size >= THREE_FROM)
 
 
 class Sets:
@@ -106,11 +113,15 @@ def _members(k: int):
     return run
 
 
-_POSTINGS = "bucket int, grams binary, sets binary, sizes binary, segments binary, places binary"
+_POSTINGS = "bucket int, grams binary, sets binary, sizes binary, rares binary"
 
 
 def _postings(k: int, num: int, den: int, buckets: int, frequent):
-    """Prefixes of all segments, packed by bucket of their n-gram; bucket -1 has the frequent n-grams."""
+    """Prefixes of all sets, packed by bucket of their n-gram; bucket -1 has the frequent n-grams.
+
+    A posting has the set's size and the number of rare n-grams in its prefix, -1
+    if there are no others in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = HashTable(*frequent.value)
@@ -122,15 +133,16 @@ def _postings(k: int, num: int, den: int, buckets: int, frequent):
                 if not len(gram):
                     continue
                 rank = table.get(gram).astype(np.int64)
-                segment = row * FRAGMENTS + (gram >> U8(64 - FRAGMENT_BITS)).astype(np.int64)
-                order = np.argsort(segment * 64 + rank, kind="stable")  # ties stay in the order of hashes
-                gram, row, rank, segment = gram[order], row[order], rank[order], segment[order]
-                first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-                size = np.diff(np.append(first, len(segment)))
-                place = np.arange(len(segment)) - np.repeat(first, size)
-                size = np.repeat(size, size)
-                keep = np.flatnonzero(place <= size - (size * num + den - 1) // den)
-                gram, row, rank, size, place = gram[keep], row[keep], rank[keep], size[keep], place[keep]
+                order = np.argsort(row * 64 + rank, kind="stable")  # ties stay in the order of hashes
+                gram, row, rank = gram[order], row[order], rank[order]
+                size = made.sizes[row]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                place = np.arange(len(row)) - np.repeat(first, size[first])
+                # of so long a prefix, at least _common(size) n-grams are in a similar set's prefix
+                keep = np.flatnonzero(place < size - (size * num + den - 1) // den + _common(size))
+                gram, row, rank, size = gram[keep], row[keep], rank[keep], size[keep]
+                rare = np.bincount(row, rank == 0, len(chunk)).astype(np.int64)
+                rare[rare == np.bincount(row, minlength=len(chunk))] = -1
                 bucket = np.where(rank > 0, -1, (gram % U8(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
                 bucket = bucket[order]
@@ -139,40 +151,45 @@ def _postings(k: int, num: int, den: int, buckets: int, frequent):
                 columns = [
                     gram[order],
                     made.ids[row[order]],
-                    made.sizes[row[order]].astype("<u4"),
-                    size[order].astype("<u4"),
-                    place[order].astype("<u4"),
+                    size[order].astype("<i4"),
+                    rare[row[order]].astype("<i4"),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket[cuts], pa.int32()),
                         *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for c in columns),
                     ],
-                    ["bucket", "grams", "sets", "sizes", "segments", "places"],
+                    ["bucket", "grams", "sets", "sizes", "rares"],
                 )
 
     return run
 
 
 def _unpacked(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    kinds = {"grams": "<u8", "sets": "<i8", "sizes": "<u4", "segments": "<u4", "places": "<u4"}
+    kinds = {"grams": "<u8", "sets": "<i8", "sizes": "<i4", "rares": "<i4"}
     return [
         np.frombuffer(b"".join(table.column(c).to_pylist()), kind).astype(kind if c in ("grams", "sets") else np.int64)
         for c, kind in kinds.items()
     ]
 
 
-_PAIRS = "a bigint, b bigint, na bigint, nb bigint, gram bigint"
+_PAIRS = (
+    "a bigint, b bigint, na bigint, nb bigint, ra bigint, rb bigint, hits bigint, "
+    "gram bigint, set_id bigint, n bigint, rare bigint"
+)
+_BLOCK_ROW = ("gram", "set_id", "n", "rare")
 
 
 def _find_pairs(num: int, den: int):
+    """In a bucket of n-grams: pairs with the number of n-grams they share, and the rows of large blocks."""
+
     def run(table: pa.Table) -> pa.Table:
-        gram, set_id, n, segment, place = _unpacked(table)
+        gram, set_id, n, rare = _unpacked(table)
         order = np.lexsort((set_id, gram))
-        gram, set_id, n, segment, place = (x[order] for x in (gram, set_id, n, segment, place))
+        gram, set_id, n, rare = (x[order] for x in (gram, set_id, n, rare))
         # the same set from several tasks
         once = np.append(True, (gram[1:] != gram[:-1]) | (set_id[1:] != set_id[:-1]))
-        gram, set_id, n, segment, place = (x[once] for x in (gram, set_id, n, segment, place))
+        gram, set_id, n, rare = (x[once] for x in (gram, set_id, n, rare))
         first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         size = np.diff(np.append(first, len(gram)))
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -183,35 +200,40 @@ def _find_pairs(num: int, den: int):
                 left.append((at[:, None] + i).ravel())
                 right.append((at[:, None] + j).ravel())
         a, b = np.concatenate(left), np.concatenate(right)
-        # sizes of the sets, and what the segments can share from this n-gram on
         keep = den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])
-        most = np.minimum(segment[a] - place[a], segment[b] - place[b]) + np.minimum(place[a], place[b])
-        keep &= (num + den) * most >= num * (segment[a] + segment[b])
         a, b = a[keep], b[keep]
         order = np.lexsort((set_id[b], set_id[a]))
         a, b = a[order], b[order]
-        once = np.append(True, (set_id[a[1:]] != set_id[a[:-1]]) | (set_id[b[1:]] != set_id[b[:-1]])) if len(a) else np.empty(0, bool)
+        x, y = set_id[a], set_id[b]
+        once = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(a)])
+        hits = np.diff(np.append(once, len(a)))
         a, b = a[once], b[once]
         big = np.flatnonzero(np.repeat(size > BLOCK, size))
-        nothing = np.zeros(len(big), np.int64)
-        pairs = pa.table(
+        some = lambda v: pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(big), pa.int64())])
+        more = lambda v: pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(v, pa.int64())])
+        return pa.table(
             {
-                "a": np.concatenate([set_id[a], set_id[big]]),
-                "b": pa.array(np.concatenate([set_id[b], nothing]), mask=np.append(np.zeros(len(b), bool), nothing == 0)),
-                "na": np.concatenate([n[a], n[big]]),
-                "nb": np.concatenate([n[b], nothing]),
-                "gram": np.concatenate([np.zeros(len(a), np.int64), gram[big].view(np.int64)]),
+                "a": some(set_id[a]),
+                "b": some(set_id[b]),
+                "na": some(n[a]),
+                "nb": some(n[b]),
+                "ra": some(rare[a]),
+                "rb": some(rare[b]),
+                "hits": some(hits),
+                "gram": more(gram[big].view(np.int64)),
+                "set_id": more(set_id[big]),
+                "n": more(n[big]),
+                "rare": more(rare[big]),
             }
         )
-        return pairs
 
     return run
 
 
 def _frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gram, set_id, n, _, _ = _unpacked(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(set_id), pa.array(n)], ["gram", "set_id", "n"])
+        gram, *rest = _unpacked(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, rest)], list(_BLOCK_ROW))
 
 
 def _segments(k: int):
@@ -275,9 +297,13 @@ def _partial_overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: str) -> DataFrame:
-    """The pairs (a, b) that reach the threshold; ``pairs`` is a written table of distinct ones."""
+    """The pairs (a, b) that reach the threshold; ``pairs`` is a written table of distinct ones.
+
+    Pairs are dealt to tasks by their ``key``, the end that is no leader, so that
+    its segments go to one task and only the few leaders' to many.
+    """
     buckets = max(1, -(-pairs.count() // TASK_PAIRS))
-    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int"))
+    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).drop("key")
     needed = (
         dealt.select("bucket", F.col("a").alias("set_id"))
         .unionByName(dealt.select("bucket", F.col("b").alias("set_id")))
@@ -294,12 +320,14 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: st
     return materialize(total.where(f"{den} * o >= {num} * (na + nb - o)").select("a", "b"), label)
 
 
-def _leader_pairs(blocks: DataFrame, leaders: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, leaders) of the next round for blocks (gram, set_id, n, root) that hold several components.
+def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, leaders) of the next round for blocks that hold several components.
 
-    Leaders come from outside the largest component of a block, sets of small
-    components first. Each is compared with all sets of its block that are in
-    other components, and so need not be looked at again.
+    A block's rows are (gram, frequent, set_id, n, rare, root). Leaders come from
+    outside its largest component, sets of small components first. A leader
+    meets the sets of all its blocks that are in other components, and need not
+    be looked at again. What two sets share of their prefixes decides whether
+    they become a pair; ``few`` (a, b, hits) has what they share besides.
     """
     parts = blocks.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("gram").agg(
@@ -308,19 +336,49 @@ def _leader_pairs(blocks: DataFrame, leaders: int, num: int, den: int) -> tuple[
     open_ = blocks.join(largest.where("n_roots > 1").select("gram", "largest"), "gram")
     outside = open_.where("root <> largest").join(parts, ["gram", "root"])
     rank = F.row_number().over(Window.partitionBy("gram").orderBy("size", "root", "set_id"))
-    chosen = outside.withColumn("rank", rank).where(F.col("rank") <= leaders).select(
-        "gram", F.col("set_id").alias("leader"), F.col("n").alias("n_leader"), F.col("root").alias("leader_root")
+    chosen = outside.withColumn("rank", rank).where(F.col("rank") <= leaders).select("set_id").distinct()
+    chosen = materialize(chosen, "leaders")
+    leader = open_.join(chosen, "set_id", "left_semi").select(
+        "gram", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "rare", "root"))
     )
-    met = open_.join(chosen, "gram").where(
-        f"root <> leader_root and {den} * least(n, n_leader) >= {num} * greatest(n, n_leader)"
+    first = F.col("set_id") < F.col("l_set_id")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+
+    def meetings(which: str) -> DataFrame:
+        met = open_.where("frequent" if which else "not frequent").join(leader, "gram")
+        met = met.where(f"root <> l_root and {den} * least(n, l_n) >= {num} * greatest(n, l_n) {which}")
+        sides = [("set_id", "a", "b"), ("n", "na", "nb"), ("rare", "ra", "rb")]
+        key = [c for x, a, b in sides for c in (pick(x, f"l_{x}", a), pick(f"l_{x}", x, b))]
+        # two leaders meet from both sides
+        return met.groupBy(*key).agg(F.count_distinct("gram").alias("met"), F.max("set_id").alias("key"))
+
+    # without a rare n-gram in common, all that is shared is frequent
+    plain = meetings("and " + _possible("n", "l_n", "rare", "l_rare", "0", num, den)).where(F.col("met") >= _need("na", "nb"))
+    other = meetings("").join(few, ["a", "b"], "left").withColumn("h", F.col("met") + F.coalesce("hits", F.lit(0)))
+    other = other.where(
+        F.when(F.expr("ra >= 0 and rb >= 0"), F.expr(_possible("na", "nb", "ra", "rb", "h", num, den))).otherwise(
+            F.col("h") >= _need("na", "nb")
+        )
     )
-    pairs = met.select(
-        F.least("set_id", "leader").alias("a"),
-        F.greatest("set_id", "leader").alias("b"),
-        F.when(F.col("set_id") < F.col("leader"), F.col("n")).otherwise(F.col("n_leader")).alias("na"),
-        F.when(F.col("set_id") < F.col("leader"), F.col("n_leader")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
-    return pairs, chosen.select("gram", F.col("leader").alias("set_id"))
+    columns = ("a", "b", "na", "nb", "key")
+    return _once(plain.select(*columns).unionByName(other.select(*columns))), chosen
+
+
+def _need(na: str, nb: str) -> Column:
+    size = F.least(na, nb)
+    return 1 + (size >= TWO_FROM).cast("bigint") + (size >= THREE_FROM).cast("bigint")
+
+
+def _possible(na: str, nb: str, ra: str, rb: str, shared: str, num: int, den: int) -> str:
+    """Whether two sets can be similar that have so many rare n-grams and share so many of them.
+
+    A prefix that reaches the frequent n-grams has all rare ones of its set.
+    """
+    return f"{num + den} * least({na} - {ra} + {shared}, {nb} - {rb} + {shared}) >= {num} * ({na} + {nb})"
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.max("key").alias("key"))
 
 
 def near_duplicates(
@@ -372,22 +430,37 @@ def near_duplicates(
     keys = top.column("gram").to_numpy().view(U8)
     ranks = np.minimum(62, np.log2(top.column("count").to_numpy() + 1)).astype(np.int32)
     frequent = spark.sparkContext.broadcast((keys, ranks))
-    buckets = max(16, -(-total * (den - num + den // FRAGMENTS) // den // TASK_POSTINGS))
+    buckets = max(16, -(-total * (den - num) // den // TASK_POSTINGS))
     postings = materialize(source.mapInArrow(_postings(words, num, den, buckets, frequent), _POSTINGS), "prefixes")
     found = materialize(
         postings.where("bucket >= 0").groupBy("bucket").applyInArrow(_find_pairs(num, den), _PAIRS), "found"
     )
-    pairs = found.where("b is not null").select("a", "b", "na", "nb").distinct()
+    # partial counts of the buckets, summed per pair
+    counted = found.where("a is not null").groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum("hits").alias("hits"))
+    enough = (F.col("hits") >= _need("na", "nb")) | F.expr(
+        "ra >= 0 and rb >= 0 and " + _possible("na", "nb", "ra", "rb", "hits", num, den)
+    )
+    counted = materialize(counted.withColumn("enough", enough), "counted")
+    pairs = counted.where("enough").select("a", "b", "na", "nb", F.col("a").alias("key"))
+    few = counted.where("not enough").select("a", "b", "hits")
     shared = materialize(
         postings.where("bucket < 0")
-        .mapInArrow(_frequent_rows, "gram bigint, set_id bigint, n bigint")
-        .unionByName(found.where("b is null").select("gram", F.col("a").alias("set_id"), F.col("na").alias("n")))
+        .mapInArrow(_frequent_rows, "gram bigint, set_id bigint, n bigint, rare bigint")
+        .withColumn("frequent", F.lit(True))
+        .unionByName(found.where("gram is not null").select(*_BLOCK_ROW, F.lit(False).alias("frequent")))
         .distinct(),
         "shared",
     )
+    # a set that shares no rare n-gram, and has too many of them, is similar to none
+    hopeful = counted.select(F.col("a").alias("set_id")).unionByName(counted.select(F.col("b").alias("set_id")))
+    hopeful = hopeful.unionByName(shared.where("not frequent or rare < 0").select("set_id")).distinct()
+    alone = f"{num + den} * (n - greatest(rare, 0)) < {num} * (n + ceil({num} * n / {den}))"
+    shared = (
+        shared.where(f"not ({alone})").unionByName(shared.where(alone).join(hopeful, "set_id", "left_semi"))
+    )
     many = shared.groupBy("gram").count().where("count > 1").select("gram")
     blocks = materialize(shared.join(many, "gram", "left_semi"), "blocks")
-    roots = _linked(source, members, pairs, blocks, words, num, den)
+    roots = _linked(source, members, pairs, few, blocks, words, num, den)
     named = members.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "set_id"))
     )
@@ -401,41 +474,37 @@ def near_duplicates(
     )
 
 
-def _linked(source, members, pairs, blocks, words, num, den) -> DataFrame:
+def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
     """(id, root) of the sets that have links."""
-    blocks = blocks.withColumn("root", F.col("set_id"))
-    more, leaders = _leader_pairs(blocks, LEADERS, num, den)
-    pairs = materialize(pairs.unionByName(more).distinct(), "pairs0")
-    leaders = materialize(leaders, "leaders0")
-    involved = (
-        pairs.select(F.col("a").alias("set_id"))
-        .unionByName(pairs.select(F.col("b").alias("set_id")))
-        .unionByName(blocks.select("set_id"))
-        .distinct()
-    )
     rows = members.where("n > 0").groupBy("set_id").agg(F.min("row").alias("_row_"))
-    wanted = materialize(rows.join(involved, "set_id", "left_semi").select("_row_"), "wanted")
-    texts = source.join(small(wanted, 8), "_row_", "left_semi").select("_row_", "_text_")
-    segments = materialize(
-        texts.mapInArrow(_segments(words), "set_id bigint, fragment int, grams binary"), "segments"
-    )
-    links = _verify(pairs, segments, num, den, "links0")
-    roots = components(links, "roots0_")
+
+    def verified(pairs: DataFrame, number: int) -> DataFrame:
+        sets = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
+        wanted = materialize(rows.join(sets.distinct(), "set_id", "left_semi").select("_row_"), f"wanted{number}")
+        texts = source.join(small(wanted, 8), "_row_", "left_semi").select("_row_", "_text_")
+        segments = materialize(
+            texts.mapInArrow(_segments(words), "set_id bigint, fragment int, grams binary"), f"segments{number}"
+        )
+        return _verify(pairs, segments, num, den, f"links{number}")
+
     number, count = 0, LEADERS
+    blocks = blocks.withColumn("root", F.col("set_id"))
+    more, leaders = _leader_pairs(blocks, few, count, num, den)
+    pairs = materialize(_once(pairs.unionByName(more)), "pairs0")
+    links = verified(pairs, 0)
     while True:
+        roots = components(links, f"roots{number}_")
+        if leaders.isEmpty():
+            return roots
         number, count = number + 1, count * LEADERS_GROW
         blocks = materialize(
             blocks.drop("root")
-            .join(leaders, ["gram", "set_id"], "left_anti")
+            .join(leaders, "set_id", "left_anti")
             .join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
             .withColumn("root", F.coalesce("root", "set_id")),
             f"blocks{number}",
         )
-        pairs, leaders = _leader_pairs(blocks, count, num, den)
-        leaders = materialize(leaders, f"leaders{number}")
-        if leaders.isEmpty():
-            return roots
+        pairs, leaders = _leader_pairs(blocks, few, count, num, den)
         pairs = materialize(pairs, f"pairs{number}")
         if not pairs.isEmpty():
-            links = links.unionByName(_verify(pairs, segments, num, den, f"links{number}"))
-            roots = components(links, f"roots{number}_")
+            links = links.unionByName(verified(pairs, number))

@@ -16,6 +16,7 @@ from lakeloom.llm import (
     exact_dedup,
     licenses,
     ngram_join,
+    quality_lm,
     token_counts,
     toxicity,
     url_filter,
@@ -153,6 +154,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_quality_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are documents labelled as good and not toxic."""
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where("quality = 1 and toxic = 0").select("doc_id")
+    return quality_lm.perplexities(table(spark, sf_dir, "documents"), trusted)
+
+
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
