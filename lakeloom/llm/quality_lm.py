@@ -118,10 +118,12 @@ class KneserNey:
         """Modified discounts of one order, by language: for counts of one, two, and three or more."""
         seen = [F.sum(F.when(F.col("count") == n, 1).otherwise(0)).alias(f"n{n}") for n in (1, 2, 3, 4)]
         found = table.groupBy("lang").agg(*seen)
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = lambda n: F.coalesce(
-            F.greatest(F.lit(0.05), F.least(F.lit(n - 0.05), n - (n + 1) * y * F.col(f"n{n + 1}") / F.col(f"n{n}"))),
-            F.lit(0.5),
+        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
+        discount = lambda n: F.when(F.col(f"n{n}") == 0, 0.5).otherwise(
+            F.least(
+                F.lit(n - 0.05),
+                F.greatest(F.lit(0.05), n - (n + 1) * y * F.try_divide(F.col(f"n{n + 1}"), F.col(f"n{n}"))),
+            )
         )
         discounts = small(
             materialize(found.select("lang", *(discount(n).alias(f"d{n}") for n in (1, 2, 3))), f"discounts{size}"), 64
