@@ -8,6 +8,7 @@ merged with a heap over linked bytes, once per worker; their ids are cached.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from lakeloom.llm.text import Texts, chunks, mix, rows_of, span_hashes
 
 U8 = np.uint64
 #: Ids a worker caches for pre-tokens that are no entries before it starts over.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 4_000_000
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -101,16 +102,20 @@ class Bpe:
         self.perfect = PerfectHash(hashes)
         self.id_at = np.zeros(len(entries), np.int64)
         self.id_at[self.perfect.slots(hashes)] = np.arange(len(entries))
-        rank = {e: i for i, e in enumerate(entries)}
-        self.byte_ids = [rank[bytes([b])] for b in range(256)]
-        # (left id, right id) -> id of both together
-        self.pairs = {
+        self.entries = entries
+        self.forget()
+
+    @functools.cached_property
+    def merges(self) -> tuple[list[int], dict[int, int]]:
+        """Ids of single bytes, and of pairs (left id, right id); not needed to decode."""
+        rank = {e: i for i, e in enumerate(self.entries)}
+        pairs = {
             rank[e[:k]] << 32 | rank[e[k:]]: i
-            for i, e in enumerate(entries)
+            for i, e in enumerate(self.entries)
             for k in range(1, len(e))
             if e[:k] in rank and e[k:] in rank
         }
-        self.forget()
+        return [rank[bytes([b])] for b in range(256)], pairs
 
     def forget(self) -> None:
         self.cache = HashTable(np.empty(0, U8), np.empty(0, np.int32), 16)
@@ -137,9 +142,10 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals."""
-        ids = [self.byte_ids[b] for b in piece]
+        byte_ids, pairs = self.merges
+        ids = [byte_ids[b] for b in piece]
         n = len(ids)
-        get = self.pairs.get
+        get = pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.text import ALNUM, chunks, rows_of
@@ -299,7 +299,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part)
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return every.groupBy("row").agg(
+    grown = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         joined("spans").alias("spans"),
@@ -307,6 +307,17 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         joined("near_items").alias("near_items"),
     )
 
+    def extend(runs: Column, x: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))
+        return F.when(
+            (F.size(runs) > 0) & (x["first"] <= last["last"] + 1),
+            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer)),
+        ).otherwise(F.concat(runs, F.array(x)))
 
-def items_digest(items: str = "items") -> F.Column:
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    return grown.withColumn("spans", F.aggregate("spans", none, extend))
+
+
+def items_digest(items: str = "items") -> Column:
     return F.sha2(F.array_join(items, ","), 256)

@@ -27,7 +27,7 @@ TABLE_SIZE = 65_536
 #: Pre-tokens each task reports for it.
 SUMMARY_SIZE = 16_384
 #: Pre-tokens a worker caches before it starts over.
-CACHE_SIZE = 2_000_000
+CACHE_SIZE = 1_000_000
 
 
 def _tokenizer(model: bytes):
@@ -150,8 +150,12 @@ def _hash(pieces: list[bytes]) -> np.ndarray:
 
 
 def _lengths(tokenizer, pieces: list[bytes]) -> np.ndarray:
-    made = tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
-    return np.array([len(m.ids) for m in made], np.int32)
+    """Token counts of pre-tokens; the library's results are large, so a few thousand at a time."""
+    out: list[int] = []
+    for at in range(0, len(pieces), 4096):
+        texts = [p.decode() for p in pieces[at : at + 4096]]
+        out += [len(m.ids) for m in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return np.array(out, np.int32)
 
 
 class Counter:
@@ -217,8 +221,6 @@ def _counting(table, names: list[str], model_of):
 
 def _whole(model_of, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tempfile
-
         model = model_of.value
         if model[:1] == b"{":
             tokenizer = _tokenizer(model)
@@ -236,8 +238,9 @@ def _whole(model_of, names: list[str]):
         for batch in batches:
             for chunk in chunks(batch.column(batch.num_columns - 1)):
                 texts = [chunk.bytes_of(i).decode() for i in range(len(chunk))]
+                counted = [n for at in range(0, len(texts), 256) for n in count(texts[at : at + 256])]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows_of(batch, chunk, names), pa.array(np.diff(chunk.offsets)), pa.array(count(texts), pa.int64())],
+                    [*rows_of(batch, chunk, names), pa.array(np.diff(chunk.offsets)), pa.array(counted, pa.int64())],
                     [*names, "n_bytes", "n_tokens"],
                 )
 
