@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,12 +213,17 @@ def _shards(answers: DataFrame) -> Iterator[dict]:
     for shard in range(shards):
         part = answers.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == shard) if shards > 1 else answers
         table = part.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
-        langs = table.column("lang").to_pylist() if table.num_rows else []
+        langs = pc.fill_null(table.column("lang"), _NO_LANGUAGE)
         key, value = table.column("gram").to_numpy().view(U8), table.column("logp").to_numpy()
-        names = np.array(["\0" if x is None else x for x in langs], object)
-        yield {
-            (None if x == "\0" else x): (key[names == x], value[names == x]) for x in dict.fromkeys(names.tolist())
-        }
+        out = {}
+        for lang in pc.unique(langs).to_pylist():
+            mine = pc.equal(langs, lang).to_numpy()
+            out[None if lang == _NO_LANGUAGE else lang] = key[mine], value[mine]
+        yield out
+
+
+#: Stands for a null language; no character.
+_NO_LANGUAGE = "\uffff"
 
 
 def perplexities(

@@ -21,7 +21,7 @@ from lakeloom.llm.tables import HashTable
 from lakeloom.llm.text import ALNUM, Texts, chunks, mix, rows_of
 
 #: Labelled texts of each class that terms and weights are learned from, at most: those of smallest hash.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 #: Longer texts are not learned from, so that the sample is bounded in bytes too. All texts are scored.
 TRAIN_BYTES = 65_536
 #: Terms in the lexicon, at most: the most telling ones.
@@ -292,7 +292,9 @@ def train(
     if len(set(y.tolist())) < 2:
         return Model([], np.empty(0), PRIOR, -3.0)
     # terms from one half, weights from the other, so that chance terms weigh little
-    half = np.arange(len(y)) % 2 == 0
+    half = np.zeros(len(y), bool)
+    for value in (0, 1):
+        half[np.flatnonzero(y == value)[::2]] = True
     terms, weights = learn_terms([t for t, h in zip(found, half, strict=True) if h], y[half])
     automaton, cues = Automaton(terms), _cues()
     other = [t for t, h in zip(found, half, strict=True) if not h]

@@ -286,10 +286,10 @@ def test_toxicity_learns_and_tells_quotations(spark):
     known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id bigint, toxic int")
     model = toxicity.train(frame(spark, rows), known)
     assert {b"gronkle", b"blirtzen"} <= set(model.terms)
-    tests = [(1, "you gronkle blirtzen"), (2, "nothing here"), (3, "you gronklee"), (4, 'he said "gronkle" was a word'), (5, "you are a gronkle so"), *AWKWARD]
+    tests = [(201, "you gronkle blirtzen"), (202, "nothing here"), (203, "you gronklee"), (204, "he said \"gronkle\" was a word"), (205, "you are a gronkle so"), *AWKWARD]
     got = toxicity.score(frame(spark, tests), model)
     assert got.count() == len(tests)
-    score = {r.doc_id: r for r in got.where("doc_id < 6").collect()}
+    score = {r.doc_id - 200: r for r in got.where("doc_id > 200").collect()}
     assert score[1].predicted == 1 and score[2].predicted == 0
     assert score[3].n_near == 1 and score[3].score > score[2].score
     assert score[4].n_quoted == 1 and score[4].score < score[5].score
@@ -389,7 +389,7 @@ def test_perplexity_is_that_of_brute_force(spark):
             raw = bytes([quality_lm.START] * 4) + (t or "").encode()
             bits = [-np.log2(chance(raw[k : k + 5])) for k in range(len(raw) - 4)]
             mine = got[i, x].bits
-            assert mine is None if not bits else abs(mine - np.mean(bits)) < 1e-4
+            assert mine is None if not bits else abs(mine - np.mean(bits)) < 1e-4, (i, x, t, mine, np.mean(bits))
     assert got[92, "xx"].kept and got[92, "xx"].perplexity == 256 and not got[90, "en"].kept
 
 
