@@ -258,7 +258,7 @@ class AssetCatalog:
                 return
             except Exception as exc:
                 error = exc
-        record("failed", attempt, False, f"{type(error).__name__}: {error}"[:2000])
+        record("failed", attempt, False, f"{type(error).__name__}: {error}")
         raise AssetError(f"{node.name!r} failed after {attempt} attempts") from error
 
     def _run_hash(self, definition: str, upstream: Iterable[str], params: str | None) -> str:

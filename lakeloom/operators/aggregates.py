@@ -196,26 +196,24 @@ def max_scale(
     return kept.withColumn(out, F.round(F.col(column) / top, digits))
 
 
-def ordered_digest(df: DataFrame, index: str, digest: str, fanout: int = 1000) -> DataFrame:
-    """One sha256 over digests in index order (index: 0, 1, 2, ...).
+#: 65,536 to the fourth power covers every 64-bit index.
+DIGEST_LEVELS = 4
 
-    Up to ``fanout`` digests are concatenated and hashed at once; more form a
-    tree of the same step over consecutive index ranges, so no task ever holds
-    more than ``fanout`` digests.
+
+def ordered_digest(df: DataFrame, index: str, digest: str, fanout: int = 65_536) -> DataFrame:
+    """One sha256 over digests in index order; indexes are distinct and from 0 to 2**63 - 1.
+
+    A tree of four levels whatever the number of digests: each node is the sha256
+    of the digests of up to ``fanout`` consecutive indexes one level below, so no
+    task ever holds more than ``fanout`` digests.
     """
     level = df.select(F.col(index).cast("bigint").alias("i"), F.col(digest).alias("h"))
-    size = level.agg(F.max("i").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    top = -1 if size["top"] is None else int(size["top"])
-    while True:
+    level = level.withColumn("n", F.lit(1).cast("bigint"))
+    for _ in range(DIGEST_LEVELS):
+        items = F.sort_array(F.collect_list(F.struct("i", "h")))
         level = (
-            level.groupBy(F.floor(F.col("i") / fanout).alias("i"))
-            .agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("items"))
-            .select("i", F.sha2(F.concat_ws("", F.col("items.h")), 256).alias("h"))
+            level.groupBy(F.floor(F.col("i") / fanout).cast("bigint").alias("i"))
+            .agg(items.alias("items"), F.sum("n").alias("n"))
+            .select("i", F.sha2(F.concat_ws("", F.col("items.h")), 256).alias("h"), "n")
         )
-        if top < fanout:
-            break
-        top //= fanout
-        level = materialize(level, "digest-level")
-    return level.select(
-        F.lit(int(size["n"])).cast("bigint").alias("count"), F.col("h").alias("combined_hash")
-    )
+    return level.select(F.col("n").alias("count"), F.col("h").alias("combined_hash"))

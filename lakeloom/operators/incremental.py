@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.scalars import hex_to_int
 from lakeloom.operators.joins import semi_join_hits
-from lakeloom.operators.ordered import latest_success, mark_hot
-from lakeloom.operators.partitions import key_predicate
+from lakeloom.operators.ordered import latest_success
+from lakeloom.operators.partitions import null_safe_join, restrict
 from lakeloom.operators.sets import merge_logs, universe_diff
 from lakeloom.session import materialize
 
 # Fixed value: the version that enters every fingerprint.
 PROTOCOL_VERSION = "1.0.0"
 
-FAN_IN_INLINE = 10_000
-
 
 def definition_fingerprint(source: Column, dependencies: Column, metadata: Column) -> Column:
     head = F.lit(f"definition:{PROTOCOL_VERSION}\n")
@@ -54,49 +52,29 @@ def run_fingerprint_of(
     )
 
 
-def gather_upstream(
-    pairs: DataFrame, step: str, upstream: str, inline: int = FAN_IN_INLINE
-) -> DataFrame:
-    """Upstream ids of each step as one bounded array: (step, n_upstream, upstream_ids).
+def gather_upstream(pairs: DataFrame, step: str, upstream: str) -> DataFrame:
+    """Upstream ids of each step as one token: (step, n_upstream, upstream_ids).
 
-    A step with at most ``inline`` ids lists them all. A larger fan-in lists one
-    token instead, the sum of its id hashes: independent of order, changed by any
-    id, and built by partial aggregation without ever gathering the ids.
+    The token adds up hashes of the ids: it does not depend on their order, any id
+    changes it, and partial aggregation builds it for any fan-in without ever
+    gathering the ids. ``upstream_ids`` is an array of that one token.
     """
-    wide = F.col("_hot_rows").isNotNull()
-    hashed = mark_hot(pairs.select(step, upstream), [step], inline).select(
-        step,
-        wide.alias("_wide"),
-        F.when(~wide, F.col(upstream)).alias("_id"),
-        *[F.when(wide, F.xxhash64(F.lit(seed), upstream)).alias(f"_h{seed}") for seed in (1, 2)],
-    )
+    halves = [hex_to_int(F.substring(F.sha2(F.col(upstream), 256), at, 15)) for at in (1, 16, 31, 46)]
+    names = [f"_h{i}" for i in range(len(halves))]
+    hashed = pairs.select(step, *[h.alias(n) for h, n in zip(halves, names, strict=True)])
     n = F.count(F.lit(1))
-    sums = [_exact_hash_sum(c).cast("string") for c in ("_h1", "_h2")]
+    sums = [_exact_hash_sum(c).cast("string") for c in names]
     token = F.sha2(F.concat_ws("-", n.cast("string"), *sums), 256)
-    return (
-        hashed.groupBy(step, "_wide")
-        .agg(
-            n.alias("n_upstream"),
-            F.sort_array(F.collect_list("_id")).alias("_ids"),
-            token.alias("_token"),
-        )
-        .select(
-            step,
-            "n_upstream",
-            F.when(F.col("_wide"), F.array("_token")).otherwise(F.col("_ids")).alias("upstream_ids"),
-        )
-    )
+    return hashed.groupBy(step).agg(n.alias("n_upstream"), F.array(token).alias("upstream_ids"))
 
 
-def run_fingerprint(
-    steps: DataFrame, pairs: DataFrame, step: str, upstream: str, inline: int = FAN_IN_INLINE
-) -> DataFrame:
+def run_fingerprint(steps: DataFrame, pairs: DataFrame, step: str, upstream: str) -> DataFrame:
     """Run hash per step.
 
     ``steps`` has ``step``, ``definition_hash`` and optionally ``partition`` and
     ``params``; ``pairs`` has one row per (step, upstream id).
     """
-    ids = gather_upstream(pairs, step, upstream, inline)
+    ids = gather_upstream(pairs, step, upstream)
     absent = F.lit(None).cast("string")
     return steps.join(ids, step, "left").select(
         step,
@@ -193,7 +171,7 @@ def stale_partitions(
 ) -> DataFrame:
     """Current keys that are new or whose fingerprint is not the recorded one."""
     on = [*keys, fingerprint]
-    return current.select(*on).join(recorded.select(*on), on, "left_anti")
+    return null_safe_join(current.select(*on), recorded.select(*on), on, "left_anti")
 
 
 def incremental_refresh(
@@ -209,21 +187,17 @@ def incremental_refresh(
 
     ``current`` and ``recorded`` hold the fingerprint per key now and at the
     time ``previous`` was built. Keys that left the source leave the result.
-    The fingerprints, one row per key, are written once and read where needed;
-    few stale keys become a predicate that the scan of the source can prune by.
+    The fingerprints, one row per key, are written once and read where needed.
+    Keys may be null and are matched by one null-safe join however many are stale;
+    few stale keys are also a predicate that the scan of the source can prune by.
     """
     keys = list(keys)
     current = materialize(current.select(*keys, fingerprint), "fingerprints")
     stale = stale_partitions(current, recorded, keys, fingerprint).select(*keys)
-    listed = key_predicate(stale, keys)
-    if listed is not None:
-        fresh, kept = source.where(listed), current.where(~listed)
-    else:
-        stale = materialize(stale, "stale")
-        fresh = source.join(stale, keys, "left_semi")
-        kept = current.join(stale, keys, "left_anti")
-    reused = previous.join(kept.select(*keys), keys, "left_semi")
-    return compute(fresh).unionByName(reused)
+    stale = materialize(stale, "stale")
+    kept = null_safe_join(current, stale, keys, "left_anti")
+    reused = null_safe_join(previous, kept, keys, "left_semi")
+    return compute(restrict(source, stale, keys)).unionByName(reused)
 
 
 def refresh_policy(

@@ -62,14 +62,14 @@ def stale_propagation(edges: DataFrame, changed: DataFrame) -> DataFrame:
     )
 
 
-def topo_level(edges: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def topo_level(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Longest-path level of each node of an acyclic graph; sources are level 0.
 
     Level ``i`` of the walk holds every node some path of length ``i`` reaches,
-    so a node's level is the last one it appears in. A walk longer than
-    ``max_depth`` is an error: the graph is cyclic (see :func:`validate_edges`)
-    or the bound has to be raised.
+    so a node's level is the last one it appears in. A walk of more levels than
+    there are nodes is an error: the graph is cyclic (see :func:`validate_edges`).
     """
+    most = nodes.select("node_id").distinct().count()
     hops = materialize(edges.select("upstream", "downstream"), "hops")
     fed = hops.select(F.col("downstream").alias("node_id"))
     frontier = nodes.select("node_id").distinct().join(fed, "node_id", "left_anti")
@@ -80,8 +80,8 @@ def topo_level(edges: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> Dat
         levels.append(level.withColumn("level", F.lit(len(levels)).cast("bigint")))
         if level.isEmpty():
             break
-        if len(levels) > max_depth:
-            raise ValueError(f"paths longer than {max_depth}: cyclic edges or a low max_depth")
+        if len(levels) > most:
+            raise ValueError(f"a path of more than {most} nodes: the edges are cyclic")
         frontier = (
             hops.withColumnRenamed("upstream", "node_id")
             .join(level, "node_id", "left_semi")

@@ -301,6 +301,14 @@ def collect_udaf(
 
 def expand_keys(df: DataFrame, json_list: str, out: str = "key") -> DataFrame:
     """One row per string or number of a JSON list; other elements are no keys."""
-    values = F.from_json(F.col(json_list), "array<string>")
-    rows = df.withColumn(out, F.explode(values))
-    return rows.where(F.col(out).isNotNull() & ~F.col(out).rlike(r'^\s*[\[{]'))
+    each = F.arrays_zip(
+        F.from_json(F.col(json_list), "array<string>").alias("text"),
+        F.from_json(F.col(json_list), "array<variant>").alias("value"),
+    )
+    rows = df.withColumn("_each", F.explode(each))
+    kind = F.schema_of_variant("_each.value")
+    return (
+        rows.where(kind.rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"))
+        .withColumn(out, F.col("_each.text"))
+        .drop("_each")
+    )

@@ -72,25 +72,29 @@ def running_fold(
     out: str = "running",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Running total of ``value`` along ``order`` within each key."""
+    """Running total of ``value`` along ``order`` within each key.
+
+    A null adds nothing; the total is null until the first value. Rows of equal
+    order are taken by value, nulls first.
+    """
     keys = list(keys)
     rows = df.withColumn("_block", order_block(order, block_rows))
-    up_to = Window.partitionBy(*keys).orderBy("_block")
+    up_to = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*keys, "_block")
         .agg(F.sum(value).alias("_sum"))
-        .withColumn("_carry", F.sum("_sum").over(up_to) - F.col("_sum"))
+        .withColumn("_carry", F.sum("_sum").over(up_to))
         .drop("_sum")
     )
     inside = (
         Window.partitionBy(*keys, "_block")
-        .orderBy(order)
+        .orderBy(order, value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.withColumn("_local", F.sum(value).over(inside))
     return (
         local.join(carry, [*keys, "_block"])
-        .withColumn(out, F.col("_carry") + F.col("_local"))
+        .withColumn(out, F.coalesce(F.col("_carry") + F.col("_local"), F.col("_carry"), F.col("_local")))
         .drop("_block", "_local", "_carry")
     )
 

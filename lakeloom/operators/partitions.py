@@ -107,15 +107,19 @@ def parse_step_id(text: Column) -> Column:
     """Inverse of :func:`step_id`: struct of base and key map.
 
     Values may hold commas: a comma ends a value only when ``name=`` follows it.
+    Of a repeated name the last value counts.
     """
     base = F.regexp_extract(text, r"^([^\[]*)", 1)
-    inner = F.rtrim(
-        F.regexp_replace(F.substring(text, F.length(base) + 2, F.length(text)), r"\]+$", "")
-    )
+    inner = F.regexp_replace(F.substring(text, F.length(base) + 2, F.length(text)), r"\]+\s*$", "")
     pairs = F.filter(F.split(inner, r",(?=[^,=]*=)"), lambda p: F.contains(p, F.lit("=")))
     keys = F.transform(pairs, lambda p: F.regexp_extract(p, r"^([^=]*)=", 1))
     values = F.transform(pairs, lambda p: F.regexp_replace(p, r"^[^=]*=", ""))
-    return F.struct(base.alias("base"), F.map_from_arrays(keys, values).alias("keys"))
+    names = F.array_distinct(keys)
+    n = F.size(keys)
+    last = F.transform(
+        names, lambda k: F.element_at(values, (n + 1 - F.array_position(F.reverse(keys), k)).cast("int"))
+    )
+    return F.struct(base.alias("base"), F.map_from_arrays(names, last).alias("keys"))
 
 
 def map_aligned_chain(keys: DataFrame, key: str, price: Column) -> DataFrame:
@@ -131,10 +135,8 @@ def enrich_with_hash(df: DataFrame, *parts: str) -> DataFrame:
     return df.withColumn("hash", F.substring(F.sha2(token, 256), 1, 8))
 
 
-def _chunked(df: DataFrame, parent: str, order: str, chunk_rows: int) -> DataFrame:
-    chunk = F.when(F.col("_hot_rows").isNull(), 0).otherwise(order_block(order, chunk_rows))
-    marked = mark_hot(df, [parent], chunk_rows)
-    return marked.withColumn("chunk", chunk.cast("bigint")).drop("_hot_rows")
+def _chunked(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
+    return df.withColumn("chunk", order_block(order, chunk_rows))
 
 
 def collect_list_by(
@@ -142,12 +144,13 @@ def collect_list_by(
 ) -> DataFrame:
     """Ordered fan-in: (parent, chunk, items), items sorted by ``order``.
 
-    The list of a parent with at most ``chunk_rows`` items is chunk 0. A larger
-    one is delivered in chunks over consecutive ranges of the integer ``order``:
-    read in chunk order they are the whole list, and none exceeds ``chunk_rows``.
+    Every parent's list is delivered in chunks over consecutive ranges of the
+    integer ``order``, ``chunk`` = floor(order / chunk_rows) however long it is:
+    read in chunk order they are the whole list. Where orders are distinct, none
+    exceeds ``chunk_rows``.
     """
     return (
-        _chunked(df, parent, order, chunk_rows)
+        _chunked(df, order, chunk_rows)
         .groupBy(parent, "chunk")
         .agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_items"))
         .select(parent, "chunk", F.col(f"_items.{value}").alias("items"))
@@ -159,7 +162,7 @@ def collect_map_by(
 ) -> DataFrame:
     """As :func:`collect_list_by`, but each chunk is a map from partition key to value."""
     return (
-        _chunked(df, parent, order, chunk_rows)
+        _chunked(df, order, chunk_rows)
         .groupBy(parent, "chunk")
         .agg(
             F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("items")
@@ -210,15 +213,19 @@ def key_predicate(wanted: DataFrame, keys: Sequence[str], limit: int = 1000) ->
 
 
 def restrict(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the wanted keys.
+    """Rows of the wanted keys, null ones included, by a semi join.
 
-    Few keys become a literal predicate, which prunes directories and row groups
-    before anything is read; more are met by a semi join.
+    Few keys are also named by a literal predicate, which prunes directories and
+    row groups before anything is read.
     """
     listed = key_predicate(wanted, keys)
-    if listed is None:
-        return df.join(wanted.select(*keys), list(keys), "left_semi")
-    return df.where(listed)
+    return null_safe_join(df if listed is None else df.where(listed), wanted, keys, "left_semi")
+
+
+def null_safe_join(df: DataFrame, keyed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys, where a null key equals a null key."""
+    named = keyed.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+    return df.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), how)
 
 
 def partition_completeness(keys: DataFrame, log: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -58,8 +58,11 @@ SQL_RUN_HASH = """
     d AS (SELECT o_orderkey, sha256('definition:1.0.0' || chr(10) || o_orderpriority || chr(10) ||
               chr(10) || '{}') AS definition_hash FROM orders),
     u AS (SELECT l_orderkey, count(*) AS n_upstream,
-              string_agg('upstream:' || id || chr(10), '' ORDER BY id) AS lines
-          FROM (SELECT l_orderkey, md5(l_partkey || ':' || l_suppkey) AS id FROM lineitem)
+              'upstream:' || sha256(count(*) || '-' || sum(a) || '-' || sum(b) || '-' || sum(c)
+                                    || '-' || sum(d)) || chr(10) AS lines
+          FROM (SELECT l_orderkey, ('0x' || h[1:15])::BIGINT AS a, ('0x' || h[16:30])::BIGINT AS b,
+                       ('0x' || h[31:45])::BIGINT AS c, ('0x' || h[46:60])::BIGINT AS d
+                FROM (SELECT l_orderkey, sha256(md5(l_partkey || ':' || l_suppkey)) AS h FROM lineitem))
           GROUP BY 1)"""
 
 

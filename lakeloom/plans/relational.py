@@ -669,10 +669,12 @@ def _(t):
 @query(
     "ordered_digest",
     "A17",
-    """WITH l1 AS (SELECT o_orderkey // 1000 AS i, sha256(string_agg(h, '' ORDER BY o_orderkey)) AS h
-                   FROM (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS h FROM orders) GROUP BY 1)
+    """WITH l1 AS (SELECT o_orderkey // 65536 AS i, sha256(string_agg(h, '' ORDER BY o_orderkey)) AS h
+                   FROM (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS h FROM orders) GROUP BY 1),
+            l2 AS (SELECT i // 65536 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l1 GROUP BY 1),
+            l3 AS (SELECT i // 65536 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM l2 GROUP BY 1)
        SELECT (SELECT count(*) FROM orders) AS count, sha256(string_agg(h, '' ORDER BY i))
-         AS combined_hash FROM l1""",
+         AS combined_hash FROM l3""",
 )
 def _(t):
     items = t.orders.select(

@@ -78,14 +78,14 @@ def sink_all(df: DataFrame, sinks: Iterable[Sink], primary: str = "parquet") ->
         fmt = sink.resolve(primary)
         try:
             if fmt not in SUPPORTED_FORMATS:
-                raise ValueError(f"sink format {fmt!r} is not supported")
+                raise ValueError(f"no writer for {fmt!r}")
             body = source
             if fmt == "text" and source.dtypes != [(source.columns[0], "string")]:
                 body = source.select(F.to_json(F.struct("*")).alias("value"))
             body.write.mode("overwrite").format(fmt).save(sink.path)
             outcomes.append((sink.path, fmt, "ok", path_size(spark, sink.path), None))
         except Exception as exc:  # isolation is the contract of this operator
-            message = f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
+            message = f"{type(exc).__name__}: {exc}"
             outcomes.append((sink.path, fmt, "error", None, message))
     return spark.createDataFrame(
         outcomes, "path string, format string, status string, size_bytes bigint, error string"

@@ -88,11 +88,14 @@ def observe_change(
     """One observation: (sensor, update_detected, digest, row_count).
 
     An update is detected when the snapshot's digest is not that of the newest
-    observation in ``log``; a first observation always is one.
+    observation in ``log``; a first observation always is one. An empty snapshot
+    is an observation of no rows.
     """
-    now = partition_digest(
-        snapshot.withColumn("sensor", F.lit(sensor)), ["sensor"], columns
-    ).withColumnRenamed("token", "digest")
+    now = (
+        partition_digest(snapshot, [], columns)
+        .withColumnRenamed("token", "digest")
+        .withColumn("sensor", F.lit(sensor))
+    )
     if log is None:
         last = F.lit(None).cast("string")
     else:
@@ -249,11 +252,9 @@ def stream_ewma(
     def fold(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         path = f"{root}/state/batch_{batch_id - 1}"
-        before = (
-            session.read.schema(schema).parquet(path)
-            if batch_id > 0 and path_exists(session, path)
-            else None
-        )
+        if batch_id > 0 and not path_exists(session, path):
+            raise ValueError(f"the estimates of the batch before are gone: {path}")
+        before = session.read.schema(schema).parquet(path) if batch_id > 0 else None
         state = asym_ewma(batch, key, order, value, before)
         state.write.mode("overwrite").parquet(f"{root}/state/batch_{batch_id}")
 

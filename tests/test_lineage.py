@@ -65,7 +65,7 @@ def test_cycles_end_and_are_found(spark):
     assert {r[0] for r in L.downstream_closure(edges, names(spark, "a")).collect()} == set("abct")
     assert {tuple(r) for r in L.cycle_core(edges).collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
     with pytest.raises(ValueError):
-        L.topo_level(edges, names(spark, *"sabct"), max_depth=6)
+        L.topo_level(edges, names(spark, *"sabct"))
 
 
 def test_validate(spark):

@@ -135,18 +135,20 @@ def test_ordered_digest_levels(spark):
 
     h = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(50)]
     df = spark.createDataFrame(list(enumerate(h)), "i bigint, h string").repartition(7)
+
+    def tree(fanout):
+        level = h
+        for _ in range(4):
+            level = [
+                hashlib.sha256("".join(level[j : j + fanout]).encode()).hexdigest()
+                for j in range(0, len(level), fanout)
+            ]
+        return level[0]
+
     whole = A.ordered_digest(df, "i", "h").first()
-    assert whole["combined_hash"] == hashlib.sha256("".join(h).encode()).hexdigest()
+    assert whole["combined_hash"] == tree(65_536)
     assert whole["count"] == 50
-    level = h
-    while True:
-        level = [
-            hashlib.sha256("".join(level[j : j + 4]).encode()).hexdigest()
-            for j in range(0, len(level), 4)
-        ]
-        if len(level) == 1:
-            break
-    assert A.ordered_digest(df, "i", "h", fanout=4).first()["combined_hash"] == level[0]
+    assert A.ordered_digest(df, "i", "h", fanout=4).first()["combined_hash"] == tree(4)
     assert A.ordered_digest(df.where("false"), "i", "h").count() == 0
 
 
@@ -240,3 +242,33 @@ def test_map_aligned_missing_right(spark):
 
     got = X.map_aligned(left, right, ["k"], join, "k string, n bigint, y string")
     assert rows(got, "k", "n", "y") == [("a", 2, "A"), ("b", 1, None)]
+
+
+def test_chunks_follow_the_order_at_any_size(spark):
+    for orders in ([0, 5, 10], [0, 5, 10, 11]):
+        df = spark.createDataFrame([("p", o, o) for o in orders], "p string, o bigint, v bigint")
+        got = G.collect_list_by(df, "p", "o", "v", chunk_rows=3).collect()
+        assert {r["chunk"] for r in got} == {o // 3 for o in orders}
+
+
+def test_running_fold_does_not_depend_on_blocks(spark):
+    rows_ = [("k", i, None if i in (0, 4, 5, 9) else 0.1 * i) for i in range(12)] + [("k", 3, 0.7)]
+    df = spark.createDataFrame(rows_, "k string, o bigint, v double")
+    got = [
+        [None if r[0] is None else round(r[0], 9) for r in W.running_fold(df, ["k"], "o", "v", block_rows=n).orderBy("o", "v").select("running").collect()]
+        for n in (1, 2, 100)
+    ]
+    assert got[0] == got[1] == got[2] and got[0][0] is None
+
+
+def test_expand_keys_keeps_strings_and_numbers(spark):
+    from lakeloom.operators.mapping import expand_keys
+
+    df = spark.createDataFrame([('["a","[x]","{y}",1,true,null,{"z":1},[2],2.5]',)], "j string")
+    assert [r["key"] for r in expand_keys(df, "j").collect()] == ["a", "[x]", "{y}", "1", "2.5"]
+
+
+def test_step_ids_keep_blanks_and_the_last_of_a_name(spark):
+    df = spark.createDataFrame([("b[a=1,c=x ]",), ("b[a=1,a=2,c=3]",)], "t string")
+    got = [r[0]["keys"] for r in df.select(G.parse_step_id(F.col("t"))).collect()]
+    assert got == [{"a": "1", "c": "x "}, {"a": "2", "c": "3"}]
