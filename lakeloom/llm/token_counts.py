@@ -10,6 +10,7 @@ cache of the same shape.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ TABLE_SIZE = 65_536
 #: Pre-tokens each task reports for it.
 SUMMARY_SIZE = 16_384
 #: Pre-tokens a worker caches before it starts over.
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 500_000
 
 
 def _tokenizer(model: bytes):
+    # one thread: Spark has dealt out the cores, and each more thread keeps memory of its own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(model.decode("utf-8"))
@@ -150,10 +153,10 @@ def _hash(pieces: list[bytes]) -> np.ndarray:
 
 
 def _lengths(tokenizer, pieces: list[bytes]) -> np.ndarray:
-    """Token counts of pre-tokens; the library's results are large, so a few thousand at a time."""
+    """Token counts of pre-tokens; the library's results are large, so a thousand at a time."""
     out: list[int] = []
-    for at in range(0, len(pieces), 4096):
-        texts = [p.decode() for p in pieces[at : at + 4096]]
+    for at in range(0, len(pieces), 1024):
+        texts = [p.decode() for p in pieces[at : at + 1024]]
         out += [len(m.ids) for m in tokenizer.encode_batch(texts, add_special_tokens=False)]
     return np.array(out, np.int32)
 
