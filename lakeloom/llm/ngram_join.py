@@ -491,20 +491,23 @@ def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
     blocks = blocks.withColumn("root", F.col("set_id"))
     more, leaders = _leader_pairs(blocks, few, count, num, den)
     pairs = materialize(_once(pairs.unionByName(more)), "pairs0")
-    links = verified(pairs, 0)
-    while True:
-        roots = components(links, f"roots{number}_")
-        if leaders.isEmpty():
-            return roots
+    roots = components(verified(pairs, 0), "roots0_")
+    grown = True
+    while not leaders.isEmpty():
         number, count = number + 1, count * LEADERS_GROW
-        blocks = materialize(
-            blocks.drop("root")
-            .join(leaders, "set_id", "left_anti")
-            .join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
-            .withColumn("root", F.coalesce("root", "set_id")),
-            f"blocks{number}",
-        )
+        left = blocks.join(small(leaders, 8), "set_id", "left_anti")
+        if grown:
+            left = left.drop("root").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
+            left = left.withColumn("root", F.coalesce("root", "set_id"))
+        blocks = materialize(left, f"blocks{number}")
         pairs, leaders = _leader_pairs(blocks, few, count, num, den)
         pairs = materialize(pairs, f"pairs{number}")
+        grown = False
         if not pairs.isEmpty():
-            links = links.unionByName(verified(pairs, number))
+            links = verified(pairs, number)
+            grown = not links.isEmpty()
+        if grown:
+            # the stars so far stand for all earlier links
+            stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+            roots = components(stars.unionByName(links), f"roots{number}_")
+    return roots
