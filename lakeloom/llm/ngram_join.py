@@ -501,6 +501,8 @@ def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
             left = left.withColumn("root", F.coalesce("root", "set_id"))
         blocks = materialize(left, f"blocks{number}")
         pairs, leaders = _leader_pairs(blocks, few, count, num, den)
+        if leaders.isEmpty():
+            break  # no leader, no pair
         pairs = materialize(pairs, f"pairs{number}")
         grown = False
         if not pairs.isEmpty():
