@@ -9,11 +9,12 @@ from __future__ import annotations
 import inspect
 import json
 import time
+import traceback
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.scalars import safe_name
@@ -24,13 +25,14 @@ from lakeloom.operators.incremental import (
     run_fingerprint_of,
 )
 from lakeloom.operators.runlog import node_stats
-from lakeloom.session import materialize, shared_folder
-from lakeloom.sources.sinks import Sink, path_exists, publish_versioned, sink_all
+from lakeloom.session import materialize, shared_folder, write_table
+from lakeloom.sources.sinks import Sink, path_exists, path_size, publish_versioned, sink_all
 
 LOG_SCHEMA = (
     "id bigint, run_id string, command string, node_id string, kind string, run_hash string, "
-    "definition_hash string, artifact_path string, elapsed_seconds double, status string, "
-    "error_message string, attempts int, cached boolean, sinks_json string"
+    "definition_hash string, artifact_path string, artifact_format string, artifact_size_bytes bigint, "
+    "elapsed_seconds double, status string, error_message string, error_traceback string, "
+    "attempts int, cached boolean, sinks_json string"
 )
 
 
@@ -108,10 +110,10 @@ class AssetCatalog:
             if upstream not in self.nodes:
                 raise AssetError(f"input {param!r} names no declared node: {upstream!r}")
             if self.nodes[upstream].kind == "task" and kind != "task":
-                raise AssetError(f"task {upstream!r} cannot be an input of {kind} {fn.__name__!r}")
+                raise AssetError(f"{kind} {fn.__name__!r} reads {upstream!r}, a task, which only tasks may do")
             resolved[param] = upstream
         if kind == "sensor" and resolved:
-            raise AssetError(f"sensor {fn.__name__!r} cannot have inputs")
+            raise AssetError(f"{fn.__name__!r} observes the outside: a sensor takes no inputs")
         for listed in ("sinks", "depends", "tags"):
             options[listed] = tuple(options.get(listed, ()))
         node = Node(name or fn.__name__, kind, fn, resolved, **options)
@@ -227,20 +229,24 @@ class AssetCatalog:
         text = json.dumps(dict(params), sort_keys=True) if params else None
         run_hash = self._run_hash(definition, upstream.values(), text)
         folder = self._hash(safe_name(F.lit(node.name)))[0]
-        path = f"{self.root}/artifacts/{folder}/{run_hash}"
 
-        def record(status, attempts, cached, error=None, final_hash=run_hash, sinks=None):
+        def record(status, attempts, cached, path=None, final_hash=run_hash, sinks=None, error=None):
+            fmt, size = ("parquet", path_size(self.spark, path)) if path else (None, None)
+            text = f"{type(error).__name__}: {error}" if error else None
+            trace = "".join(traceback.format_exception(error)) if error else None
             run.rows.append(
                 (
                     time.time_ns(), run.run_id, run.command, node.name, node.kind, final_hash,
-                    definition, path, time.time() - started, status, error, attempts, cached, sinks,
+                    definition, path, fmt, size, time.time() - started, status, text, trace,
+                    attempts, cached, sinks,
                 )
             )
 
         forced = run.forced is None or node.name in run.forced
-        if node.kind == "asset" and not forced and path_exists(self.spark, f"{path}/_SUCCESS"):
-            run.done[node.name] = (self.spark.read.parquet(path), run_hash)
-            record("success", 0, True)
+        known = None if forced or node.kind != "asset" else self._artifact(node, folder, run_hash)
+        if known:
+            run.done[node.name] = (self.spark.read.parquet(known), run_hash)
+            record("success", 0, True, known)
             return
         attempt, error = 0, None
         while attempt < max(1, node.retries):
@@ -248,19 +254,38 @@ class AssetCatalog:
                 time.sleep(node.retry_backoff * attempt)
             attempt += 1
             try:
-                frame, final = self._compute(run, node, definition, run_hash, folder, params, forced)
+                frame, final, path = self._compute(
+                    run, node, definition, run_hash, folder, params, forced
+                )
                 outcome = None
                 if node.sinks and frame is not None:
                     rows = sink_all(frame, node.sinks).collect()  # one row per declared sink
                     outcome = json.dumps([r.asDict() for r in rows])
                 run.done[node.name] = (frame, final)
-                record("success", attempt, False, None, final, outcome)
+                record("success", attempt, False, path, final, outcome)
                 return
             except Exception as exc:
                 error = exc
-        record("failed", attempt, False, f"{type(error).__name__}: {error}")
+        record("failed", attempt, False, error=error)
         raise AssetError(f"{node.name!r} failed after {attempt} attempts") from error
 
+    def _newest(self, node: Node, condition: Column) -> tuple[str | None, str | None]:
+        """(run_hash, artifact_path) of a node's newest success that meets ``condition``."""
+        found = (
+            self.log()
+            .where((F.col("node_id") == node.name) & (F.col("status") == "success") & condition)
+            .agg(F.max_by(F.struct("run_hash", "artifact_path"), "id").alias("newest"))
+            .first()["newest"]
+        )
+        return tuple(found) if found else (None, None)
+
+    def _artifact(self, node: Node, folder: str, run_hash: str) -> str | None:
+        """Where the newest success of this run hash lies, forced ones included."""
+        logged = self._newest(node, F.col("run_hash") == run_hash)[1]
+        # a run that ended before its log was written has left a whole artifact here
+        paths = [logged, f"{self.root}/artifacts/{folder}/{run_hash}"]
+        return next((p for p in paths if p and path_exists(self.spark, f"{p}/_SUCCESS")), None)
+
     def _run_hash(self, definition: str, upstream: Iterable[str], params: str | None) -> str:
         ids = F.array(*[F.lit(u) for u in upstream]).cast("array<string>")
         none = F.lit(None).cast("string")
@@ -278,10 +303,10 @@ class AssetCatalog:
     def _compute(self, run, node, definition, run_hash, folder, params, forced):
         root = f"{self.root}/artifacts"
         if node.kind == "sensor":
-            return self._observe(run, node, params)
+            return self._observe(run, node, folder, params)
         if node.kind == "task":
             out = self._call(run, node, params)
-            return (materialize(out, folder) if isinstance(out, DataFrame) else None), run_hash
+            return (materialize(out, folder) if isinstance(out, DataFrame) else None), run_hash, None
         if node.keys and node.data_inputs():
             out = self._refresh(run, node, definition, run_hash, folder, params, forced)
         else:
@@ -289,24 +314,20 @@ class AssetCatalog:
         if forced:
             # a forced result gets an address of its own: artifacts are never overwritten
             folder = f"{folder}/forced-{run.run_id}"
-        return publish_versioned(out, root, folder, run_hash)[0], run_hash
+        return publish_versioned(out, root, folder, run_hash)[0], run_hash, f"{root}/{folder}/{run_hash}"
 
-    def _observe(self, run: _Run, node: Node, params) -> tuple[DataFrame, str]:
+    def _observe(self, run: _Run, node: Node, folder: str, params) -> tuple[DataFrame, str, str]:
+        """The snapshot, its token and where it lies; without an update those of the last observation."""
         updated, data = self._call(run, node, params)
-        data = materialize(data, node.name)
+        if not updated:
+            token, path = self._newest(node, F.col("artifact_path").isNotNull())
+            if path and path_exists(self.spark, f"{path}/_SUCCESS"):
+                return self.spark.read.parquet(path), token, path
+        path = f"{self.root}/snapshots/{folder}/{uuid.uuid4().hex}"
+        data = write_table(data, path)
         digest = partition_digest(data.withColumn("_all", F.lit(0)), ["_all"], data.columns)
         found = digest.first()
-        token = found["token"] if found else "empty"
-        if not updated:
-            # without an update the last observation stays the one downstream is built on
-            last = (
-                self.log()
-                .where((F.col("node_id") == node.name) & (F.col("status") == "success"))
-                .agg(F.max_by("run_hash", "id"))
-                .first()[0]
-            )
-            token = last or token
-        return data, token
+        return data, found["token"] if found else "empty", path
 
     def _refresh(self, run, node, definition, run_hash, folder, params, forced) -> DataFrame:
         """Recompute the keys whose rows in the first input changed; reuse the others."""
@@ -333,14 +354,8 @@ class AssetCatalog:
 
     def _previous(self, node: Node, folder: str, run_hash: str):
         """Tokens and artifact of the newest other version of this asset."""
-        last = (
-            self.log()
-            .where((F.col("node_id") == node.name) & (F.col("status") == "success"))
-            .where(~F.col("cached") & (F.col("run_hash") != run_hash))
-            .agg(F.max_by("run_hash", "id"))
-            .first()[0]
-        )
-        paths = [f"{self.root}/{part}/{folder}/{last}" for part in ("tokens", "artifacts")]
-        if last is None or not all(path_exists(self.spark, f"{p}/_SUCCESS") for p in paths):
+        last, artifact = self._newest(node, ~F.col("cached") & (F.col("run_hash") != run_hash))
+        paths = [f"{self.root}/tokens/{folder}/{last}", artifact]
+        if not artifact or not all(path_exists(self.spark, f"{p}/_SUCCESS") for p in paths):
             return None
         return tuple(self.spark.read.parquet(p) for p in paths)

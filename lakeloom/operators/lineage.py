@@ -149,11 +149,12 @@ def validate_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     arrow = F.concat(F.col("upstream").cast("string"), F.lit("->"), F.col("downstream").cast("string"))
     up = known.select(F.col("node_id").alias("upstream"), F.col("kind").alias("up_kind"))
     down = known.select(F.col("node_id").alias("downstream"), F.col("kind").alias("down_kind"))
-    typed = edges.select("upstream", "downstream").join(down, "downstream").join(
+    typed = edges.select("upstream", "downstream").join(down, "downstream", "left").join(
         up, "upstream", "left"
     )
     issue = (
         F.when(F.col("up_kind").isNull(), "unresolved_input")
+        .when(F.col("down_kind").isNull(), "unresolved_node")
         .when(F.col("down_kind") == "sensor", "sensor_with_inputs")
         .when((F.col("up_kind") == "task") & (F.col("down_kind") != "task"), "task_as_input")
     )

@@ -100,11 +100,11 @@ SQL_FAULTY = """
         SELECT 'duplicate_key' AS issue, c_custkey::VARCHAR AS subject FROM customer
           WHERE c_acctbal BETWEEN 5000 AND 5100
         UNION ALL
-        SELECT DISTINCT CASE WHEN u.kind IS NULL THEN 'unresolved_input'
+        SELECT DISTINCT CASE WHEN u.kind IS NULL THEN 'unresolved_input' WHEN d.kind IS NULL THEN 'unresolved_node'
                     WHEN d.kind = 'sensor' THEN 'sensor_with_inputs' ELSE 'task_as_input' END,
                upstream || '->' || downstream
-        FROM e JOIN k d ON d.node_id = downstream LEFT JOIN k u ON u.node_id = upstream
-        WHERE u.kind IS NULL OR d.kind = 'sensor' OR (u.kind = 'task' AND d.kind <> 'task')
+        FROM e LEFT JOIN k d ON d.node_id = downstream LEFT JOIN k u ON u.node_id = upstream
+        WHERE u.kind IS NULL OR d.kind IS NULL OR d.kind = 'sensor' OR (u.kind = 'task' AND d.kind <> 'task')
         UNION ALL
         SELECT 'cycle', node_id::VARCHAR FROM below WHERE node_id IN (SELECT node_id FROM above)""",
 )

@@ -14,7 +14,7 @@ from lakeloom.functions.scalars import hex_to_int
 STATUSES = ["completed", "completed", "completed", "returned", "cancelled"]
 TIERS = ["bronze", "silver", "gold", "platinum"]
 
-# URI schemes and the Hadoop scheme that serves them.
+# URI schemes and the Hadoop scheme that serves them; others serve themselves.
 URI_SCHEMES = {
     "abfs": "abfss",
     "abfss": "abfss",
@@ -54,15 +54,14 @@ def scan_uri(
     options: Mapping[str, str] | None = None,
     schema: StructType | str | None = None,
 ) -> DataFrame:
-    """Read any URI a Hadoop file system serves.
+    """Read any URI a Hadoop file system serves; the case of its scheme does not count.
 
     ``options`` holds store settings (keys, endpoints); they apply to this read only.
     """
     scheme, sep, rest = uri.partition("://")
     if sep:
-        if scheme not in URI_SCHEMES:
-            raise ValueError(f"no file system for scheme {scheme!r}")
-        uri = f"{URI_SCHEMES[scheme]}://{rest}"
+        scheme = scheme.lower()
+        uri = f"{URI_SCHEMES.get(scheme, scheme)}://{rest}"
     reader = spark.read.format(fmt).options(**(options or {}))
     return (reader.schema(schema) if schema else reader).load(uri)
 

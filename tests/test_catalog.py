@@ -119,6 +119,45 @@ def test_sensor_without_update_leaves_downstream_fresh(spark, root):
     assert cat.get("seen").first()["n"] == 9 and len(calls) == 2
 
 
+def test_forced_results_are_the_newest_and_reused(spark, root):
+    cat = AssetCatalog(spark, root)
+    calls = []
+
+    @cat.asset
+    def counted(spark):
+        calls.append(1)
+        return spark.range(len(calls))
+
+    assert cat.get("counted", no_cache=True).count() == 1
+    assert cat.get("counted").count() == 1 and len(calls) == 1
+    assert cat.get("counted", no_cache=True).count() == 2
+    assert cat.get("counted").count() == 2 and len(calls) == 2
+    for row in cat.log().collect():
+        assert spark.read.parquet(row["artifact_path"]).count() in (1, 2)
+        assert row["artifact_format"] == "parquet" and row["artifact_size_bytes"] > 0
+
+
+def test_poll_without_update_serves_the_last_snapshot(spark, root):
+    state = {"updated": True, "n": 3}
+    cat = AssetCatalog(spark, root)
+
+    @cat.sensor
+    def beat(spark):
+        return state["updated"], spark.range(state["n"])
+
+    assert cat.get("beat").count() == 3
+    state.update(updated=False, n=9)
+    assert cat.get("beat").count() == 3
+
+    @cat.asset(inputs={"beats": beat})
+    def late(beats):
+        return beats.agg(F.count(F.lit(1)).alias("n"))
+
+    assert cat.get("late").first()["n"] == 3
+    state.update(updated=True)
+    assert cat.get("late").first()["n"] == 9
+
+
 def test_tasks_always_run_and_burst_selects(spark, root):
     cat, calls = chain(spark, root)
     acted = []
@@ -157,6 +196,8 @@ def test_retries_failures_and_log(spark, root):
     assert log["flaky", False]["attempts"] == 3
     assert log["broken", False]["status"] == "failed"
     assert "gone" in log["broken", False]["error_message"]
+    assert "broken" in log["broken", False]["error_traceback"]
+    assert log["broken", False]["artifact_path"] is None
     assert cat.stats().count() == 2
 
 

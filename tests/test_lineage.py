@@ -74,7 +74,7 @@ def test_validate(spark):
         "node_id string, kind string",
     )
     edges = spark.createDataFrame(
-        [("t", "a"), ("a", "s"), ("ghost", "a"), ("t", "u")], "upstream string, downstream string"
+        [("t", "a"), ("a", "s"), ("ghost", "a"), ("t", "u"), ("a", "lost")], "upstream string, downstream string"
     )
     assert rows(L.validate_edges(nodes, edges)) == sorted(
         [
@@ -82,6 +82,7 @@ def test_validate(spark):
             ("task_as_input", "t->a"),
             ("sensor_with_inputs", "a->s"),
             ("unresolved_input", "ghost->a"),
+            ("unresolved_node", "a->lost"),
         ]
     )
 
