@@ -20,6 +20,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u <> v").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (u, v), v < u, is a centre or hangs on one centre only: no step moves such edges."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.count_if(F.expr("up > 0 and up + down > 1"))).first()[0]
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, root): the smallest id of its component for every id that an edge (a, b) names, the root itself too.
 
@@ -33,13 +42,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         .distinct(),
         f"{label}0",
     )
-    before = None
     number = 0
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
+    while not _all_stars(now):
         number += 1
         now = materialize(_star(_star(now, True), False), f"{label}{number}")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("root", F.col("id"))
