@@ -36,7 +36,7 @@ FREQUENT, TASK_FREQUENT = 262_144, 16_384
 #: Sets of one n-gram that are paired at once; larger blocks go by rounds of leaders.
 BLOCK = 64
 #: Leaders of a block in the first round, and how many times more in each next one.
-LEADERS, LEADERS_GROW = 4, 8
+LEADERS, LEADERS_GROW = 4, 64
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
 TASK_POSTINGS, TASK_PAIRS = 2_000_000, 20_000
 #: Set sizes from which two and three n-grams of a prefix have to be common.
