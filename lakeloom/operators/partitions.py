@@ -67,12 +67,17 @@ def dense_position(keys: DataFrame, column: str, out: str = "position") -> DataF
     )
 
 
+#: Positions of a dimension that one row is expanded to at once.
+SPAN = 65_536
+
+
 def partition_combos(dims: Mapping[str, DataFrame]) -> DataFrame:
     """Product of derived dimensions.
 
     The product is the result asked for. Each combination is addressed by the
     dense position of its next value and met by an equality join, so the work
-    shuffles evenly and no side is replicated to every task.
+    shuffles evenly and no side is replicated to every task. Positions are
+    expanded span by span: no row holds those of a whole dimension.
     """
     (first, table), *others = dims.items()
     combos = table.select(first).distinct()
@@ -82,9 +87,10 @@ def partition_combos(dims: Mapping[str, DataFrame]) -> DataFrame:
         combos = (
             combos.withColumn("_size", size)
             .where(F.col("_size") > 0)
-            .withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)))
+            .withColumn("_span", F.explode(F.expr(f"sequence(0L, _size - 1, {SPAN}L)")))
+            .withColumn("_at", F.explode(F.expr(f"sequence(_span, least(_size, _span + {SPAN}L) - 1)")))
             .join(numbered, "_at")
-            .drop("_at", "_size")
+            .drop("_at", "_span", "_size")
         )
     return combos
 

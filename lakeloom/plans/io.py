@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators.incremental import run_fingerprint_of
@@ -98,7 +101,11 @@ def _(t):
 @query(
     "sink_all",
     "SK4",
-    """SELECT * FROM (VALUES ('a.parquet', 'parquet', 'ok', true), ('b.json', 'json', 'ok', true),
+    """SELECT sink, format, status, has_size,
+              CASE WHEN status = 'ok' THEN (SELECT count(*) FROM customer) ELSE 0 END AS n_rows,
+              CASE WHEN status = 'ok' AND format <> 'text' THEN (SELECT sum(c_custkey) FROM customer)::BIGINT
+                   ELSE 0 END AS key_sum
+       FROM (VALUES ('a.parquet', 'parquet', 'ok', true), ('b.json', 'json', 'ok', true),
          ('c.txt', 'text', 'ok', true), ('d.pkl', 'pickle', 'error', false),
          ('e', 'parquet', 'ok', true), ('f.json', 'yaml', 'error', false))
          v(sink, format, status, has_size)""",
@@ -108,11 +115,26 @@ def _(t):
     sinks = [K.Sink(f"{root}/{n}") for n in ("a.parquet", "b.json", "c.txt", "d.pkl", "e")]
     sinks.append(K.Sink(f"{root}/f.json", "yaml"))
     outcomes = K.sink_all(t.customer, sinks)
-    return outcomes.select(
-        F.substring_index("path", "/", -1).alias("sink"),
+    # what the sinks hold, read back from where they were to write
+    schema = t.customer.schema
+    keyed = {
+        "a.parquet": t.spark.read.schema(schema).parquet(f"{root}/a.parquet"),
+        "b.json": t.spark.read.schema(schema).json(f"{root}/b.json"),
+        "c.txt": t.spark.read.text(f"{root}/c.txt").select(F.lit(0).alias("c_custkey")),
+        "e": t.spark.read.schema(schema).parquet(f"{root}/e"),
+    }
+    held = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(n).alias("sink"), F.col("c_custkey").cast("bigint").alias("c_custkey")) for n, df in keyed.items()],
+    )
+    held = held.groupBy("sink").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("c_custkey").alias("key_sum"))
+    return outcomes.withColumn("sink", F.substring_index("path", "/", -1)).join(held, "sink", "left").select(
+        "sink",
         "format",
         "status",
         (F.coalesce("size_bytes", F.lit(0)) > 0).alias("has_size"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("key_sum", F.lit(0)).alias("key_sum"),
     )
 
 

@@ -169,6 +169,13 @@ def test_partition_combos(spark):
     assert G.partition_combos({"a": a, "b": b.where("false")}).count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 2, 5])
+def test_partition_combos_by_spans(spark, monkeypatch, span):
+    monkeypatch.setattr(G, "SPAN", span)
+    a, b = spark.createDataFrame([("x",), ("y",)], "a string"), spark.range(5).toDF("b")
+    assert rows(G.partition_combos({"a": a, "b": b}), "a", "b") == [(i, j) for i in "xy" for j in range(5)]
+
+
 def test_dense_position(spark):
     got = G.dense_position(spark.range(500).toDF("x"), "x").select("position").collect()
     assert sorted(r[0] for r in got) == list(range(500))
