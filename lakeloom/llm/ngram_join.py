@@ -10,11 +10,14 @@ Only one set of each content takes part. N-grams that many prefixes share are
 not expanded into pairs: their sets are compared with a few leaders first, and
 again in further rounds, until all of them are in one component or compared.
 Rare n-grams that two sets do not share rule most of these comparisons out.
+That is enough for components. The join itself, ``similar_pairs``, compares all
+sets of such an n-gram in tiles and returns every link with its overlap.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ FREQUENT, TASK_FREQUENT = 262_144, 16_384
 BLOCK = 64
 #: Leaders of a block in the first round, and how many times more in each next one.
 LEADERS, LEADERS_GROW = 4, 64
+#: Sets of one n-gram on each side of a tile, when all of them are compared.
+TILE = 256
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
 TASK_POSTINGS, TASK_PAIRS = 2_000_000, 20_000
 #: Set sizes from which two and three n-grams of a prefix have to be common.
@@ -297,7 +302,7 @@ def _partial_overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: str) -> DataFrame:
-    """The pairs (a, b) that reach the threshold; ``pairs`` is a written table of distinct ones.
+    """The pairs (a, b, na, nb, overlap) that reach the threshold; ``pairs`` is a written table of distinct ones.
 
     Pairs are dealt to tasks by their ``key``, the end that is no leader, so that
     its segments go to one task and only the few leaders' to many.
@@ -316,8 +321,8 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: st
         .cogroup(parts.groupBy("bucket", "fragment"))
         .applyInArrow(_partial_overlaps, "a bigint, b bigint, na bigint, nb bigint, overlap bigint")
     )
-    total = overlaps.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("o"))
-    return materialize(total.where(f"{den} * o >= {num} * (na + nb - o)").select("a", "b"), label)
+    total = overlaps.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    return materialize(total.where(f"{den} * overlap >= {num} * (na + nb - overlap)"), label)
 
 
 def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -381,29 +386,8 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b", "na", "nb").agg(F.max("key").alias("key"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    similarity: tuple[int, int] = (80, 100),
-) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id), one row per row of ``docs``.
-
-    Words are runs without white space after lower-casing A-Z; a document's set
-    is its distinct shingles of ``words`` words, of fewer words the whole
-    sequence. Two documents link when den * intersection >= num * union.
-    ``component_id`` is the smallest id reachable by links, a document's own
-    included; ``class_id`` is the same for equal sets (null for empty ones).
-
-    A null or empty text has the empty set, links with nothing and is its own
-    component. Null ids take part and are never the smallest; a component of
-    null ids only has a null ``component_id``. Repeated ids are documents of
-    their own that share an id. An empty table gives no rows. Other columns are
-    not read. Shingles and sets are compared by 64-bit hashes, overlaps by 51
-    bits of them.
-    """
-    num, den = similarity
+def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, ...]:
+    """(source, members, counted, blocks): rows, their sets, pairs of small blocks and the rows of large ones."""
     spark = docs.sparkSession
     # the number of a row is the same in every pass over the same files
     source = docs.select(
@@ -441,8 +425,6 @@ def near_duplicates(
         "ra >= 0 and rb >= 0 and " + _possible("na", "nb", "ra", "rb", "hits", num, den)
     )
     counted = materialize(counted.withColumn("enough", enough), "counted")
-    pairs = counted.where("enough").select("a", "b", "na", "nb", F.col("a").alias("key"))
-    few = counted.where("not enough").select("a", "b", "hits")
     shared = materialize(
         postings.where("bucket < 0")
         .mapInArrow(_frequent_rows, "gram bigint, set_id bigint, n bigint, rare bigint")
@@ -460,6 +442,35 @@ def near_duplicates(
     )
     many = shared.groupBy("gram").count().where("count > 1").select("gram")
     blocks = materialize(shared.join(many, "gram", "left_semi"), "blocks")
+    return source, members, counted, blocks
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id), one row per row of ``docs``.
+
+    Words are runs without white space after lower-casing A-Z; a document's set
+    is its distinct shingles of ``words`` words, of fewer words the whole
+    sequence. Two documents link when den * intersection >= num * union.
+    ``component_id`` is the smallest id reachable by links, a document's own
+    included; ``class_id`` is the same for equal sets (null for empty ones).
+
+    A null or empty text has the empty set, links with nothing and is its own
+    component. Null ids take part and are never the smallest; a component of
+    null ids only has a null ``component_id``. Repeated ids are documents of
+    their own that share an id. An empty table gives no rows. Other columns are
+    not read. Shingles and sets are compared by 64-bit hashes, overlaps by 51
+    bits of them.
+    """
+    num, den = similarity
+    source, members, counted, blocks = _candidates(docs, id_col, text_col, words, num, den)
+    pairs = counted.where("enough").select("a", "b", "na", "nb", F.col("a").alias("key"))
+    few = counted.where("not enough").select("a", "b", "hits")
     roots = _linked(source, members, pairs, few, blocks, words, num, den)
     named = members.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "set_id"))
@@ -474,18 +485,23 @@ def near_duplicates(
     )
 
 
+def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int, number: int) -> DataFrame:
+    """The pairs that reach the threshold, by the texts of the sets they name."""
+    rows = members.where("n > 0").groupBy("set_id").agg(F.min("row").alias("_row_"))
+    sets = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
+    wanted = materialize(rows.join(sets.distinct(), "set_id", "left_semi").select("_row_"), f"wanted{number}")
+    texts = source.join(small(wanted, 8), "_row_", "left_semi").select("_row_", "_text_")
+    segments = materialize(
+        texts.mapInArrow(_segments(words), "set_id bigint, fragment int, grams binary"), f"segments{number}"
+    )
+    return _verify(pairs, segments, num, den, f"links{number}")
+
+
 def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
     """(id, root) of the sets that have links."""
-    rows = members.where("n > 0").groupBy("set_id").agg(F.min("row").alias("_row_"))
 
     def verified(pairs: DataFrame, number: int) -> DataFrame:
-        sets = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
-        wanted = materialize(rows.join(sets.distinct(), "set_id", "left_semi").select("_row_"), f"wanted{number}")
-        texts = source.join(small(wanted, 8), "_row_", "left_semi").select("_row_", "_text_")
-        segments = materialize(
-            texts.mapInArrow(_segments(words), "set_id bigint, fragment int, grams binary"), f"segments{number}"
-        )
-        return _verify(pairs, segments, num, den, f"links{number}")
+        return _verified(source, members, pairs, words, num, den, number).select("a", "b")
 
     number, count = 0, LEADERS
     blocks = blocks.withColumn("root", F.col("set_id"))
@@ -513,3 +529,147 @@ def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
             stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             roots = components(stars.unionByName(links), f"roots{number}_")
     return roots
+
+
+def _tile_pairs(num: int, den: int):
+    """In a tile of sets that share an n-gram: pairs whose first common one it is and that may be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, i, j = (table.column(c)[0].as_py() for c in ("gram", "i", "j"))
+        part = table.column("part").to_numpy()
+        set_id, n, rare = (table.column(c).to_numpy() for c in ("set_id", "n", "rare"))
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        columns, cells, row = [], [], np.arange(len(part))
+        for name in ("others", "frequents"):
+            lists = table.column(name).combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            columns.append(lists.flatten().to_numpy())
+            cells.append(np.repeat(row, lists.value_lengths().to_numpy()))
+        grams, owner = np.concatenate(columns), np.concatenate(cells)
+        is_frequent = np.repeat([False, True], [len(c) for c in columns])
+        # others and frequents have no n-gram in common
+        kinds, at, seen = np.unique(grams, return_inverse=True, return_counts=True)
+        frequent = np.zeros(len(kinds), bool)
+        frequent[at] = is_frequent
+        # n-grams of one set only add nothing
+        use = np.flatnonzero(seen > 1)
+        place = np.full(len(kinds), -1, np.int64)
+        place[use] = np.arange(len(use))
+        keep = place[at] >= 0
+        at, owner = place[at[keep]], owner[keep]
+        shape = len(left), len(right)
+        earlier, rarely, often = (np.zeros(shape, np.float32) for _ in range(3))
+        for low in range(0, len(use), 2048):
+            pick = (at >= low) & (at < low + 2048)
+            width = min(2048, len(use) - low)
+            has = np.zeros((len(part), width), np.float32)
+            has[owner[pick], at[pick] - low] = 1
+            some = use[low : low + width]
+            for total, those in ((earlier, kinds[some] < gram), (rarely, ~frequent[some]), (often, frequent[some])):
+                if those.any():
+                    total += has[left][:, those] @ has[right][:, those].T
+        na, nb, ra, rb = n[left][:, None], n[right][None], rare[left][:, None], rare[right][None]
+        least = np.minimum(na, nb)
+        fit = (earlier == 0) & (den * least >= num * np.maximum(na, nb)) & (rarely + often >= _common(least))
+        bound = np.minimum(na - ra + rarely, nb - rb + rarely)
+        fit &= (ra < 0) | (rb < 0) | ((num + den) * bound >= num * (na + nb))
+        fit &= set_id[left][:, None] < set_id[right][None] if i == j else True
+        x, y = np.nonzero(fit)
+        x, y = left[x], right[y]
+        swap = set_id[x] > set_id[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.table({"a": set_id[x], "b": set_id[y], "na": n[x], "nb": n[y]})
+
+    return run
+
+
+def _all_pairs(counted: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b, na, nb) that may be similar, each once.
+
+    A pair comes from the small blocks alone, from them and what it shares in
+    large blocks, or from the tiles of the large block of its first n-gram there.
+    """
+    kind = lambda which: F.array_sort(F.collect_set(F.when(F.expr(which), F.col("gram"))))
+    sets = materialize(
+        blocks.groupBy("set_id", "n", "rare").agg(kind("frequent").alias("frequents"), kind("not frequent").alias("others")),
+        "block_sets",
+    )
+    side = lambda x: sets.select(F.col("set_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("frequents", "others")))
+    both = lambda c: F.coalesce(F.size(F.array_intersect(f"a_{c}", f"b_{c}")), F.lit(0))
+    few = counted.where("not enough").join(side("a"), "a").join(side("b"), "b").withColumn("h", F.col("hits") + both("others"))
+    few = few.where(
+        (F.col("h") + both("frequents") >= _need("na", "nb"))
+        & F.expr(f"ra < 0 or rb < 0 or {_possible('na', 'nb', 'ra', 'rb', 'h', num, den)}")
+    )
+    parts = blocks.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    part = F.pmod(F.xxhash64("set_id"), F.col("parts"))
+    dealt = (
+        blocks.select("gram", "set_id")
+        .join(parts, "gram")
+        .withColumn("part", part)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("gram", "set_id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .join(sets, "set_id")
+    )
+    tiles = dealt.groupBy("gram", "i", "j").applyInArrow(_tile_pairs(num, den), "a bigint, b bigint, na bigint, nb bigint")
+    columns = ("a", "b", "na", "nb")
+    small_blocks = counted.where("enough").select(*columns)
+    return small_blocks.unionByName(few.select(*columns)).unionByName(tiles).distinct()
+
+
+def similar_pairs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+) -> tuple[DataFrame, DataFrame]:
+    """(classes, links): (doc_id, n_shingles, class_id), one row per row of ``docs``, and (a, b, na, nb, overlap).
+
+    The similarity join. Rows of equal sets are one class; ``links`` has every
+    pair of classes, a < b, with den * overlap >= num * union, their sizes and
+    their overlap, each once. Sets, null texts and ids are those of
+    :func:`near_duplicates`. A group of m classes that are all alike has
+    m (m - 1) / 2 links, so work and result grow with the square of m.
+    """
+    num, den = similarity
+    source, members, counted, blocks = _candidates(docs, id_col, text_col, words, num, den)
+    pairs = materialize(_all_pairs(counted, blocks, num, den), "pairs")
+    # dealt by both ends, so that a task needs few sets of a large group
+    side = math.isqrt(pairs.count() // TASK_PAIRS) + 1
+    end = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    links = _verified(source, members, pairs.withColumn("key", end("a") * side + end("b")), words, num, den, 0)
+    classes = members.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("class_id")
+    )
+    return classes, links
+
+
+def named_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) by ids: links between the classes' smallest ids, and from these to each other member.
+
+    With both, any two similar rows are named: those of one class, and those of two linked ones.
+    """
+    known = classes.where("class_id is not null")
+    first = materialize(
+        known.groupBy("class_id").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")),
+        "class_names",
+    )
+    name = lambda x: first.select(F.col("class_id").alias(x), F.col("least").alias(f"{x}_id"))
+    far = links.join(name("a"), "a").join(name("b"), "b")
+    turned = F.expr("coalesce(a_id > b_id, false)")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    far = far.select(
+        pick("a_id", "b_id").alias("a"),
+        pick("b_id", "a_id").alias("b"),
+        pick("na", "nb").alias("n_a"),
+        pick("nb", "na").alias("n_b"),
+        "overlap",
+    )
+    # of rows that share the smallest id, or have none, one stands for the class
+    same = known.join(first.where("rows > 1"), "class_id").groupBy("class_id", "least", "n", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    times = F.col("times") - F.col("doc_id").eqNullSafe(F.col("least")).cast("int")
+    same = same.withColumn("times", times).where("times > 0").withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return far.unionByName(
+        same.select(F.col("least").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("overlap"))
+    )

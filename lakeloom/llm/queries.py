@@ -24,6 +24,9 @@ from lakeloom.llm import (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What the first two queries find besides the columns that their SQL states.
+DETAILS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+DETAIL_ORACLES: dict[str, str] = {}
 
 COUNT_MODEL = os.environ.get("LAKELOOM_COUNT_MODEL", public_tokenizers.path("byte_bpe_50k.json"))
 RANKS = os.environ.get("LAKELOOM_RANKS", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -33,16 +36,20 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, queries: dict = QUERIES, oracles: dict = ORACLES):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        queries[name] = build
         if oracle:
-            ORACLES[name] = oracle
+            oracles[name] = oracle
         return build
 
     return register
 
 
+def detail(name: str, oracle: str | None = None):
+    return query(name, oracle, DETAILS, DETAIL_ORACLES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,6 +116,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@detail(
+    "op2_links",
+    f"""
+WITH d AS (
+       SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (
+       SELECT DISTINCT doc_id, w[k:k + 2] AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     pairs AS (
+       SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id
+       GROUP BY ALL),
+     links AS (
+       SELECT a, b, na.n AS n_a, nb.n AS n_b, o, o = na.n AND o = nb.n AS same
+       FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+       WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+     later AS (SELECT b FROM links WHERE same)
+SELECT a, b, n_a, n_b, o AS overlap FROM links
+WHERE a NOT IN (FROM later) AND (same OR b NOT IN (FROM later))
+""",
+)
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link between two different sets, under their smallest ids, and from these ids to the rows of equal sets."""
+    classes, links = ngram_join.similar_pairs(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
+    return ngram_join.named_pairs(classes, links)
+
+
 @query(
     "op3_exact_dedup",
     f"""

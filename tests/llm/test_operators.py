@@ -16,6 +16,7 @@ from brute import (
     lowered,
     near,
     sha,
+    shingles,
     url_parts,
     url_rule,
 )
@@ -137,6 +138,39 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, k, num, bl
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == wanted
 
 
+@pytest.mark.parametrize(("k", "num", "block", "tile"), [(3, 90, 64, 256), (5, 80, 64, 16), (3, 90, 4, 8)])
+def test_similar_pairs_are_those_of_brute_force(spark, monkeypatch, k, num, block, tile):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rows = near_cases(k + block)
+    classes, links = ngram_join.similar_pairs(frame(spark, rows), words=k, similarity=(num, 100))
+    classes, links = classes.collect(), links.collect()
+    first = {}
+    for d, t in rows:
+        if s := frozenset(shingles(t, k)):
+            first.setdefault(s, set()).add(d)
+    sets = sorted(first, key=lambda s: (len(s), sorted(s)))
+    wanted = sorted(
+        (*sorted((len(a), len(b))), len(a & b)) for i, a in enumerate(sets) for b in sets[i + 1 :] if 100 * len(a & b) >= num * len(a | b)
+    )
+    assert len(wanted) > 300
+    assert sorted((*sorted((r.na, r.nb)), r.overlap) for r in links) == wanted
+    assert all(r.a < r.b for r in links) and len({(r.a, r.b) for r in links}) == len(links)
+    of = {}
+    for r in classes:
+        of.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(map(len, first.values())) == sorted(len(v) for c, v in of.items() if c is not None)
+    assert len(classes) == len(rows) and of[None] == {d for d, t in rows if not shingles(t, k)}
+
+
+def test_named_pairs_have_rows_of_equal_sets(spark):
+    rows = [(3, "a b c d"), (2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "q r s"), (None, "q r s"), (8, None)]
+    classes, links = ngram_join.similar_pairs(frame(spark, rows), words=1)
+    got = sorted(map(tuple, ngram_join.named_pairs(classes, links).collect()), key=repr)
+    assert got == [(2, 2, 4, 4, 4), (2, 3, 4, 4, 4), (2, None, 4, 4, 4), (None, None, 3, 3, 3)]
+    assert ngram_join.named_pairs(*ngram_join.similar_pairs(empty(spark))).collect() == []
+
+
 def test_near_duplicates_of_awkward_texts(spark):
     got = ngram_join.near_duplicates(frame(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
