@@ -6,8 +6,8 @@ row, so the index is partitioned by document and grows with the texts. A search
 takes each window of a test item, starts from the postings of its rarest term in
 the segment, shifts them by the term's offset and intersects them with the
 postings of the next rarer term, and so on. Positions are left where the whole
-phrase stands (slop 0) or where every term stands within ``slop`` words of its
-place (proximity).
+phrase stands or where every term stands within ``slop`` words of its place,
+counted from one of them (proximity).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from lakeloom.llm.text import ALNUM, chunks, rows_of
 from lakeloom.session import materialize
 
 WINDOW = 10
+#: Words that terms of a proximity match may be off their place, in registered queries.
+SLOP = 2
 #: Largest slop a search may ask for; texts of a segment lie further apart than this.
 MAX_SLOP = 16
 #: Words of test items searched for at a time; more items take more passes over the texts.
@@ -31,7 +33,7 @@ BLOCK_WORDS = 2_000_000
 _INDEX = "n_words binary, terms binary, counts binary, positions binary, ids array<{id}>, rows array<bigint>"
 _HITS = (
     "row bigint, doc_id {id}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, "
-    "items array<{item}>, near_items array<{item}>"
+    "near_spans array<struct<first:bigint,last:bigint>>, items array<{item}>, near_items array<{item}>"
 )
 
 
@@ -120,12 +122,15 @@ def _index(windows):
     return run
 
 
-def intersect(find: Windows, counts: np.ndarray, keys: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches in a segment.
+def intersect(
+    find: Windows, counts: np.ndarray, keys: np.ndarray, slop: int = 0, shift: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, first, last) of all matches in a segment: the positions of their outermost words.
 
     ``counts``: postings by term number; ``keys``: sorted (term << 32 | position).
+    With ``slop``, the matches whose rarest term stands ``shift`` words behind its place.
     """
-    nothing = np.empty(0, np.int64), np.empty(0, np.int64)
+    nothing = (np.empty(0, np.int64),) * 3
     if not len(find.at) or not len(keys):
         return nothing
     size = np.where(find.at < 0, np.iinfo(np.int64).max, counts[find.at])
@@ -139,25 +144,54 @@ def intersect(find: Windows, counts: np.ndarray, keys: np.ndarray, slop: int = 0
     n = counts[term]
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     row = np.repeat(np.arange(len(live)), n)
-    start = (keys[np.repeat(first_posting[term], n) + inner] & 0xFFFFFFFF) - offset[row]
+    start = (keys[np.repeat(first_posting[term], n) + inner] & 0xFFFFFFFF) - offset[row] - shift
+    first, last = np.full(len(row), 1 << 32), np.full(len(row), -1)
+    in_place = np.zeros(len(row), bool)  # whether a term stands in its place
     length = find.length[live]
-    for k in range(1, find.at.shape[1]):
+    for k in range(find.at.shape[1]):
         more = length[row] > k
         off = order[row, k]
         term = find.at[live[row], np.where(more, off, 0)]
         wanted = (term << 32) + start + off
+        place = np.searchsorted(keys, wanted)
+        found = keys[np.minimum(place, len(keys) - 1)]
         if slop:
-            place = np.searchsorted(keys, wanted - slop)
-            near = keys[np.minimum(place, len(keys) - 1)]
-            hit = (place < len(keys)) & (near <= wanted + slop) & (near >> 32 == term)
+            # the nearer one of the postings on both sides
+            before = keys[np.maximum(place - 1, 0)]
+            far = np.iinfo(np.int64).max
+            ahead = np.where(found >> 32 == term, np.abs(found - wanted), far)
+            behind = np.where(before >> 32 == term, np.abs(wanted - before), far)
+            found = np.where(behind < ahead, before, found)
+            hit = np.minimum(ahead, behind) <= slop
         else:
-            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[place] == wanted
-        keep = (hit | ~more) & (start >= -slop)
+            hit = found == wanted
+        keep = hit | ~more
+        at = np.where(more, found & 0xFFFFFFFF, first)
+        in_place = (in_place | (more & (found == wanted)))[keep]
+        first, last = np.minimum(first, at)[keep], np.maximum(last, at)[keep]
         row, start = row[keep], start[keep]
         if not len(row):
             break
-    return live[row], start
+    return live[row[in_place]], first[in_place], last[in_place]
+
+
+def near_matches(find: Windows, counts: np.ndarray, keys: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
+    """(window, first, last) of all proximity matches, whichever of their terms stands in its place."""
+    parts = [intersect(find, counts, keys, slop, shift) for shift in range(-slop, slop + 1)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _spans(base: np.ndarray, n_words: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.ListArray:
+    """Runs of covered words of each text of a segment."""
+    edge = np.zeros(int(base[-1] + n_words[-1]) + WINDOW_GAP + 1 if len(base) else 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    hit = np.concatenate([[False], np.cumsum(edge) > 0, [False]])
+    turn = np.flatnonzero(hit[1:] != hit[:-1])
+    first, last = turn[::2], turn[1::2] - 1
+    doc = np.searchsorted(base, first, side="right") - 1
+    spans = pa.StructArray.from_arrays([pa.array(first - base[doc]), pa.array(last - base[doc])], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(base) + 1)).astype(np.int32)), spans)
 
 
 def _search(windows, slop: int):
@@ -170,40 +204,32 @@ def _search(windows, slop: int):
                 counts = np.zeros(len(find.terms) + 1, np.int64)
                 counts[terms] = size
                 keys = np.repeat(terms, size) << 32 | position
-                window, start = intersect(find, counts, keys)
                 base = _bases(n_words)
-                edge = np.zeros(int(base[-1] + n_words[-1]) + WINDOW_GAP + 1 if len(base) else 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + find.length[window], -1)
-                hit = np.concatenate([[False], np.cumsum(edge) > 0, [False]])
-                turn = np.flatnonzero(hit[1:] != hit[:-1])
-                first, last = turn[::2], turn[1::2] - 1
-                doc = np.searchsorted(base, first, side="right") - 1
-                spans = pa.StructArray.from_arrays([pa.array(first - base[doc]), pa.array(last - base[doc])], ["first", "last"])
-                per_doc = np.searchsorted(doc, np.arange(len(base) + 1)).astype(np.int32)
-                found = _items(find, window, start, base)
-                near = {}
-                if slop:
-                    near = _items(find, *intersect(find, counts, keys, slop), base)
+                window, first, last = intersect(find, counts, keys)
+                spans, found = _spans(base, n_words, first, last), _items(find, window, first, base)
+                nothing = np.empty(0, np.int64)
+                window, first, last = near_matches(find, counts, keys, slop) if slop else (nothing,) * 3
+                near_spans, near = _spans(base, n_words, first, last), _items(find, window, first, base)
                 doc = range(len(base))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("rows")[row].values,
                         batch.column("ids")[row].values,
                         pa.array(n_words),
-                        pa.ListArray.from_arrays(pa.array(per_doc), spans),
+                        spans,
+                        near_spans,
                         pa.array([found.get(d, []) for d in doc], pa.list_(pa.int64())),
                         pa.array([near.get(d, []) for d in doc], pa.list_(pa.int64())),
                     ],
-                    ["row", "doc_id", "n_words", "spans", "items", "near_items"],
+                    ["row", "doc_id", "n_words", "spans", "near_spans", "items", "near_items"],
                 )
 
     return run
 
 
-def _items(find: Windows, window: np.ndarray, start: np.ndarray, base: np.ndarray) -> dict[int, list[int]]:
-    """Item numbers found in each text of a segment."""
-    doc = np.searchsorted(base, np.maximum(start, 0), side="right") - 1
+def _items(find: Windows, window: np.ndarray, first: np.ndarray, base: np.ndarray) -> dict[int, list[int]]:
+    """Item numbers found in each text of a segment, by the first word of each match."""
+    doc = np.searchsorted(base, first, side="right") - 1
     pairs = np.unique(np.stack([doc, window], axis=1), axis=0) if len(doc) else np.empty((0, 2), int)
     out: dict[int, set[int]] = {}
     for d, w in pairs.tolist():
@@ -234,14 +260,17 @@ def contamination(
     window: int = WINDOW,
     slop: int = 0,
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items, near_items), one row per row of ``docs``.
+    """(doc_id, n_words, n_hit, spans, near_spans, items, near_items), one row per row of ``docs``.
 
     Words are runs of letters and digits after lower-casing A-Z. A window is
     ``window`` consecutive words of an item; an item of fewer, but not none, is
     one window. ``spans`` are the runs of document words inside occurrences of
     windows (first and last word, from 0), ``n_hit`` is their size, ``items``
-    lists the ids of items with occurrences, as sorted strings, and
-    ``near_items`` those with a proximity match, if ``slop`` > 0.
+    lists the ids of items with occurrences, as sorted strings. If ``slop`` > 0,
+    ``near_spans`` and ``near_items`` are the same for proximity matches: one
+    word of the window stands in the text and every other one within ``slop``
+    words of its place counted from there; a span runs from the first to the
+    last of these words. Occurrences are among them.
 
     Null and empty texts have no words; a null item matches nothing; an item
     whose id is null counts in ``n_hit`` and is listed nowhere; repeated rows of
@@ -277,7 +306,7 @@ def contamination(
         ),
         lambda a: a.n,
     )
-    return hits.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "items", "near_items")
+    return hits.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "near_spans", "items", "near_items")
 
 
 def _named(names):
@@ -286,9 +315,9 @@ def _named(names):
         for batch in batches:
             lists = [
                 pa.array([sorted({label[i] for i in x} - {None}) for x in batch.column(k).to_pylist()], pa.list_(pa.string()))
-                for k in (4, 5)
+                for k in (5, 6)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists], batch.schema.names)
 
     return run
 
@@ -303,6 +332,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         joined("spans").alias("spans"),
+        joined("near_spans").alias("near_spans"),
         joined("items").alias("items"),
         joined("near_items").alias("near_items"),
     )
@@ -316,7 +346,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         ).otherwise(F.concat(runs, F.array(x)))
 
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    return grown.withColumn("spans", F.aggregate("spans", none, extend))
+    return grown.withColumns({c: F.aggregate(c, none, extend) for c in ("spans", "near_spans")})
 
 
 def items_digest(items: str = "items") -> Column:

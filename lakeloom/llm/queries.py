@@ -88,6 +88,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@detail("op1_proximity")
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and proximity matches, with their items and places."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items, slop=decontaminate.SLOP)
+
+
 @query(
     "op2_ngram_jaccard",
     f"""

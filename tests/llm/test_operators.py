@@ -19,6 +19,7 @@ from brute import (
     shingles,
     url_parts,
     url_rule,
+    words,
 )
 from pyspark.sql import functions as F
 
@@ -99,6 +100,56 @@ def test_proximity(spark):
     assert got == {1: (["9"], ["9"]), 2: ([], ["9"]), 3: ([], [])}
 
 
+def near_covered(docs, items, slop, window=10):
+    """[(covered words, sorted item ids)] of proximity matches, by trying every word in every place."""
+    out = []
+    for said in docs:
+        w, covered, found = words(said), set(), set()
+        for item, t in items:
+            every = words(t)
+            n = min(window, len(every))
+            for part in [every[k : k + n] for k in range(len(every) - n + 1)] if n else []:
+                for start in range(-n - slop, len(w) + slop):
+                    at = []
+                    for off, term in enumerate(part):
+                        places = [p for p in range(max(0, start + off - slop), min(len(w), start + off + slop + 1)) if w[p] == term]
+                        at.append(min(places, key=lambda p: (abs(p - start - off), -p), default=None))  # noqa: B023
+                    if None not in at and any(p == start + off for off, p in enumerate(at)):
+                        covered |= set(range(min(at), max(at) + 1))
+                        found.add(item)
+        out.append((sorted(covered), sorted(map(str, found))))
+    return out
+
+
+def test_proximity_is_that_of_brute_force(spark):
+    rng = random.Random(31)
+    items = [(k, t) for k, t in enumerate(made(32, 6, 16)) if t]
+    docs = made(33, 12)
+    for _, t in items * 4:
+        w = t.split()
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w.insert(rng.randrange(max(0, at - 2), at + 2), w.pop(at) if rng.random() < 0.5 else "zz")
+        docs.append(" ".join(rng.choice([[], ["so"]]) + w))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.contamination(frame(spark, list(enumerate(docs))).coalesce(2), bench, slop=2)
+    got = {r.doc_id: ([p for s in r.near_spans for p in range(s.first, s.last + 1)], r.near_items) for r in got.collect()}
+    assert [got[i] for i in range(len(docs))] == near_covered(docs, items, 2)
+
+
+def test_proximity_at_the_start_of_a_second_text(spark):
+    w = [f"w{i}" for i in range(10)]
+    moved = " ".join([w[1], w[0], *w[2:]])
+    rows = [(1, "other words"), (2, f"{moved} so"), (3, " ".join([*w[:5], "so", *w[5:]])), (4, " ".join(w[:9]))]
+    bench = spark.createDataFrame([(9, " ".join(w))], "item_id bigint, text string")
+    # w0 is the rarest term: the place counted from it lies before the second text
+    docs = frame(spark, [*rows, *((i, "w1 w2 w3 w4 w5 w6 w7 w8 w9") for i in range(10, 20))]).coalesce(1)
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, slop=1).collect()}
+    assert {d: r.near_items for d, r in got.items() if r.near_items} == {2: ["9"], 3: ["9"]}
+    assert [tuple(s) for s in got[2].near_spans] == [(0, 9)] and [tuple(s) for s in got[3].near_spans] == [(0, 10)]
+    assert not any(r["items"] or r.n_hit for r in got.values())
+
+
 def test_contamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(empty(spark), bench).collect() == []
