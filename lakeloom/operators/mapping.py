@@ -1,8 +1,9 @@
 """User functions over rows and partitions, run as Arrow batches.
 
-Grouped functions receive bounded slices: a key with more than ``slice_rows``
-rows is cut into several calls, so one hot key never lands in one task whole.
-Results per key that need all slices are merged by a second aggregation.
+A function of whole keys gets each key in exactly one call, however many rows
+it has (``map_by_key``, ``map_aligned``). A function of parts gets a declared
+number of slices of every key, and a second aggregation merges what it returns
+(``collect_udaf``), so one hot key never lands in one task whole.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from lakeloom.operators.sets import union_branches
 from lakeloom.session import shuffle_partitions
 
 OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
-SLICE_ROWS = 100_000
+#: Parts of every key that a partial function sees.
+SLICES = 64
 
 
 def with_slices(
     df: DataFrame,
     keys: Sequence[str],
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows with a ``_slice`` number: 0 for keys of at most ``slice_rows`` rows.
@@ -45,6 +47,12 @@ def with_slices(
     return marked.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("bigint")).drop("_hot_rows")
 
 
+def _sliced(
+    df: DataFrame, keys: Sequence[str], slice_rows: int | None, slice_by: Sequence[str] | None
+) -> DataFrame:
+    return with_slices(df, keys, slice_rows, slice_by) if slice_rows else df.withColumn("_slice", F.lit(0).cast("bigint"))
+
+
 def _by_group(
     df: DataFrame,
     group: Sequence[str],
@@ -102,14 +110,14 @@ def map_by_key(
     keys: Sequence[str],
     fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``fn(key, rows)`` for every partition key.
+    """``fn(key, rows)`` for every partition key, exactly one call per key at every size.
 
-    A key of at most ``slice_rows`` rows is one call. A larger one is several,
-    which suits functions of single rows and partial results that the caller
-    merges with an aggregation over ``keys``.
+    The largest key has to fit one task's memory. Only a caller that gives
+    ``slice_rows`` asks for several calls for a key of more rows, which suits
+    functions of single rows and partial results that the caller merges.
     """
     columns = df.columns
     width = len(keys)
@@ -117,7 +125,7 @@ def map_by_key(
     def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(group[:width], pdf[columns])
 
-    sliced = with_slices(df, keys, slice_rows, slice_by)
+    sliced = _sliced(df, keys, slice_rows, slice_by)
     return _by_group(sliced, [*keys, "_slice"], call, schema)
 
 
@@ -127,13 +135,13 @@ def map_aligned(
     keys: Sequence[str],
     fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """``fn(key, left_rows, right_row)`` for every partition key of ``left``.
 
     ``right`` must hold one row per key, which is checked; a key it lacks gets
-    an empty frame. Slicing is that of :func:`map_by_key`.
+    an empty frame. Calls and memory are those of :func:`map_by_key`.
     """
     keys = list(keys)
     width = len(keys)
@@ -143,7 +151,7 @@ def map_aligned(
     single = unique_per_key(right, keys).withColumnsRenamed(renamed).withColumn(
         "_matched", F.lit(True)
     )
-    joined = with_slices(left, keys, slice_rows, slice_by).join(single, keys, "left")
+    joined = _sliced(left, keys, slice_rows, slice_by).join(single, keys, "left")
 
     def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf[list(renamed.values())].iloc[: int(pdf["_matched"].notna().iloc[0])]
@@ -287,15 +295,26 @@ def collect_udaf(
     partial: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     partial_schema: StructType | str,
     merge: Mapping[str, Column],
-    slice_rows: int = SLICE_ROWS,
+    slices: int = SLICES,
     slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """User aggregate over all partition values of a parent.
 
-    ``partial`` turns a slice of a parent's rows into partial results;
-    ``merge`` names the aggregate columns that combine them.
+    Every parent, however small, is cut into up to ``slices`` slices by a hash
+    of ``slice_by`` (all columns by default). ``partial`` turns a slice into
+    partial results; ``merge`` names the aggregate columns that combine them and
+    may not be empty.
     """
-    parts = map_by_key(df, keys, partial, partial_schema, slice_rows, slice_by)
+    if not merge:
+        raise ValueError("slices of a key need columns that merge them")
+    place = F.pmod(F.xxhash64(*(slice_by or df.columns)), F.lit(slices)).cast("bigint")
+    columns, width = df.columns, len(keys)
+    parts = _by_group(
+        df.withColumn("_slice", place),
+        [*keys, "_slice"],
+        lambda group, pdf: partial(group[:width], pdf[columns]),
+        partial_schema,
+    )
     return parts.groupBy(*keys).agg(*[c.alias(name) for name, c in merge.items()])
 
 

@@ -238,6 +238,31 @@ def test_map_by_key_calls(hot, slice_rows):
         assert len(got["hot"]) > 10
 
 
+def test_functions_of_whole_keys_get_one_call_at_any_size(spark):
+    df = spark.range(100_001).select(F.lit("k").alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([("k", 1)], "k string, y bigint")
+
+    def median(key, pdf, row=None):
+        return pd.DataFrame({"k": [key[0]], "n": [len(pdf)], "m": [float(pdf["x"].median())]})
+
+    schema = "k string, n bigint, m double"
+    for got in (X.map_by_key(df, ["k"], median, schema), X.map_aligned(df, right, ["k"], median, schema)):
+        assert rows(got) == [("k", 100_001, 50_000.0)]
+
+
+def test_partial_functions_get_slices_at_any_size(spark):
+    def size(key, pdf):
+        return pd.DataFrame({"k": [key[0]], "n": [len(pdf)]})
+
+    for n in (10, 1000):
+        df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("x"))
+        merge = {"calls": F.count(F.lit(1)), "n": F.sum("n")}
+        (got,) = X.collect_udaf(df, ["k"], size, "k string, n bigint", merge, slices=4).collect()
+        assert 1 < got["calls"] <= 4 and got["n"] == n
+    with pytest.raises(ValueError):
+        X.collect_udaf(df, ["k"], size, "k string, n bigint", {})
+
+
 def test_map_aligned_missing_right(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, x bigint")
     right = spark.createDataFrame([("a", "A"), ("c", "C")], "k string, y string")
