@@ -4,43 +4,78 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from lakeloom.llm.tables import small
 from lakeloom.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Names a row in all stages; ids may repeat or be null.
+KEY = "_row_key_"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row that is written with it; a stage's output has one already."""
+    if KEY in docs.columns:
+        return docs.select(KEY, *COLUMNS)
+    return materialize(docs.select(F.monotonically_increasing_id().alias(KEY), *COLUMNS), "keyed")
 
 
 def _without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
-    """``docs`` without the rows whose id is among ``rejected``; rows of a null id stay."""
-    gone = materialize(rejected.select("doc_id").where("doc_id is not null").distinct(), label)
-    return docs.select(*COLUMNS).join(small(gone, 8), "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` without exactly the rows whose key is among the ``doc_id`` of ``rejected``."""
+    gone = materialize(rejected.select(F.col("doc_id").alias(KEY)), label)
+    return docs.join(small(gone, 8), KEY, "left_anti").select(KEY, *COLUMNS)
+
+
+def _all_but_one(docs: DataFrame, pairs: DataFrame, largest: bool, label: str) -> DataFrame:
+    """The rows (``doc_id``: keys) to drop from groups, so that the one of smallest or largest id stays.
+
+    ``pairs`` (doc_id, first) has the key of each row but one of a group, and the
+    key of that one. Null ids are kept only without others; of equal ids the
+    smallest key stays.
+    """
+    pairs = materialize(pairs, f"{label}_groups")
+    rows = pairs.unionByName(pairs.select(F.col("first").alias("doc_id"), "first").distinct())
+    ids = docs.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("id"))
+    if largest:
+        best = F.max_by("doc_id", F.struct(F.col("id").isNotNull(), F.col("id"), -F.col("doc_id")))
+    else:
+        best = F.min_by("doc_id", F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id")))
+    kept = rows.join(ids, "doc_id").groupBy("first").agg(best.alias("doc_id"))
+    return rows.join(small(materialize(kept.select("doc_id"), f"{label}_kept"), 8), "doc_id", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject."""
+    docs = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"), "toxic")
+    found = toxicity.score(docs, model, id_col=KEY).where("predicted = 1")
+    return _without(docs, found.withColumnRenamed(KEY, "doc_id"), "toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat an id and a text are one document."""
-    found = exact_dedup.exact_duplicates(docs)
-    return _without(docs, found.where("not kept"), "copies").dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts, that of the largest id."""
+    docs = _keyed(docs)
+    found = exact_dedup.exact_duplicates(docs, id_col=KEY).where("not kept")
+    found = found.select("doc_id", F.col("keep_id").alias("first"))
+    return _without(docs, _all_but_one(docs, found, True, "copies"), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates (five words, 0.8)."""
-    found = ngram_join.near_duplicates(docs, words=5, similarity=(80, 100))
-    return _without(docs, found.where("doc_id <> component_id"), "near")
+    docs = _keyed(docs)
+    found = ngram_join.near_duplicates(docs, id_col=KEY, words=5, similarity=(80, 100))
+    found = found.where("doc_id <> component_id").select("doc_id", F.col("component_id").alias("first"))
+    return _without(docs, _all_but_one(docs, found, False, "near"), "near")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of a benchmark item, its words in place or nearly so."""
+    docs = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items, slop=decontaminate.SLOP)
+    found = decontaminate.contamination(docs, items, id_col=KEY, slop=decontaminate.SLOP)
     return _without(docs, found.where("size(near_spans) > 0"), "leaks")
 
 

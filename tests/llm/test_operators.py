@@ -609,6 +609,43 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_stages_drop_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    said = lambda: " ".join(f"c{rng.randrange(10**6)}" for _ in range(60))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = lambda rows: spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows], schema)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    a, b, c, item = said(), said(), said(), " ".join(said().split()[:12])
+    near_copy, leak = " ".join([*a.split()[:-1], "changed"]), f"{said()} {item}"
+    moved = item.split()
+    moved[4], moved[5] = moved[5], moved[4]
+    near_leak = f"{said()} {' '.join(moved)}"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(i, 1, i % 2) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def stage(drop, rows):
+        return left(drop(spark, docs(rows), str(tmp_path)))
+
+    def wanted(*rows):
+        return sorted(rows, key=repr)
+
+    copies = [(7, a), (7, b), (9, a.upper()), (None, a), (None, b), (None, c), (None, c), (9, a.upper())]
+    assert stage(corpus_pipeline.drop_copies, copies) == wanted((7, b), (9, a.upper()), (None, c))
+    near_rows = [(7, near_copy), (7, b), (5, a), (None, a), (None, c), (None, f"{c} x")]
+    kept = stage(corpus_pipeline.drop_near_copies, near_rows)
+    assert kept[:2] == [(5, a), (7, b)] and len(kept) == 3 and kept[2][0] is None
+    leaks = [(7, leak), (7, b), (None, leak), (None, c), (8, near_leak)]
+    assert stage(corpus_pipeline.drop_contaminated, leaks) == wanted((7, b), (None, c))
+    rude = lambda i: f"gronkle {said()} blirtzen" if i % 2 else said()
+    known = [(i, rude(i)) for i in range(200)]
+    toxic = [(7000, rude(1)), (7000, b), (None, rude(1)), (None, c)]
+    kept = stage(corpus_pipeline.drop_toxic, known + toxic)
+    assert [r for r in kept if r[0] in (7000, None)] == wanted((7000, b), (None, c))
+
+
 def test_stages_take_an_empty_table(spark, sf):
     import corpus_pipeline
 
