@@ -8,8 +8,10 @@ decides and gives the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -106,54 +108,63 @@ def base_places(plain: bytes, phrases: Mapping[str, str]) -> list[tuple[int, str
 
 
 def fuzzy_spans(plain: bytes, notices: Sequence[Notice]) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, score) of notices in a chunk of plain words; score is the share of characters kept."""
+    """(start, end, label, score) of notices in a chunk of plain words; score is the share of characters kept.
+
+    Of overlapping readings of a notice the one with fewest edits counts; no
+    place outside the readings that count holds another.
+    """
     found = []
     for notice in notices:
-        near: list[tuple[int, int]] = []
+        windows = set()
+        # an edit may be a character of four bytes
+        reach = 4 * notice.edits
         for offset, piece in notice.pieces:
             for at in _find_all(plain, piece):
-                near.append((at - offset - notice.edits, at - offset + len(notice.text) + notice.edits))
-        for a, b in _joined(near):
-            # stay inside the text: a line feed ends it on either side
-            a = max(a, 0)
-            cut = plain.rfind(b"\n", a, b)
-            spans = []
-            while cut >= 0:
-                spans.append((cut + 1, b))
-                b = cut
-                cut = plain.rfind(b"\n", a, b)
-            spans.append((a, b))
-            for x, y in spans:
-                found += _verified(plain, x, y, notice)
+                a, b = max(0, at - offset - reach), min(len(plain), at - offset + len(notice.text) + reach)
+                windows.add(_whole_words(plain, a, b, at, at + len(piece)))
+        found += _verified(plain, windows, notice)
     return found
 
 
-def _verified(plain: bytes, a: int, b: int, notice: Notice) -> list[tuple[int, int, str, float]]:
-    # whole words only, so that the pattern's word ends are the text's
-    while a > 0 and plain[a - 1] not in b" \n":
-        a -= 1
-    end = min((i for i in (plain.find(b" ", b), plain.find(b"\n", b)) if i >= 0), default=len(plain))
-    part = plain[a:end].decode("utf-8", "replace")
-    out = []
-    for m in notice.pattern.finditer(part):
-        start = a + len(part[: m.start()].encode())
-        stop = a + len(part[: m.end()].encode())
-        out.append((start, stop, notice.label, 1 - sum(m.fuzzy_counts) / len(notice.text)))
-    return out
+def _whole_words(plain: bytes, a: int, b: int, start: int, end: int) -> tuple[int, int]:
+    """The words of the text around ``start`` to ``end`` that lie or begin between ``a`` and ``b``."""
+    # a line feed ends the text on either side; blanks end words
+    a = max(plain.rfind(b"\n", a, start) + 1, a)
+    b = cut if (cut := plain.find(b"\n", end, b)) >= 0 else b
+    a = max(plain.rfind(b" ", 0, a), plain.rfind(b"\n", 0, a)) + 1
+    stops = [i for i in (plain.find(b" ", b), plain.find(b"\n", b)) if i >= 0]
+    return a, min(stops, default=len(plain))
 
 
-def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    spans.sort()
-    last = None
-    for a, b in spans:
-        if last and a <= last[1]:
-            last = (last[0], max(last[1], b))
-        else:
-            if last:
-                yield last
-            last = (a, b)
-    if last:
-        yield last
+def _verified(plain: bytes, windows: set[tuple[int, int]], notice: Notice) -> list[tuple[int, int, str, float]]:
+    """Readings of a notice in windows of whole words, best first; what each leaves of a window is searched again."""
+    readings: list[tuple[int, int, int, int, int]] = []
+
+    def search(a: int, b: int) -> None:
+        if b - a < len(notice.text) - notice.edits:
+            return
+        part = plain[a:b].decode("utf-8", "replace")
+        if m := notice.pattern.search(part):
+            start = a + len(part[: m.start()].encode())
+            heappush(readings, (sum(m.fuzzy_counts), start, start + len(m.group().encode()), a, b))
+
+    for a, b in windows:
+        search(a, b)
+    taken: list[tuple[int, int]] = []  # in order, apart from each other
+    out = []
+    while readings:
+        edits, start, stop, a, b = heappop(readings)
+        at = bisect_left(taken, (start, stop))
+        meets = [x for x in taken[max(0, at - 1) : at + 1] if x[0] < stop and start < x[1]]
+        if not meets:
+            taken.insert(at, (start, stop))
+            out.append((start, stop, notice.label, 1 - edits / len(notice.text)))
+            meets = [(start, stop)]
+        # the parts of the window beside one that counts
+        x, y = meets[0]
+        search(a, x)
+        search(y, b)
+    return out
 
 
 def _scan(names: list[str], phrases: Mapping[str, str], notices: Sequence[tuple[str, str]]):

@@ -226,4 +226,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"),
         "score",
+        "spans",
     )

@@ -576,6 +576,29 @@ def test_seeds_lose_no_notice():
             assert any(s[2] == notice.label for s in licenses.fuzzy_spans(plain, [notice])), said
 
 
+def test_repeated_notices_are_all_found(spark):
+    from lakeloom.llm import queries
+
+    exact, wrong = "licensed under the apache license version 2 0", "licensed undr the apache licence version 2 0"
+    rng = random.Random(6)
+    notices = licenses.compile_notices([(exact, "apache")])
+    for said in ([wrong, exact, wrong, exact, wrong], [rng.choice([exact, wrong, "x é"]) for _ in range(60)]):
+        plain = f"\nso {' '.join(said)}\n{wrong}\n".encode()
+        spans = sorted(licenses.fuzzy_spans(plain, notices))
+        starts, at = [], len("\nso ")
+        for x in said:
+            starts += [(at, at + len(x), x)] * (x != "x é")
+            at += len(x.encode()) + 1
+        starts.append((at, at + len(wrong), wrong))
+        assert [(a, b) for a, b, _, _ in spans] == [(a, b) for a, b, _ in starts]
+        assert all((score == 1) == (x == exact) for (_, _, x), (*_, score) in zip(starts, spans, strict=True))
+    wide = "licensed " + "漢" * 2 + " under the apache license version 2 0"  # three characters, nine bytes with the blank
+    notices = licenses.compile_notices([(exact, "apache"), ("all rights reserved", "proprietary")])
+    plain = f"\n{wide} {wide.replace('漢漢 ', '')}\n".encode()
+    assert len(licenses.fuzzy_spans(plain, notices)) == 1 + (edits(wide, exact) <= notices[0].edits)
+    assert "spans" in queries.op10(spark, "/root/testdata/sf0.001").columns
+
+
 # --- pipeline -----------------------------------------------------------------
 
 
