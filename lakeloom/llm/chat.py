@@ -1,11 +1,12 @@
 """Chat formatting into budgeted windows, with DataFrame functions only.
 
-Conversations are cut into blocks of turn numbers, so that a conversation of any
-length is many groups. In a block, prefix sums of turn tokens deal the turns to
-spans of ``stride`` tokens; a span never cuts a turn. A window is a span with
-the conversation's first system turn in front and the last turns before the
-span, up to ``history`` tokens, as context. Only turns that a window brings for
-the first time, said by the assistant, are under its loss mask.
+All turns are sorted into even parts, so that a conversation of any length is
+many groups. Prefix sums over the parts' token sums and then within each part
+give every turn its place in its conversation, which deals the turns to spans of
+``stride`` tokens; a span never cuts a turn. A window is a span with the
+conversation's first system turn in front and the last turns before the span, up
+to ``history`` tokens, as context. Only turns that a window brings for the first
+time, said by the assistant, are under its loss mask.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.session import materialize, shuffle_partitions
+
 # Control strings of public chat templates.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]"
 
-#: Turn numbers in a block.
-BLOCK_TURNS = 512
-#: Turns of a block that the next block may repeat.
-BLOCK_HISTORY = 16
+#: Windows in a block.
+BLOCK_WINDOWS = 64
 #: Tokens of a span, and of the turns repeated before it.
 STRIDE, HISTORY = 1024, 512
 
@@ -50,37 +51,68 @@ def turn_tokens(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4).cast("bigint")
 
 
-def _read(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    number = F.col(turn).cast("bigint")
-    return turns.select(
+def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conv_id, turn, role, text, tokens, start, total, leads): tokens of the conversation before each turn and in all.
+
+    ``leads`` marks the conversation's first system turn.
+    """
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text", "tie")]
+    rows = turns.select(
         F.col(conv).alias("conv_id"),
-        number.alias("turn"),
+        F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.floor(number / BLOCK_TURNS), F.lit(0)).cast("bigint").alias("block"),
+        # repeated rows may fall into several parts
+        F.monotonically_increasing_id().alias("tie"),
+    )
+    parts = shuffle_partitions(turns.sparkSession)
+    sorted_ = rows.repartitionByRange(parts, F.col("conv_id").asc_nulls_first(), *order)
+    rows = materialize(
+        sorted_.withColumn("part", F.spark_partition_id()).withColumn("tokens", turn_tokens(F.col("text"))), "turns"
+    )
+    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        rows.groupBy("conv_id", "part")
+        .agg(F.sum("tokens").alias("size"), F.min(F.when(F.col("role") == "system", F.col("part"))).alias("has_system"))
+        .withColumn("base", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+        .withColumn("total", F.sum("size").over(Window.partitionBy("conv_id")))
+        .withColumn("lead_part", F.min("has_system").over(Window.partitionBy("conv_id")))
+        .select(F.col("conv_id").alias("of"), F.col("part").alias("in_part"), "base", "total", "lead_part")
+    )
+    before = Window.partitionBy("conv_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.count(F.when(F.col("role") == "system", 1)).over(before), F.lit(0))
+    leads = (F.col("role") == "system") & (F.col("part") == F.col("lead_part")) & (earlier == 0)
+    return (
+        rows.join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")))
+        .withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+        .withColumn("leads", F.coalesce(leads, F.lit(False)))
+        .select("conv_id", "turn", "role", "text", "tokens", "start", "total", "leads")
     )
 
 
-def _with_context(rows: DataFrame) -> DataFrame:
-    """Adds to each block the end of the block before and the conversation's first system turn, not as its own."""
-    own = rows.withColumn("kind", F.lit("own"))
-    late = F.pmod(F.col("turn"), F.lit(BLOCK_TURNS)) >= BLOCK_TURNS - BLOCK_HISTORY
-    tail = rows.where(late).withColumn("block", F.col("block") + 1).withColumn("kind", F.lit("tail"))
-    first = F.min(F.when(F.col("role") == "system", F.struct("block", "turn", "text")))
-    system = (
-        rows.groupBy("conv_id")
-        .agg(F.max("block").alias("last"), first.alias("s"))
-        .where("s is not null and last > s.block")
+def _led(placed: DataFrame, stride: int) -> DataFrame:
+    """The conversation's first system turn, once for each later window."""
+    block = lambda span: F.floor(span / BLOCK_WINDOWS).cast("bigint")
+    since, last = F.floor(F.col("start") / stride), F.floor((F.col("total") - 1) / stride)
+    system = placed.where("leads").select(
+        F.col("conv_id").alias("of"),
+        since.alias("since"),
+        "start",
+        "turn",
+        "text",
+        "tokens",
+        F.explode(F.sequence(block(since), block(last))).alias("in_block"),
+    )
+    windows = placed.select("conv_id", F.floor(F.col("start") / stride).cast("bigint").alias("window")).distinct()
+    match = F.col("conv_id").eqNullSafe(F.col("of")) & (block(F.col("window")) == F.col("in_block"))
+    return (
+        windows.join(system, match)
+        .where("window > since")
         .select(
-            "conv_id",
-            F.col("s.turn").alias("turn"),
-            F.lit("system").alias("role"),
-            F.col("s.text").alias("text"),
-            F.explode(F.sequence(F.col("s.block") + 1, F.col("last"))).alias("block"),
-            F.lit("system").alias("kind"),
+            "conv_id", "turn", F.lit("system").alias("role"), "text", "start", "tokens", "window",
+            F.lit(True).alias("repeated"), F.lit(0).alias("rank"),
         )
-    )
-    return own.unionByName(tail).unionByName(system)
+    )
 
 
 def format_windows(
@@ -99,7 +131,8 @@ def format_windows(
     window and repeated in the windows that use it as history or as the system
     turn. A window has at most ``stride`` tokens of new turns besides its last
     one; a turn longer than that still stays whole. ``history`` may not be above
-    ``stride``.
+    ``stride``. ``window`` rises within a conversation, with gaps behind longer
+    turns; ``block`` counts each 64 of these numbers.
 
     A null text or role is empty; a null turn number comes before the others;
     rows that tie in conversation and turn are ordered by role and text, and
@@ -108,72 +141,38 @@ def format_windows(
     """
     if not 0 <= history <= stride:
         raise ValueError("history must be from 0 to stride")
-    rows = _with_context(_read(turns, conv, turn, role, text)).withColumn("tokens", turn_tokens(F.col("text")))
-    is_own, is_tail, is_system = (F.col("kind") == k for k in ("own", "tail", "system"))
-    block = Window.partitionBy("conv_id", "block")
-    order = block.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own_tokens = F.when(is_own, F.col("tokens")).otherwise(0)
-    tail_tokens = F.when(is_tail, F.col("tokens")).otherwise(0)
-    own_system = F.when(is_own & (F.col("role") == "system"), 1).otherwise(0)
-    placed = (
-        rows.withColumn("own_start", F.coalesce(F.sum(own_tokens).over(before), F.lit(0)))
-        .withColumn("tail_start", F.coalesce(F.sum(tail_tokens).over(before), F.lit(0)))
-        .withColumn("systems", F.sum(own_system).over(upto))
-        .withColumn("total", F.sum(own_tokens).over(whole))
-        .withColumn("tail_total", F.sum(tail_tokens).over(whole))
-        .withColumn("had_system", F.max(is_system).over(whole))
-        .withColumn("start", F.when(is_own, F.col("own_start")).otherwise(F.col("tail_start") - F.col("tail_total")))
-        .withColumn("span", F.when(is_own, F.floor(F.col("start") / stride)).cast("bigint"))
-        .withColumn("spans", F.collect_set("span").over(whole))
-        .where("total > 0")
-    )
-    in_span = Window.partitionBy("conv_id", "block", "span").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    end = F.max(F.col("start") + F.col("tokens")).over(in_span)
+    placed = _placed(turns, conv, turn, role, text)
+    spans = placed.withColumn("span", F.floor(F.col("start") / stride).cast("bigint"))
+    in_span = Window.partitionBy("conv_id", "span")
+    spans = spans.withColumn("span_end", F.max(F.col("start") + F.col("tokens")).over(in_span))
     target = lambda window, repeated, rank: F.struct(
         window.cast("bigint").alias("window"), F.lit(repeated).alias("repeated"), F.lit(rank).alias("rank")
     )
     none = F.array().cast("array<struct<window:bigint,repeated:boolean,rank:int>>")
-    leads = is_own & (F.col("role") == "system") & (F.col("systems") == 1) & ~F.col("had_system")
-    own_targets = F.concat(
+    # what fits the history lies in the span before, as it is no longer than a span
+    recent = ~F.col("leads") & (F.col("span_end") < F.col("total")) & (F.col("span_end") - F.col("start") <= history)
+    targets = F.concat(
         F.array(target(F.col("span"), False, 2)),
-        F.when(
-            ~F.col("leads") & (F.col("span_end") < F.col("total")) & (F.col("span_end") - F.col("start") <= history),
-            F.array(target(F.floor(F.col("span_end") / stride), True, 1)),
-        ).otherwise(none),
-        F.when(
-            F.col("leads"),
-            F.transform(F.filter("spans", lambda s: s > F.col("span")), lambda s: target(s, True, 0)),
-        ).otherwise(none),
+        F.when(recent, F.array(target(F.floor(F.col("span_end") / stride), True, 1))).otherwise(none),
     )
-    targets = (
-        F.when(is_own, own_targets)
-        .when(is_tail & (-F.col("start") <= history), F.array(target(F.lit(0), True, 1)))
-        .when(is_system, F.transform("spans", lambda s: target(s, True, 0)))
-        .otherwise(none)
+    own = spans.select("conv_id", "turn", "role", "text", "start", "tokens", F.explode(targets).alias("t")).select(
+        "conv_id", "turn", "role", "text", "start", "tokens", "t.*"
     )
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
-    dealt = (
-        placed.withColumn("leads", leads)
-        .withColumn("span_end", end)
-        .select(
-            "conv_id",
-            "block",
-            "turn",
-            "role",
-            "start",
-            "tokens",
-            head.alias("head"),
-            escape(F.col("text")).alias("body"),
-            F.explode(targets).alias("t"),
-        )
-        .select("*", "t.*")
-        .withColumn("size", F.length("head") + F.length("body") + len(CLOSE))
+    dealt = own.unionByName(_led(placed, stride)).select(
+        "conv_id",
+        F.floor(F.col("window") / BLOCK_WINDOWS).cast("bigint").alias("block"),
+        "window",
+        "turn",
+        "role",
+        "start",
+        "tokens",
+        "repeated",
+        "rank",
+        head.alias("head"),
+        escape(F.col("text")).alias("body"),
     )
+    dealt = dealt.withColumn("size", F.length("head") + F.length("body") + len(CLOSE))
     ahead = (
         Window.partitionBy("conv_id", "block", "window")
         .orderBy("rank", "start", F.col("turn").asc_nulls_first(), "role", "body")

@@ -444,6 +444,22 @@ def test_system_turn_leads_every_window(spark):
     assert all(w.turns[0].repeated and any(t.repeated and t.role != "system" for t in w.turns) for w in later)
 
 
+@pytest.mark.parametrize("step", [1, 1000])
+def test_history_fills_its_budget_whatever_the_turn_numbers(spark, step):
+    rows = [(None if c else 1, t * step, "user", f"w{t}") for c in (0, 1) for t in range(1500)]
+    rows += [(2, None if t % 2 else 0, "user", f"w{t:04}") for t in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    by = {}
+    for w in chat.format_windows(df, stride=1024, history=512).collect():
+        by.setdefault(w.conv_id, []).append(w)
+    assert set(by) == {1, None, 2}
+    for windows in by.values():
+        windows.sort(key=lambda w: (w.block, w.window))
+        # five tokens a turn: spans run on, and 102 turns come before each but the first
+        assert [sum(t.repeated for t in w.turns) for w in windows] == [0] + [102] * (len(windows) - 1)
+        assert len(windows) == 8 and sum(not t.repeated for w in windows for t in w.turns) == 1500
+
+
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.format_windows(df).collect() == []
