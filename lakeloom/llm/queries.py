@@ -15,6 +15,7 @@ from lakeloom.llm import (
     decontaminate,
     exact_dedup,
     licenses,
+    line_dedup,
     ngram_join,
     quality_lm,
     token_counts,
@@ -228,3 +229,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "spans",
     )
+
+
+@query(
+    "op11_line_dedup",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     e AS (SELECT r, k, ls[k] AS line FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)),
+     l AS (
+       SELECT r, k, line, trim({LOWERED.replace("coalesce(text, '')", "line")}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+       FROM e),
+     common AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+     kept AS (
+       SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY k) AS body FROM l
+       WHERE key NOT IN (FROM common) GROUP BY r)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_dropped,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    found = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
