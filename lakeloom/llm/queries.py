@@ -18,6 +18,7 @@ from lakeloom.llm import (
     line_dedup,
     ngram_join,
     quality_lm,
+    source_audit,
     token_counts,
     toxicity,
     url_filter,
@@ -252,3 +253,39 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents or more share."""
     found = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_source_divergence",
+    rf"""
+WITH d AS (
+       SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWERED} AS x FROM documents),
+     t AS (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+     v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+     c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     s AS (SELECT lang, source, coalesce(sum(c.n), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+     p AS (
+       SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+              1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v) AS p,
+              1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v) AS q
+       FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+     pairs AS (
+       SELECT g.lang, g.source, 'pair' AS part, h.source AS item,
+              coalesce(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)), 0) AS value
+       FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN p a ON a.lang = g.lang AND a.source = g.source
+            LEFT JOIN p b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+       GROUP BY g.lang, g.source, h.source),
+     terms AS (
+       SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+     ranked AS (
+       SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+       FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs of sources of a language, and each source's ten most typical terms."""
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
