@@ -18,6 +18,7 @@ from lakeloom.llm import (
     line_dedup,
     ngram_join,
     quality_lm,
+    ranked_search,
     source_audit,
     token_counts,
     toxicity,
@@ -289,3 +290,28 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all pairs of sources of a language, and each source's ten most typical terms."""
     return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_ranked_search",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+     b AS (SELECT row_number() OVER () AS i, item_id, {WORDS} AS w FROM benchmark),
+     q AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM b) GROUP BY i, term),
+     t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+     total AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nw FROM d WHERE len(w) > 0),
+     m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * nd) // nw AS m FROM d, total WHERE len(w) > 0),
+     weight AS (
+       SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, total GROUP BY term, nd),
+     scores AS (
+       SELECT i, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+       FROM q JOIN weight USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY i, r),
+     ranked AS (
+       SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+       FROM scores JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN b USING (i) WHERE rank <= 20
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
