@@ -99,9 +99,9 @@ class Sparse:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.at))
 
-    def maxima(self, columns: int) -> Sparse:
-        """One row for each ``FANOUT`` rows, with their coordinate maxima."""
-        return Sparse.of(self.rows() // FANOUT, self.column, self.value, -(-len(self) // FANOUT), columns)
+    def maxima(self, columns: int, fanout: int) -> Sparse:
+        """One row for each ``fanout`` rows, with their coordinate maxima."""
+        return Sparse.of(self.rows() // fanout, self.column, self.value, -(-len(self) // fanout), columns)
 
     def by_column(self, columns: int) -> Sparse:
         """The same cells by column: rows of (row, value)."""
@@ -117,10 +117,10 @@ class Sparse:
 class ItemTree:
     """Items by term, and above them nodes of coordinate maxima; ``levels[0]`` are the items themselves."""
 
-    def __init__(self, items: Sparse, columns: int):
-        self.levels, self.sizes = [items.by_column(columns)], [len(items)]
-        while self.sizes[-1] > FANOUT:
-            items = items.maxima(columns)
+    def __init__(self, items: Sparse, columns: int, fanout: int = FANOUT):
+        self.fanout, self.levels, self.sizes = fanout, [items.by_column(columns)], [len(items)]
+        while self.sizes[-1] > fanout:
+            items = items.maxima(columns, fanout)
             self.levels.append(items.by_column(columns))
             self.sizes.append(len(items))
 
@@ -128,9 +128,9 @@ class ItemTree:
         """The least of ``least`` (by item) below each node, level by level."""
         out = [least]
         for size in self.sizes[1:]:
-            padded = np.full(size * FANOUT, np.iinfo(np.int64).max)
+            padded = np.full(size * self.fanout, np.iinfo(np.int64).max)
             padded[: len(out[-1])] = out[-1]
-            out.append(padded.reshape(size, FANOUT).min(axis=1))
+            out.append(padded.reshape(size, self.fanout).min(axis=1))
         return out
 
     def products(self, docs: Sparse, rows: np.ndarray, level: int) -> np.ndarray:
@@ -155,7 +155,7 @@ class ItemTree:
             if not still.any():
                 return None
             if level:
-                still = np.repeat(still, FANOUT, axis=1)[:, : self.sizes[level - 1]]
+                still = np.repeat(still, self.fanout, axis=1)[:, : self.sizes[level - 1]]
         return np.where(still, bound, 0)
 
 
@@ -194,7 +194,7 @@ def by_strongest(rows: Sparse, columns: int) -> np.ndarray:
 
 
 def search_tree(tree: ItemTree, docs: Sparse, no_id: np.ndarray, ids: np.ndarray, best: Best, columns: int) -> int:
-    """Brings all of ``docs`` into ``best``; returns the number of documents scored.
+    """Brings all of ``docs`` into ``best``; returns the number of pairs with an item that no bound ruled out.
 
     Of the children of a node those that promise most go first, so that the
     weakest scores rise early.
@@ -204,16 +204,16 @@ def search_tree(tree: ItemTree, docs: Sparse, no_id: np.ndarray, ids: np.ndarray
     docs = Sparse(np.concatenate([[0], np.cumsum(np.diff(docs.at)[by])]), docs.column[cell], docs.value[cell])
     no_id, ids = no_id[by], ids[by]
     levels = [docs]
-    while len(levels[-1]) > FANOUT:
-        levels.append(levels[-1].maxima(columns))
-    scored = 0
+    fanout, scored = tree.fanout, 0
+    while len(levels[-1]) > fanout:
+        levels.append(levels[-1].maxima(columns, fanout))
 
-    def visit(depth: int, rows: np.ndarray) -> None:
+    def visit(depth: int, rows: np.ndarray, still: np.ndarray) -> None:
         nonlocal scored
         if depth == 0:
-            scored += len(rows)
+            scored += len(rows) * int(still.sum())
             score = tree.products(docs, rows, 0)
-            at, item = np.nonzero(score >= best.least)
+            at, item = np.nonzero((score >= best.least) & still)
             if len(item):
                 best.add(item, score[at, item], no_id[rows[at]], ids[rows[at]])
             return
@@ -221,11 +221,12 @@ def search_tree(tree: ItemTree, docs: Sparse, no_id: np.ndarray, ids: np.ndarray
         if bound is None:
             return
         for k in np.argsort(-bound.max(axis=1), kind="stable"):
-            if (bound[k] >= best.least).any():
-                first = int(rows[k]) * FANOUT
-                visit(depth - 1, np.arange(first, min(first + FANOUT, len(levels[depth - 1]))))
+            open_items = still & (bound[k] >= best.least)
+            if open_items.any():
+                first = int(rows[k]) * fanout
+                visit(depth - 1, np.arange(first, min(first + fanout, len(levels[depth - 1]))), open_items)
 
-    visit(len(levels) - 1, np.arange(len(levels[-1])))
+    visit(len(levels) - 1, np.arange(len(levels[-1])), np.ones(len(best.least), bool))
     return scored
 
 
@@ -238,12 +239,14 @@ def impacts(uses: np.ndarray, words: np.ndarray, n_docs: int, n_words: int) -> n
     return 1_000_000_000 * uses // (1000 * uses + 12 * m)
 
 
-def _search(block: Broadcast, top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(
+    block: Broadcast, top: int, fanout: int, most_docs: int, most_cells: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(item, doc_id, score): the best documents of each item in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, items, columns, n_docs, n_words = block.value
-        tree, best = ItemTree(items, columns), Best(len(items), top)
+        tree, best = ItemTree(items, columns, fanout), Best(len(items), top)
         for batch in batches:
             ids, words = batch.column(0).cast(pa.int64()), batch.column(1).to_numpy()
             no_id, ids = np.array(ids.is_null()).astype(np.int64), ids.fill_null(0).to_numpy()
@@ -254,8 +257,8 @@ def _search(block: Broadcast, top: int) -> Callable[[Iterator[pa.RecordBatch]],
             value = impacts(uses, np.repeat(words, np.diff(at)), n_docs, n_words) if len(uses) else uses
             row = 0
             while row < len(ids):
-                end = int(np.searchsorted(at, at[row] + TREE_CELLS, side="right")) - 1
-                end = min(len(ids), max(row + 1, min(end, row + TREE_DOCS)))
+                end = int(np.searchsorted(at, at[row] + most_cells, side="right")) - 1
+                end = min(len(ids), max(row + 1, min(end, row + most_docs)))
                 cells = slice(at[row], at[end])
                 docs = Sparse(at[row : end + 1] - at[row], term[cells].astype(np.int64), value[cells])
                 search_tree(tree, docs, no_id[row:end], ids[row:end], best, columns)
@@ -335,9 +338,8 @@ def rank_documents(
         n_docs, n_words = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         found = vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()
         block = spark.sparkContext.broadcast(_block(rows, known, found, n_docs, n_words))
-        parts.append(
-            vectors.where(F.size("terms") > 0).mapInArrow(_search(block, top), "item bigint, doc_id bigint, score bigint")
-        )
+        search = _search(block, top, FANOUT, TREE_DOCS, TREE_CELLS)
+        parts.append(vectors.where(F.size("terms") > 0).mapInArrow(search, "item bigint, doc_id bigint, score bigint"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -143,3 +143,66 @@ def kneser_ney(trusted, order, start=0xFF):
         return share + left[n, context] / total[n, context] * below
 
     return chance
+
+
+def line_dedup(texts, threshold, min_chars):
+    """[(n_lines, n_dropped, kept)]"""
+    from collections import Counter
+
+    lines = [(t or "").split("\n") for t in texts]
+    key = lambda line: line.translate(UPPER).strip(" \t\n\x0b\x0c\r")
+    seen = Counter(k for ls in lines for k in {key(x) for x in ls} if len(k) >= min_chars)
+    kept = [[x for x in ls if seen[key(x)] < threshold] for ls in lines]
+    return [(len(a), len(a) - len(b), "\n".join(b)) for a, b in zip(lines, kept, strict=True)]
+
+
+def ranking(docs, items, top):
+    """[(item_id, rank, doc_id, score)] of [(id, text)] each, by scoring everything."""
+    from collections import Counter
+    from math import floor, log
+
+    docs = [(d, words(t)) for d, t in docs]
+    docs = [(d, Counter(w), len(w)) for d, w in docs if w]
+    df = Counter(t for _, w, _ in docs for t in w)
+    n_docs, n_words = len(docs), sum(n for _, _, n in docs)
+    weigh = lambda t: floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1)))
+    out = []
+    for item, text in items:
+        found = []
+        for d, w, n in docs:
+            m = 100 - 25 + 25 * n * n_docs // n_words
+            score = sum(weigh(t) * (10**9 * w[t] // (1000 * w[t] + 12 * m)) for t in words(text))
+            if score > 0:
+                found.append((-score, d is None, d))
+        found.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(item, k, d, -score) for k, (score, _, d) in enumerate(found[:top], 1)]
+    return out
+
+
+def divergence(rows, min_docs, top):
+    """{(lang, source, part, item, value, rank)} of [(text, lang, source)]."""
+    from collections import Counter, defaultdict
+
+    term = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    df, uses, groups = Counter(), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        found = Counter(term.findall(lowered(text)))
+        groups[lang].add(source)
+        df.update((lang, t) for t in found)
+        uses[lang, source].update(found)
+    out = set()
+    for lang, sources in groups.items():
+        kept = [t for (x, t), n in df.items() if x == lang and n >= min_docs]
+        whole = Counter({t: sum(uses[lang, s][t] for s in sources) for t in kept})
+        share = lambda c, kept=kept: {
+            t: 1 + 10**9 * (c[t] + 2) // (sum(c[x] for x in kept) + 2 * len(kept)) for t in kept
+        }
+        p, q = {s: share(uses[lang, s]) for s in sources}, share(whole)
+        far = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(-sum(far(p[s][t], p[o][t]) for t in kept), o.encode()) for o in sources if o != s]
+            more = [(-far(p[s][t], q[t]), t) for t in kept if uses[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(more)[:top])):
+                out |= {(lang, s, part, x.decode(), -v, k) for k, (v, x) in enumerate(found, 1)}
+    return out
