@@ -10,8 +10,6 @@ pair has differ by one amount, which is multiplied by their number.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,69 +18,152 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.text import lower_ascii
+from lakeloom.llm.tables import HashTable
+from lakeloom.llm.text import Texts, chunks
 from lakeloom.session import materialize
 
 #: Documents of a language that a kept term has at least, and terms listed by group.
 MIN_DOCS, TOP = 10, 10
-#: Terms of different groups that a task adds up before it hands them on.
-TABLE_TERMS = 200_000
+#: Sums by source and term that a task holds before it hands them on.
+TABLE_CELLS = 1_000_000
 #: Counts above 0 in a part of the pair evaluation.
 PART_ROWS = 100_000
 SCALE = 1_000_000_000
 
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Terms of letters: [^\x00-\x40\x5B-\x60\x7B-\x7F]+ after lower-casing A-Z.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[97:123] = LETTERS[128:] = True
+_CELLS = "lang string, term string, cells array<struct<source: string, docs: bigint, uses: bigint>>"
 
 
 def collapsed(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, text, copies), one row per different text of a language; ``copies`` has (source, n) each."""
+    """(lang, text, copies), one row per different text of a language; ``copies`` has (source, n) each.
+
+    Texts are grouped by two 64-bit hashes, so that only one copy a task is
+    shuffled, once; the copies are counted without their texts.
+    """
     read = {"lang": lang_col, "source": source_col, "text": text_col}
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in read.items()])
-    # copies are counted before they are shuffled, so a group has a row for each source
-    counted = rows.groupBy("lang", "source", "text").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    key = ["lang", "h1", "h2"]
+    counted = rows.select("lang", *hashes, "source").groupBy(*key, "source").agg(F.count(F.lit(1)).alias("n"))
+    copies = counted.groupBy(*key).agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    texts = rows.select("lang", *hashes, "text").groupBy(*key).agg(F.any_value("text").alias("text"))
+    return texts.join(copies, key).select("lang", "text", "copies")
+
+
+class WeightedTerms:
+    """Sums of documents and occurrences by group and term, in arrays of a bounded size."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.groups: dict[tuple[str, str], int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms: list[bytes] = []
+        self.known = HashTable(np.empty(0, np.uint64), np.empty(0, np.int32))
+        self.parts, self.size = [], 0
+
+    def group(self, lang: str, source: str) -> int:
+        return self.groups.setdefault((lang, source), len(self.groups))
+
+    def _numbers(self, chunk: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of terms, from 1; new ones are added with their bytes."""
+        hashes = chunk.span_hashes(starts, ends)
+        new, first = np.unique(hashes[self.known.get(hashes) == 0], return_index=True)
+        at = np.flatnonzero(self.known.get(hashes) == 0)[first]
+        self.known.add(new, np.arange(len(self.terms) + 1, len(self.terms) + 1 + len(new)))
+        self.terms += [chunk.data[starts[k] : ends[k]].tobytes() for k in at]
+        return self.known.get(hashes).astype(np.int64)
+
+    def add(self, chunk: Texts, at: np.ndarray, group: np.ndarray, n: np.ndarray) -> None:
+        """The terms of each text, for its copies: rows ``at[text]`` to ``at[text + 1]`` of ``group`` and ``n``."""
+        starts, ends, counts = chunk.words(LETTERS)
+        term = self._numbers(chunk, starts, ends)
+        width = len(self.terms) + 1
+        cell, uses = np.unique(np.repeat(np.arange(len(chunk)), counts) * width + term, return_counts=True)
+        row, term = np.divmod(cell, width)
+        times = np.diff(at)[row]
+        copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(at[:-1][row], times)
+        key = group[copy] << 32 | np.repeat(term, times)
+        self.parts.append((key, n[copy], n[copy] * np.repeat(uses, times)))
+        self.size += len(key)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Adds up what has the same key; keys ascend."""
+        key, docs, uses = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        add = lambda x: np.add.reduceat(x[order], first) if len(first) else x
+        self.parts = [(key[first], add(docs), add(uses))]
+        self.size = len(first)
+        return self.parts[0]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All sums by language and term, and a clean table."""
+        if self.parts:
+            key, docs, uses = self.sums()
+            langs = list(dict.fromkeys(lang for lang, _ in self.groups))
+            lang_of = np.array([langs.index(lang) for lang, _ in self.groups], np.int64)
+            group, term = key >> 32, (key & 0xFFFFFFFF) - 1
+            order = np.lexsort((term, lang_of[group]))
+            group, term, docs, uses = group[order], term[order], docs[order], uses[order]
+            lang = lang_of[group]
+            first = np.flatnonzero(np.concatenate([[True], (lang[1:] != lang[:-1]) | (term[1:] != term[:-1])])[: len(term)])
+            sources = pa.array([source for _, source in self.groups], pa.string())
+            cells = pa.StructArray.from_arrays(
+                [sources.take(pa.array(group)), pa.array(docs), pa.array(uses)], ["source", "docs", "uses"]
+            )
+            whole = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(langs, pa.string()).take(pa.array(lang[first])),
+                    pa.array(self.terms, pa.binary()).cast(pa.string()).take(pa.array(term[first])),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), cells),
+                ],
+                ["lang", "term", "cells"],
+            )
+            for at in range(0, whole.num_rows, 10_000):
+                yield whole.slice(at, 10_000)
+        self.clear()
 
 
 def _weighted(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums of documents and occurrences by (lang, source, term), handed on whenever ``limit`` are held."""
-
-    def flush(docs: Counter, uses: Counter) -> pa.RecordBatch:
-        lang, source, term = zip(*docs, strict=True) if docs else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(lang, pa.string()),
-                pa.array(source, pa.string()),
-                pa.array([t.decode("utf-8", "surrogatepass") for t in term], pa.string()),
-                pa.array(docs.values(), pa.int64()),
-                pa.array([uses[k] for k in docs], pa.int64()),
-            ],
-            ["lang", "source", "term", "docs", "uses"],
-        )
+    """(lang, term, cells): sums of a task, handed on whenever more than ``limit`` are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, uses = Counter(), Counter()
+        table = WeightedTerms(limit)
         for batch in batches:
-            columns = (batch.column(k) for k in range(3))
-            for lang, text, copies in zip(*columns, strict=True):
-                lang, copies = lang.as_py(), [(c["source"], c["n"]) for c in copies.as_py()]
-                for term, uses_here in Counter(TERM.findall(lower_ascii(text.as_py()))).items():
-                    for source, n in copies:
-                        key = lang, source, term
-                        docs[key] += n
-                        uses[key] += n * uses_here
-                    if len(docs) >= limit:
-                        yield flush(docs, uses)
-                        docs, uses = Counter(), Counter()
-        yield flush(docs, uses)
+            langs, copies = batch.column(0).to_pylist(), batch.column(2)
+            at = copies.offsets.to_numpy().astype(np.int64)
+            at = at - at[0]
+            source, n = copies.flatten().flatten()
+            lang = np.repeat(np.arange(len(langs)), np.diff(at)).tolist()
+            group = [table.group(langs[row], name) for row, name in zip(lang, source.to_pylist(), strict=True)]
+            group, n = np.array(group, np.int64), n.to_numpy()
+            for chunk in chunks(batch.column(1)):
+                own = at[chunk.first_row : chunk.first_row + len(chunk) + 1]
+                table.add(chunk.lowered(), own, group, n)
+                if table.size > limit:
+                    table.sums()
+                if table.size > limit // 2:
+                    yield from table.rows()
+        yield from table.rows()
 
     return run
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, uses) over all texts of ``collapsed``."""
-    schema = "lang string, source string, term string, docs bigint, uses bigint"
-    found = texts.mapInArrow(_weighted(TABLE_TERMS), schema)
-    return found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+def kept_terms(texts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, lang_uses, cells) of the terms of at least ``min_docs`` documents; ``cells`` has (source, uses) each."""
+    found = texts.mapInArrow(_weighted(TABLE_CELLS), _CELLS)
+    # one shuffle by language and term serves both sums
+    cells = found.repartition("lang", "term").select("lang", "term", F.inline("cells"))
+    cells = cells.groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+    terms = cells.groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("uses").alias("lang_uses"), F.collect_list(F.struct("source", "uses")).alias("cells")
+    )
+    return terms.where(F.col("docs") >= min_docs).drop("docs")
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -167,15 +248,11 @@ def source_divergence(
     value 0. Rows that repeat a text count each. An empty table gives an empty
     result. Other columns are not read. All arithmetic is on integers.
     """
-    counts = materialize(term_counts(collapsed(docs, text_col, lang_col, source_col)), "term_counts")
-    kept = counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("uses").alias("lang_uses"), F.count(F.lit(1)).alias("sources")
-    )
-    kept = materialize(kept.where(F.col("docs") >= min_docs), "kept_terms")
-    uses = materialize(counts.join(kept.drop("docs", "sources"), ["lang", "term"]).drop("docs"), "kept_counts")
+    kept = materialize(kept_terms(collapsed(docs, text_col, lang_col, source_col), min_docs), "kept_terms")
+    uses = kept.select("lang", "term", "lang_uses", F.inline("cells"))
     # a language or group has one row from here on
     langs = kept.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("kept"), F.sum("lang_uses").alias("lang_total"), F.sum("sources").alias("cells")
+        F.count(F.lit(1)).alias("kept"), F.sum("lang_uses").alias("lang_total"), F.sum(F.size("cells")).alias("cells")
     )
     groups = docs.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))]

@@ -143,7 +143,7 @@ def test_divergence_is_that_of_brute_force(spark, min_docs):
 def test_small_tables_and_parts_give_the_same(spark, monkeypatch):
     rows = audited(spark, sourced(4, 200))
     whole = sorted(source_audit.source_divergence(rows).collect())
-    monkeypatch.setattr(source_audit, "TABLE_TERMS", 7)
+    monkeypatch.setattr(source_audit, "TABLE_CELLS", 7)
     monkeypatch.setattr(source_audit, "PART_ROWS", 11)
     assert sorted(source_audit.source_divergence(rows).collect()) == whole
 
