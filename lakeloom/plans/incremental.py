@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from lakeloom.functions.scalars import fixed_units
 from lakeloom.operators import incremental as I
 from lakeloom.operators import lineage as L
+from lakeloom.operators import manifest as M
 from lakeloom.operators import ordered as W
 from lakeloom.operators.partitions import key_suffix
 from lakeloom.plans.registry import query
 from lakeloom.plans.relational import SQL_STEPS, wanted_steps
+from lakeloom.session import scratch_path
+from lakeloom.sources.commits import remove_path
+from lakeloom.sources.sinks import sink_partitioned
 
 SQL_DEFINITION = (
     "sha256('definition:1.0.0' || chr(10) || 'def ' || c_name || '(): pass' || chr(10) || "
@@ -232,6 +236,29 @@ def _(t):
     )
 
 
+@query(
+    "incremental_by_files",
+    "I7",
+    """SELECT month, count(*) AS order_count, sum(round(o_totalprice * 100)::BIGINT)::BIGINT
+              AS revenue_cents, count(DISTINCT o_custkey) AS customers
+       FROM v_src_new GROUP BY month""",
+)
+def _(t):
+    """A first refresh of files by month, then one after a month has other rows and another is gone."""
+    root = scratch_path(t.spark, "by-files")
+    folder, store = f"{root}/orders", f"{root}/store"
+    sink_partitioned(t.v_src_old, folder, ["month"])
+    schema = t.spark.read.parquet(folder).schema
+
+    def refresh():
+        return M.refresh_files(t.spark, folder, store, ["month"], month_totals, schema=schema)
+
+    refresh()
+    sink_partitioned(t.v_src_new.where("month = '1996-03'"), folder, ["month"])
+    remove_path(t.spark, f"{folder}/month=1995-01")
+    return refresh()
+
+
 SQL_KIND = """CASE base_id WHEN 'error' THEN 'task' WHEN 'signup' THEN 'sensor' ELSE 'asset' END"""
 
 
