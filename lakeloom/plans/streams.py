@@ -172,10 +172,11 @@ def _(t):
         [events, events],
         lambda stream, root: S.stream_dedupe(
             t.spark,
-            stream.select("event_id", "user_id", "event_type", "ts"),
+            stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")),
             ["event_id"],
             "ts",
-            root=root,
+            "1 day",
+            root,
         ),
     )
     return out.drop("ts")

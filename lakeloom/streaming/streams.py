@@ -10,17 +10,29 @@ the same root they take up what arrived in between.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from lakeloom.operators.incremental import partition_digest
-from lakeloom.operators.ordered import asym_ewma
+from lakeloom.operators.ordered import ALPHA_FALL, ALPHA_RISE, FLOOR_FACTOR
 from lakeloom.operators.partitions import restrict
 from lakeloom.session import scratch_path
-from lakeloom.sources.sinks import path_exists, sink_partitioned
+from lakeloom.sources.sinks import sink_partitioned
+
+#: State in RocksDB; a batch writes what it changed, not all of it.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: A timeout by the clock would otherwise ask for one empty batch after the other.
+NO_EMPTY_BATCHES = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 def sensor_file_stream(
@@ -44,8 +56,9 @@ def run_available(
     path: str | None = None,
     each: Callable[[DataFrame, int], None] | None = None,
     mode: str = "append",
+    fmt: str = "parquet",
 ) -> None:
-    """Process everything available now, into a parquet table or batch by batch."""
+    """Process everything available now, into a table (``fmt`` noop: only into state) or batch by batch."""
     writer = (
         stream.writeStream.outputMode(mode)
         .trigger(availableNow=True)
@@ -54,7 +67,7 @@ def run_available(
     if each is not None:
         query = writer.foreachBatch(each).start()
     else:
-        query = writer.format("parquet").option("path", path).start()
+        query = (writer.option("path", path) if path else writer).format(fmt).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -219,8 +232,10 @@ def stream_dedupe(
 ) -> DataFrame:
     """Each key once, however often it is replayed.
 
-    With ``delay`` the state forgets keys older than the watermark; without it
-    every key is remembered.
+    With ``delay`` a key is remembered until the watermark, the newest ``ts``
+    less ``delay``, has passed it, and rows older than the watermark are dropped:
+    the state holds the keys of the last ``delay`` only, on RocksDB. Without
+    ``delay`` every key is remembered for ever.
     """
     root = root or scratch_path(spark, "dedupe")
     unique = (
@@ -228,10 +243,38 @@ def stream_dedupe(
         if delay
         else stream.dropDuplicates(list(key))
     )
-    run_available(unique, f"{root}/checkpoint", path=f"{root}/table")
+    with configured(spark, STATE_STORE):
+        run_available(unique, f"{root}/checkpoint", path=f"{root}/table")
     return spark.read.schema(unique.schema).parquet(f"{root}/table")
 
 
+def ewma_fold(
+    key_name: str, key_type: str, idle_ms: int | None
+) -> tuple[Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]], str, str]:
+    """The stateful function of :func:`stream_ewma`, its output and its state."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(f["_o"].to_numpy(), f["_x"].to_numpy()) for f in frames]
+        at, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seen = seen[np.lexsort((seen, at))]
+        estimate, samples = state.get if state.exists else (float(seen[0]), 0)
+        for x in (seen if samples else seen[1:]).tolist():
+            if x > estimate:
+                estimate = ALPHA_RISE * x + (1 - ALPHA_RISE) * estimate
+            else:
+                estimate = max(ALPHA_FALL * x + (1 - ALPHA_FALL) * estimate, estimate * FLOOR_FACTOR)
+        samples += len(seen)
+        state.update((estimate, samples))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key_name: [key[0]], "estimate": [estimate], "samples": [samples]})
+
+    return fold, f"`{key_name}` {key_type}, estimate double, samples bigint", "estimate double, samples bigint"
+
+
 def stream_ewma(
     spark: SparkSession,
     stream: DataFrame,
@@ -239,27 +282,50 @@ def stream_ewma(
     order: str,
     value: str,
     root: str | None = None,
+    idle_ms: int | None = None,
 ) -> DataFrame:
-    """Live estimate per key: (key, estimate, samples).
-
-    Each batch continues the estimates of the batch before it, which are stored
-    under the batch id. Rows are ordered within a batch; batches are taken to
-    arrive in order.
+    """Live estimate per key: (key, estimate, samples), read from the state store.
+
+    The estimates are the state of a stateful operator on RocksDB: a batch reads
+    and writes the keys that it has rows of and no others, and a run called again
+    with the same ``root`` goes on from the checkpoint. Rows are ordered within a
+    batch; batches are taken to arrive in order. Null values are passed over, a
+    null key is a key. A key that had no rows for ``idle_ms`` of processing time
+    is forgotten with the next batch and starts anew if it comes back; without
+    ``idle_ms`` all keys are kept.
+
+    The rows of one key in one batch meet in one task, with 16 bytes each; a
+    source's ``maxFilesPerTrigger`` bounds a batch.
     """
     root = root or scratch_path(spark, "ewma")
-    schema = f"{key} {dict(stream.dtypes)[key]}, estimate double, samples bigint"
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        path = f"{root}/state/batch_{batch_id - 1}"
-        if batch_id > 0 and not path_exists(session, path):
-            raise ValueError(f"the estimates of the batch before are gone: {path}")
-        before = session.read.schema(schema).parquet(path) if batch_id > 0 else None
-        state = asym_ewma(batch, key, order, value, before)
-        state.write.mode("overwrite").parquet(f"{root}/state/batch_{batch_id}")
-
-    run_available(stream, f"{root}/checkpoint", each=fold)
-    return spark.read.schema(schema).parquet(latest_batch(spark, f"{root}/state"))
+    fold, schema, state = ewma_fold(key, dict(stream.dtypes)[key], idle_ms)
+    seen = stream.select(
+        key,
+        F.col(order).cast("bigint").alias("_o"),
+        F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
+    ).where(F.col("_x").isNotNull())
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    live = seen.groupBy(key).applyInPandasWithState(fold, schema, state, "update", timeout)
+    with configured(spark, STATE_STORE | NO_EMPTY_BATCHES):
+        run_available(live, f"{root}/checkpoint", fmt="noop", mode="update")
+    held = spark.read.format("statestore").load(f"{root}/checkpoint")
+    return held.select(F.col(f"key.`{key}`"), "value.groupState.estimate", "value.groupState.samples")
+
+
+@contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Queries started inside have ``settings``; those of the session come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def scheduled_refresh(
