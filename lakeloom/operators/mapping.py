@@ -1,25 +1,31 @@
 """User functions over rows and partitions, run as Arrow batches.
 
 A function of whole keys gets each key in exactly one call, however many rows
-it has (``map_by_key``, ``map_aligned``). A function of parts gets a declared
+it has (``map_by_key``, ``map_aligned``); ``map_aligned_batches`` hands a side of
+any length over batch by batch. A function of parts gets a declared
 number of slices of every key, and a second aggregation merges what it returns
 (``collect_udaf``), so one hot key never lands in one task whole.
 """
 
 from __future__ import annotations
 
+import math
 import queue
 import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import chain, groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lakeloom.operators.joins import unique_per_key
-from lakeloom.operators.ordered import mark_hot
 from lakeloom.operators.sets import union_branches
 from lakeloom.session import shuffle_partitions
 
@@ -28,31 +34,6 @@ OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
 SLICES = 64
 
 
-def with_slices(
-    df: DataFrame,
-    keys: Sequence[str],
-    slice_rows: int,
-    slice_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Rows with a ``_slice`` number: 0 for keys of at most ``slice_rows`` rows.
-
-    Only keys above that size are counted out and joined back. A row picks its
-    slice by a hash of ``slice_by`` (all columns by default), so a retried task
-    slices as before. Name a unique column where a key may hold many copies of
-    one row.
-    """
-    slices = F.ceil(F.col("_hot_rows") / slice_rows)
-    place = F.pmod(F.xxhash64(*(slice_by or df.columns)), slices)
-    marked = mark_hot(df, keys, slice_rows)
-    return marked.withColumn("_slice", F.coalesce(place, F.lit(0)).cast("bigint")).drop("_hot_rows")
-
-
-def _sliced(
-    df: DataFrame, keys: Sequence[str], slice_rows: int | None, slice_by: Sequence[str] | None
-) -> DataFrame:
-    return with_slices(df, keys, slice_rows, slice_by) if slice_rows else df.withColumn("_slice", F.lit(0).cast("bigint"))
-
-
 def _by_group(
     df: DataFrame,
     group: Sequence[str],
@@ -110,23 +91,113 @@ def map_by_key(
     keys: Sequence[str],
     fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
-    slice_rows: int | None = None,
-    slice_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """``fn(key, rows)`` for every partition key, exactly one call per key at every size.
 
-    The largest key has to fit one task's memory. Only a caller that gives
-    ``slice_rows`` asks for several calls for a key of more rows, which suits
-    functions of single rows and partial results that the caller merges.
+    The largest key has to fit one task's memory; a function whose partial
+    results can be merged belongs in :func:`collect_udaf`.
     """
     columns = df.columns
-    width = len(keys)
+    return _by_group(df, keys, lambda group, pdf: fn(group, pdf[columns]), schema)
+
+
+def _plain_key(values: Sequence[object]) -> tuple:
+    """A key that equals itself: one object stands for all not-a-numbers."""
+    return tuple(math.nan if isinstance(v, float) and math.isnan(v) else v for v in values)
+
+
+def _frame(rows: pa.StructArray) -> pd.DataFrame:
+    # integers beside nulls stay integers
+    return pa.RecordBatch.from_struct_array(rows).to_pandas(integer_object_nulls=True)
+
 
-    def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(group[:width], pdf[columns])
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, bool, pd.DataFrame]]:
+    """(key, whether left, rows) for each run of one key and one side; the first ``width`` columns are the key."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_left = batch.column(width).to_numpy(zero_copy_only=False)
+        # numbers of values, so that runs are found without a Python loop over rows
+        codes = [pc.fill_null(c.dictionary_encode("encode").indices, -1).to_numpy() for c in batch.columns[:width]]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (*codes, is_left)], axis=0)]))
+        keys = zip(*[c.take(pa.array(starts)).to_pylist() for c in batch.columns[:width]], strict=True)
+        sides = [_frame(batch.column(k).filter(pa.array(mask))) for k, mask in ((width + 1, is_left), (width + 2, ~is_left))]
+        at = np.concatenate([[0], np.cumsum(is_left)])
+        for key, lo, hi in zip(keys, starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            left = bool(is_left[lo])
+            rows = sides[0].iloc[at[lo] : at[hi]] if left else sides[1].iloc[lo - at[lo] : hi - at[hi]]
+            yield _plain_key(key), left, rows
 
-    sliced = _sliced(df, keys, slice_rows, slice_by)
-    return _by_group(sliced, [*keys, "_slice"], call, schema)
+
+def _packed(frames: Iterator[pd.DataFrame], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Frames of any size as batches of ``size`` rows or somewhat more."""
+    held, n = [], 0
+    for frame in chain(frames, [None]):
+        if frame is not None and len(frame):
+            held.append(frame[schema.names])
+            n += len(frame)
+        if held and (frame is None or n >= size):
+            yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), schema, preserve_index=False)
+            held, n = [], 0
+
+
+def _joined(parts: list[pd.DataFrame], none: pd.DataFrame) -> pd.DataFrame:
+    if len(parts) > 1:
+        return pd.concat(parts, ignore_index=True)
+    return parts[0] if parts else none.copy()
+
+
+def _aligned(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    call: Callable[[tuple, pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: StructType | str,
+    how: str,
+) -> DataFrame:
+    """``call(key, right_rows, left_batches)`` per key, from one sorted stream of both sides.
+
+    A side's rows travel as one struct column, so that types stay as they are
+    where the other side has none. Rows of the right side come first.
+    """
+    if how not in ("left", "full"):
+        raise ValueError(f"how is left or full, not {how!r}")
+    keys, names = list(keys), [f"_key_{i}" for i in range(len(keys))]
+    sides = {"_left": left, "_right": right}
+    shapes = {name: F.struct(*df.columns) for name, df in sides.items()}
+
+    def tagged(name: str) -> DataFrame:
+        df = sides[name]
+        columns = []
+        for other in sides:
+            none = F.lit(None).cast(sides[other].schema)
+            columns.append((shapes[other] if other == name else none).alias(other))
+        return df.select(
+            *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(name == "_left").alias("_is_left"), *columns
+        )
+
+    out_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow_out = to_arrow_schema(out_schema)
+    empty = to_arrow_schema(right.schema).empty_table().to_pandas()
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for key, group in groupby(_pieces(batches, len(keys)), key=itemgetter(0)):
+            other, first = [], []
+            for _, is_left, rows in group:
+                if is_left:
+                    first = [rows]
+                    break
+                other.append(rows)
+            if not first and how == "left":
+                continue
+            yield from call(key, _joined(other, empty), chain(first, (rows for _, _, rows in group)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(frames(batches), arrow_out)
+
+    both = tagged("_left").unionByName(tagged("_right"))
+    parts = shuffle_partitions(left.sparkSession)
+    return both.repartition(parts, *names).sortWithinPartitions(*names, "_is_left").mapInArrow(run, out_schema)
 
 
 def map_aligned(
@@ -135,30 +206,38 @@ def map_aligned(
     keys: Sequence[str],
     fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: StructType | str,
-    slice_rows: int | None = None,
-    slice_by: Sequence[str] | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """``fn(key, left_rows, right_row)`` for every partition key of ``left``.
+    """``fn(key, left_rows, right_rows)`` over two aligned partitions, exactly one call per key at every size.
 
-    ``right`` must hold one row per key, which is checked; a key it lacks gets
-    an empty frame. Calls and memory are those of :func:`map_by_key`.
+    Both sides have any number of rows per key. Keys are those of ``left``, or
+    with ``how`` full those of either side; a side without rows gives an empty
+    frame. Null keys are one key, and so are not-a-numbers. The rows of both sides
+    of a key have to fit one task; see :func:`map_aligned_batches` for more.
     """
-    keys = list(keys)
-    width = len(keys)
-    left_cols = left.columns
-    right_cols = [c for c in right.columns if c not in keys]
-    renamed = {c: f"_right_{c}" for c in right_cols}
-    single = unique_per_key(right, keys).withColumnsRenamed(renamed).withColumn(
-        "_matched", F.lit(True)
-    )
-    joined = _sliced(left, keys, slice_rows, slice_by).join(single, keys, "left")
+    none = to_arrow_schema(left.schema).empty_table().to_pandas()
+
+    def call(key: tuple, other: pd.DataFrame, ours: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield fn(key, _joined(list(ours), none), other)
+
+    return _aligned(left, right, keys, call, schema, how)
 
-    def call(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf[list(renamed.values())].iloc[: int(pdf["_matched"].notna().iloc[0])]
-        row = row.set_axis(right_cols, axis=1)
-        return fn(group[:width], pdf[left_cols], row)
 
-    return _by_group(joined, [*keys, "_slice"], call, schema)
+def map_aligned_batches(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[tuple, Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]],
+    schema: StructType | str,
+    how: str = "left",
+) -> DataFrame:
+    """``fn(key, left_batches, right_rows)`` per key, for a left side of any length.
+
+    The left rows come as frames of at most an Arrow batch and the function yields
+    frames, so a task holds the right rows of a key and one batch. Still one call
+    per key; keys and empty sides are those of :func:`map_aligned`.
+    """
+    return _aligned(left, right, keys, lambda key, other, ours: fn(key, ours, other), schema, how)
 
 
 class TimedCaller:

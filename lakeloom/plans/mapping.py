@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lakeloom.operators import mapping as X
 from lakeloom.plans.registry import query
 from lakeloom.session import materialize, shuffle_partitions
+from lakeloom.sources.fixtures import month_of
 
 
 def type_profile(key, pdf):
-    """Partial result of one slice of an event type."""
-    import pandas as pd
-
+    """Result of one event type."""
     cents = (pdf["value"] * 100).round().astype("int64")
     return pd.DataFrame(
         {
@@ -31,16 +31,11 @@ def type_profile(key, pdf):
               max(value) AS top FROM events GROUP BY 1""",
 )
 def _(t):
-    parts = X.map_by_key(
-        t.events.select("event_type", "event_id", "value"),
+    return X.map_by_key(
+        t.events.select("event_type", "value"),
         ["event_type"],
         type_profile,
         "event_type string, n bigint, cents bigint, top double",
-        slice_rows=1_000,
-        slice_by=["event_id"],
-    )
-    return parts.groupBy("event_type").agg(
-        F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("top").alias("top")
     )
 
 
@@ -67,11 +62,54 @@ def _(t):
         ["k"],
         enrich,
         "o_orderkey bigint, o_custkey bigint, tier string, cents bigint",
-        slice_by=["o_orderkey"],
     )
     return out
 
 
+SQL_ALIGNED = """
+    SELECT month, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS lines,
+           count(DISTINCT o_orderkey) FILTER (l_orderkey IS NOT NULL AND q > 150) AS large
+    FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders) o
+    LEFT JOIN (SELECT l_orderkey, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS q FROM lineitem) l
+      ON l_orderkey = o_orderkey
+    GROUP BY month"""
+
+
+def order_lines(t):
+    """Orders and their lines, both in partitions by month."""
+    orders = t.orders.select("o_orderkey", month_of("o_orderdate").alias("month"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").join(orders, "o_orderkey")
+    return orders, lines
+
+
+ALIGNED = "month string, orders bigint, lines bigint, large bigint"
+
+
+@query("map_aligned_partitions", "X2", SQL_ALIGNED)
+def _(t):
+    def profile(key, orders, lines):
+        quantity = lines["l_quantity"].groupby(lines["o_orderkey"]).sum()
+        large = orders["o_orderkey"].map(quantity).fillna(0) > 150
+        return pd.DataFrame({"month": [key[0]], "orders": [len(orders)], "lines": [len(lines)], "large": [int(large.sum())]})
+
+    return X.map_aligned(*order_lines(t), ["month"], profile, ALIGNED)
+
+
+@query("map_aligned_batches", "X2", SQL_ALIGNED)
+def _(t):
+    """The lines of a month come batch by batch; its orders are held."""
+
+    def profile(key, lines, orders):
+        quantity, n = pd.Series(0.0, index=orders["o_orderkey"]), 0
+        for batch in lines:
+            n += len(batch)
+            quantity = quantity.add(batch["l_quantity"].groupby(batch["o_orderkey"]).sum(), fill_value=0)
+        yield pd.DataFrame({"month": [key[0]], "orders": [len(orders)], "lines": [n], "large": [int((quantity > 150).sum())]})
+
+    orders, lines = order_lines(t)
+    return X.map_aligned_batches(lines, orders, ["month"], profile, ALIGNED, how="full")
+
+
 def halve(price):
     """Fails on every amount whose whole part ends in 7."""
     whole = int(price)

@@ -216,26 +216,17 @@ def test_due_ticks_spans(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("slice_rows", [40, 100_000])
-def test_map_by_key_calls(hot, slice_rows):
+def test_map_by_key_calls(hot):
     data, df = hot
 
     def size(key, pdf):
         assert set(pdf["k"]) == {key[0]}
         return pd.DataFrame({"k": [key[0]], "n": [len(pdf)], "total": [pdf["o"].sum()]})
 
-    parts = X.map_by_key(df, ["k"], size, "k string, n bigint, total bigint", slice_rows, ["o"])
-    got = {}
-    for r in parts.collect():
-        got.setdefault(r["k"], []).append((r["n"], r["total"]))
-    for k, values in groups(data).items():
-        orders = [o for kk, o, _ in data if kk == k]
-        assert sum(n for n, _ in got[k]) == len(values)
-        assert sum(t for _, t in got[k]) == sum(orders)
-        if len(values) <= slice_rows:
-            assert len(got[k]) == 1
-    if slice_rows == 40:
-        assert len(got["hot"]) > 10
+    got = rows(X.map_by_key(df, ["k"], size, "k string, n bigint, total bigint"))
+    assert got == sorted(
+        ((k, len(values), sum(o for kk, o, _ in data if kk == k)) for k, values in groups(data).items()), key=repr
+    )
 
 
 def test_functions_of_whole_keys_get_one_call_at_any_size(spark):
@@ -276,6 +267,57 @@ def test_map_aligned_missing_right(spark):
     assert rows(got, "k", "n", "y") == [("a", 2, "A"), ("b", 1, None)]
 
 
+@pytest.fixture(scope="module")
+def sides(spark):
+    """Two sides of several rows a key, with keys larger than a batch, null, not a number and beyond doubles."""
+    big = 2**53 + 1
+    left = [(1, 1.0, big + i, "x") for i in range(25_000)] + [(2, 2.0, 5, None), (None, float("nan"), 6, "n"), (None, float("nan"), 7, "n")]
+    right = [(1, 1.0, "r", i) for i in range(21_000)] + [(None, float("nan"), "s", big), (3, 3.0, "t", 1), (big, 3.0, "u", 1), (big + 1, 3.0, "v", 1)]
+    return (
+        spark.createDataFrame(left, "a bigint, b double, x bigint, y string").repartition(5),
+        spark.createDataFrame(right, "a bigint, b double, y string, z bigint").repartition(3),
+    )
+
+
+def test_aligned_sides_of_any_size_get_one_call(sides):
+    left, right = sides
+
+    def sizes(key, ours, other):
+        assert list(ours.columns) == ["a", "b", "x", "y"] and list(other.columns) == ["a", "b", "y", "z"]
+        return pd.DataFrame({"a": [key[0]], "n": [len(ours)], "m": [len(other)], "x": [ours["x"].sum()], "z": [other["z"].sum()]})
+
+    schema, big = "a bigint, n bigint, m bigint, x string, z bigint", 2**53 + 1
+    exact = lambda key, ours, other: sizes(key, ours, other).assign(x=[str(sum(map(int, ours["x"])))])
+    want = [
+        (None, 2, 1, 13, big),
+        (1, 25_000, 21_000, sum(big + i for i in range(25_000)), sum(range(21_000))),
+        (2, 1, 0, 5, 0),
+    ]
+    alone = [(3, 0, 1, 0, 1), (big, 0, 1, 0, 1), (big + 1, 0, 1, 0, 1)]
+    got = [(r.a, r.n, r.m, int(r.x), r.z) for r in X.map_aligned(left, right, ["a", "b"], exact, schema).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    got = [(r.a, r.n, r.m, int(r.x), r.z) for r in X.map_aligned(left, right, ["a", "b"], exact, schema, "full").collect()]
+    assert sorted(got, key=repr) == sorted(want + alone, key=repr)
+
+
+def test_aligned_batches_are_bounded(sides):
+    left, right = sides
+
+    def sizes(key, batches, other):
+        for batch in batches:
+            assert len(batch) <= 10_000
+            yield pd.DataFrame({"a": [key[0]], "n": [len(batch)], "m": [len(other)]})
+            if key[0] is None:
+                return  # what is left of a key is passed over
+
+    got = X.map_aligned_batches(left, right, ["a", "b"], sizes, "a bigint, n bigint, m bigint").collect()
+    assert sum(r.n for r in got if r.a == 1) == 25_000 and {r.m for r in got if r.a == 1} == {21_000}
+    assert sorted((r.a, r.n, r.m) for r in got if r.a not in (1, None)) == [(2, 1, 0)]
+    assert len([r for r in got if r.a == 1]) >= 3
+    with pytest.raises(ValueError):
+        X.map_aligned_batches(left, right, ["a"], sizes, "a bigint", "inner")
+
+
 def test_chunks_follow_the_order_at_any_size(spark):
     for orders in ([0, 5, 10], [0, 5, 10, 11]):
         df = spark.createDataFrame([("p", o, o) for o in orders], "p string, o bigint, v bigint")
