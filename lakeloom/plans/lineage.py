@@ -84,13 +84,8 @@ SQL_FAULTY = """
           UNION ALL SELECT -1 - c_custkey, c_custkey FROM customer WHERE c_acctbal > 9950),
     k AS (SELECT c_custkey AS node_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'task'
               WHEN 'MACHINERY' THEN 'sensor' ELSE 'asset' END AS kind FROM customer),
-    loops AS (SELECT c_custkey AS node_id FROM customer WHERE c_custkey >= 1 AND c_acctbal < -900
-              UNION SELECT (c_custkey - 1) // 2 FROM customer
-                WHERE c_custkey >= 1 AND c_acctbal < -900),
-    below AS (SELECT node_id FROM loops
-              UNION SELECT downstream FROM e JOIN below ON upstream = node_id),
-    above AS (SELECT node_id FROM loops
-              UNION SELECT upstream FROM e JOIN above ON downstream = node_id)"""
+    reach AS (SELECT upstream AS a, downstream AS b FROM e
+              UNION SELECT a, downstream FROM e JOIN reach ON upstream = b)"""
 
 
 @query(
@@ -106,7 +101,7 @@ SQL_FAULTY = """
         FROM e LEFT JOIN k d ON d.node_id = downstream LEFT JOIN k u ON u.node_id = upstream
         WHERE u.kind IS NULL OR d.kind IS NULL OR d.kind = 'sensor' OR (u.kind = 'task' AND d.kind <> 'task')
         UNION ALL
-        SELECT 'cycle', node_id::VARCHAR FROM below WHERE node_id IN (SELECT node_id FROM above)""",
+        SELECT DISTINCT 'cycle', a::VARCHAR FROM reach WHERE a = b""",
 )
 def _(t):
     key, balance = F.col("c_custkey"), F.col("c_acctbal")

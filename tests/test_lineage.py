@@ -54,7 +54,7 @@ def test_random_dag_against_python(spark):
             reach.add(n)
     seeds = spark.createDataFrame([(5,)], "node_id bigint")
     assert {r[0] for r in L.downstream_closure(df, seeds).collect()} == reach
-    assert L.cycle_core(df).count() == 0
+    assert rows(L.cycle_nodes(df)) == []
 
 
 def test_cycles_end_and_are_found(spark):
@@ -63,7 +63,7 @@ def test_cycles_end_and_are_found(spark):
         [("s", "a", "data"), ("a", "b", "data"), ("b", "c", "data"), ("c", "a", "data"), ("c", "t", "data")],
     )
     assert {r[0] for r in L.downstream_closure(edges, names(spark, "a")).collect()} == set("abct")
-    assert {tuple(r) for r in L.cycle_core(edges).collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
+    assert rows(L.cycle_nodes(edges)) == [("a", "c"), ("b", "c"), ("c", "c")]
     with pytest.raises(ValueError):
         L.topo_level(edges, names(spark, *"sabct"))
 
@@ -87,6 +87,83 @@ def test_validate(spark):
     )
 
 
+def numbered(spark, edges):
+    return spark.createDataFrame(sorted(edges), "upstream bigint, downstream bigint")
+
+
+def reached(edges, seeds):
+    seen, todo = set(seeds), list(seeds)
+    while todo:
+        node = todo.pop()
+        for u, d in edges:
+            if u == node and d not in seen:
+                seen.add(d)
+                todo.append(d)
+    return seen
+
+
+def jobs_of(spark, run):
+    """What ``run`` returns, and the number of jobs that took."""
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    return out, n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deep_graphs_with_cycles_against_python(spark, seed, monkeypatch):
+    # few hops before what is left is condensed, again and again
+    monkeypatch.setattr(L, "HOPS", 1)
+    monkeypatch.setattr(L, "JOBS", 2)
+    rng = random.Random(seed)
+    n = 60
+    edges = {(i, i + 1) for i in range(n) if rng.random() < 0.93}
+    edges |= {(rng.randrange(n), rng.randrange(n)) for _ in range(14)}
+    seeds = rng.sample(range(n), 2)
+    df, start = numbered(spark, edges), spark.createDataFrame([(s,) for s in seeds], "node_id bigint")
+    assert {r[0] for r in L.downstream_closure(df, start).collect()} == reached(edges, seeds)
+    assert {r[0] for r in L.upstream_closure(df, start).collect()} == reached({(d, u) for u, d in edges}, seeds)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_deep_levels_against_python(spark, seed, monkeypatch):
+    monkeypatch.setattr(L, "LAYERS", 2)
+    rng = random.Random(seed)
+    edges = {(i, i + 1) for i in range(50) if rng.random() < 0.9} | {(a, b) for a, b in (sorted(rng.sample(range(51), 2)) for _ in range(15))}
+    level = {}
+    for node in range(51):
+        level[node] = max((level[u] + 1 for u, d in edges if d == node), default=0)
+    got = L.topo_level(numbered(spark, edges), spark.range(51).toDF("node_id"))
+    assert dict(rows(got)) == level
+    with pytest.raises(ValueError):
+        L.topo_level(numbered(spark, edges | {(50, 0), (0, 1), (49, 50)} | {(i, i + 1) for i in range(50)}), spark.range(51).toDF("node_id"))
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    chain = spark.range(2000).select(F.col("id").alias("upstream"), (F.col("id") + 1).alias("downstream"))
+    seed = spark.createDataFrame([(3,)], "node_id bigint")
+    got, jobs = jobs_of(spark, lambda: L.downstream_closure(chain, seed).count())
+    assert got == 1998 and jobs < 200
+    got, jobs = jobs_of(spark, lambda: L.topo_level(chain, seed).agg(F.max("level")).first()[0])
+    assert got == 2000 and jobs < 400
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exactly_the_nodes_on_cycles(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(52)} | {(100, 101), (101, 100), (101, 102), (102, 103), (103, 104), (104, 103)}
+    found = {}
+    for node in {x for e in edges for x in e}:
+        after = reached(edges, [d for u, d in edges if u == node])
+        if node in after:
+            same = {m for m in after if node in reached(edges, [m])}
+            found[node] = max(same | {node})
+    assert 102 not in found
+    assert dict(rows(L.cycle_nodes(numbered(spark, edges)))) == found
+
+
 def test_empty_graph(spark):
     empty = spark.createDataFrame([], "upstream string, downstream string")
     assert L.topo_level(empty, names(spark, "x").where(F.lit(False))).count() == 0
