@@ -1,4 +1,4 @@
-"""Exclusive claims: small marker files that the first writer alone can create."""
+"""Exclusive commits: paths that the first writer alone can create."""
 
 from __future__ import annotations
 
@@ -14,29 +14,41 @@ def file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def claim(spark: SparkSession, path: str, text: str) -> bool:
-    """Creates ``path`` with ``text`` unless it exists; whether this call created it.
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames ``source`` to ``target`` unless that exists; whether this call did.
 
-    The marker is written aside and renamed onto a path that must not exist, so
-    a reader sees a whole marker or none and of two writers one wins, as far as
-    the file system's rename is atomic.
+    Of several writers one wins, and a reader sees the whole target or none, as
+    far as the file system's rename is atomic (that of an object store is not).
     """
-    fs, marker = file_system(spark, path)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(aside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(marker.toUri(), spark._jsc.hadoopConfiguration())
-    plain = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    fs, to = file_system(spark, target)
+    if to.getParent() is not None:
+        fs.mkdirs(to.getParent())
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
     try:
-        context.rename(aside, marker, plain)
+        context.rename(hadoop.Path(source), to, plain)
         return True
     except Py4JJavaError as error:
         if "FileAlreadyExists" not in error.java_exception.getClass().getName():
             raise
         return False
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates ``path`` with ``text`` unless it exists; whether this call created it.
+
+    The marker is written aside and renamed, see :func:`move_new`.
+    """
+    aside = f"{path}.{uuid.uuid4().hex}"
+    fs, hadoop = file_system(spark, aside)
+    out = fs.create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        return move_new(spark, aside, path)
     finally:
-        fs.delete(aside, False)
+        fs.delete(hadoop, False)
 
 
 def read_claim(spark: SparkSession, path: str) -> str | None:

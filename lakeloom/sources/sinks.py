@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.session import materialize
+from lakeloom.sources.commits import move_new, remove_path
 
 # Formats by path extension, and formats that can be written.
 EXTENSION_FORMATS = {".parquet": "parquet", ".json": "json", ".txt": "text", ".pkl": "pickle"}
@@ -95,13 +97,23 @@ def sink_all(df: DataFrame, sinks: Iterable[Sink], primary: str = "parquet") ->
 def publish_versioned(df: DataFrame, root: str, node: str, run_hash: str) -> tuple[DataFrame, bool]:
     """Dataset at ``root/node/run_hash``; an address already complete is reused.
 
-    Returns the dataset and whether it was reused.
+    Returns the dataset and whether another call's was used. A dataset is written
+    aside and renamed to its address when it is whole: of several writers at once
+    the first one's stays, the others drop theirs and return it, and a reader
+    never sees half of one. A folder left there without its success marker, as an
+    interrupted writer of another kind may leave it, is an error.
     """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{node}/{run_hash}"
     reused = path_exists(spark, f"{path}/_SUCCESS")
     if not reused:
-        df.write.mode("overwrite").parquet(path)
+        attempt = f"{root.rstrip('/')}/_attempts/{uuid.uuid4().hex}"
+        df.write.parquet(attempt)
+        reused = not move_new(spark, attempt, path)
+        if reused:
+            remove_path(spark, attempt)
+            if not path_exists(spark, f"{path}/_SUCCESS"):
+                raise ValueError(f"an incomplete dataset is in the way: {path}")
     return spark.read.schema(df.schema).parquet(path), reused
 
 

@@ -7,9 +7,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeloom.operators import incremental as I
 from lakeloom.operators import manifest as M
 from lakeloom.session import scratch_path
 from lakeloom.sources.commits import claim, claims, read_claim, remove_path
+from lakeloom.sources.sinks import publish_versioned
 
 SCHEMA = StructType().add("k", "string").add("v", "long")
 
@@ -143,3 +145,38 @@ def test_claims_have_one_winner(spark):
         t.join()
     assert len(won) == 1 and read_claim(spark, f"{root}/marker") == won[0]
     assert claims(spark, root) == ["marker"] and read_claim(spark, f"{root}/none") is None
+
+
+def test_of_several_publishers_one_stays_and_no_reader_sees_half(spark):
+    root = scratch_path(spark, "publish")
+    out, errors = [], []
+
+    def publish(k):
+        try:
+            df = spark.range(1000).withColumn("by", F.lit(k))
+            data, reused = publish_versioned(df, root, "node", "hash")
+            out.append((reused, data.agg(F.count(F.lit(1)), F.min("by"), F.max("by")).first()))
+        except Exception as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=publish, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and [reused for reused, _ in out].count(False) == 1
+    first = out[0][1]
+    assert first[0] == 1000 and first[1] == first[2] and all(seen == first for _, seen in out)
+    assert not spark.read.parquet(f"{root}/node/hash").isEmpty()
+
+
+def test_a_fan_in_is_one_row_an_edge(spark):
+    steps = spark.createDataFrame([(f"s{k}", "x") for k in range(20)], "step string, partition string")
+    edges = spark.createDataFrame([(f"s{k}", "up") for k in range(20)], "downstream string, upstream string")
+    parts = [("up", f"p{k}", f"hash{k}") for k in range(300)]
+    frame = lambda rows_: spark.createDataFrame(rows_, "base_id string, partition string, run_hash string")
+    got = I.upstream_hashes(steps, edges, frame(parts)).collect()
+    assert len(got) == 20 and {r.match for r in got} == {"fan_in"} and len({r.run_hash for r in got}) == 1
+    again = I.upstream_hashes(steps, edges, frame(parts[::-1])).first().run_hash
+    other = I.upstream_hashes(steps, edges, frame([*parts[:-1], ("up", "p299", "changed")])).first().run_hash
+    assert again == got[0].run_hash != other
