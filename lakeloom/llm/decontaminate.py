@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.text import ALNUM, chunks, rows_of
+from lakeloom.llm.tables import with_row_key
 from lakeloom.session import materialize
 
 WINDOW = 10
@@ -30,9 +31,9 @@ MAX_SLOP = 16
 #: Words of test items searched for at a time; more items take more passes over the texts.
 BLOCK_WORDS = 2_000_000
 
-_INDEX = "n_words binary, terms binary, counts binary, positions binary, ids array<{id}>, rows array<bigint>"
+_INDEX = "n_words binary, terms binary, counts binary, positions binary, ids array<{id}>, rows array<binary>"
 _HITS = (
-    "row bigint, doc_id {id}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, "
+    "row binary, doc_id {id}, n_words bigint, spans array<struct<first:bigint,last:bigint>>, "
     "near_spans array<struct<first:bigint,last:bigint>>, items array<{item}>, near_items array<{item}>"
 )
 
@@ -282,12 +283,8 @@ def contamination(
     if not 0 <= slop <= MAX_SLOP:
         raise ValueError(f"slop must be from 0 to {MAX_SLOP}")
     spark = docs.sparkSession
-    # the number of a row is the same in every pass over the same files
-    source = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("_row_"),
-        F.col(text_col).alias("_text_"),
-    )
+    source = with_row_key(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text_")], "keyed")
+    source = source.select("doc_id", "_row_", "_text_")
     kind = source.schema[0].dataType.simpleString()
     parts = []
     for number, block in enumerate(_blocks(items, item_id, item_text)):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.components import components
-from lakeloom.llm.tables import HashTable, small
+from lakeloom.llm.tables import HashTable, small, with_row_key
 from lakeloom.llm.text import BLANK_SPLIT, Texts, chunks, rows_of, shingle_hashes
 from lakeloom.session import materialize
 
@@ -111,7 +111,7 @@ def _members(k: int):
         if n:
             empty = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, ids_type), empty, empty, empty, pa.array(grams[top].view(np.int64)), pa.array(counts[top])],
+                [pa.nulls(n, ids_type), pa.nulls(n, pa.binary()), empty, empty, pa.array(grams[top].view(np.int64)), pa.array(counts[top])],
                 ["doc_id", "row", "n", "set_id", "gram", "count"],
             )
 
@@ -389,14 +389,12 @@ def _once(pairs: DataFrame) -> DataFrame:
 def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, ...]:
     """(source, members, counted, blocks): rows, their sets, pairs of small blocks and the rows of large ones."""
     spark = docs.sparkSession
-    # the number of a row is the same in every pass over the same files
-    source = docs.select(
-        F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row_"), F.col(text_col).alias("_text_")
-    )
+    source = with_row_key(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text_")], "keyed")
+    source = source.select("doc_id", "_row_", "_text_")
     kind = source.schema[0].dataType.simpleString()
     first = materialize(
         source.mapInArrow(
-            _members(words), f"doc_id {kind}, row bigint, n bigint, set_id bigint, gram bigint, count bigint"
+            _members(words), f"doc_id {kind}, row binary, n bigint, set_id bigint, gram bigint, count bigint"
         ),
         "sets",
     )
@@ -490,7 +488,7 @@ def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int,
     rows = members.where("n > 0").groupBy("set_id").agg(F.min("row").alias("_row_"))
     sets = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
     wanted = materialize(rows.join(sets.distinct(), "set_id", "left_semi").select("_row_"), f"wanted{number}")
-    texts = source.join(small(wanted, 8), "_row_", "left_semi").select("_row_", "_text_")
+    texts = source.join(small(wanted, 16), "_row_", "left_semi").select("_row_", "_text_")
     segments = materialize(
         texts.mapInArrow(_segments(words), "set_id bigint, fragment int, grams binary"), f"segments{number}"
     )

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.tables import HashTable, small
+from lakeloom.llm.tables import HashTable, small, with_row_key
 from lakeloom.llm.text import Texts, chunks, mix, rows_of
 from lakeloom.session import materialize
 
@@ -250,13 +250,8 @@ def perplexities(
     Other columns are not read.
     """
     spark = docs.sparkSession
-    # the number of a row is the same in every pass over the same files
-    source = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(lang_col).cast("string").alias("lang"),
-        F.monotonically_increasing_id().alias("_row_"),
-        F.col(text_col).alias("text"),
-    )
+    columns = [F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")]
+    source = with_row_key(docs, columns, "keyed").select("doc_id", "lang", "_row_", "text")
     kind = source.schema[0].dataType.simpleString()
     ids = materialize(trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
     ids = small(ids, 16)
@@ -276,7 +271,7 @@ def perplexities(
     for shard in _shards(answers):
         sent = spark.sparkContext.broadcast(shard)
         part = source.select("doc_id", "lang", "_row_", "text").mapInArrow(
-            _sums(sent, order), f"doc_id {kind}, lang string, _row_ bigint, n_bytes bigint, logp double"
+            _sums(sent, order), f"doc_id {kind}, lang string, _row_ binary, n_bytes bigint, logp double"
         )
         part = materialize(part, f"sums{number}")
         parts = part if parts is None else parts.unionByName(part)

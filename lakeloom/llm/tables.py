@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.session import materialize
+
 U8 = np.uint64
 #: A join side is broadcast only when its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
@@ -19,6 +22,30 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Steps of a plan that neither repeat nor merge the rows of a file.
+_ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias")
+
+
+def with_row_key(docs: DataFrame, columns: list[Column], label: str, key: str = "_row_") -> DataFrame:
+    """``columns`` of ``docs`` and a 16-byte key of each row that is the same in every pass.
+
+    Rows of a file are named by the file and their place in it, which does not
+    depend on how files are cut into tasks. Rows that come from anything else, a
+    join or a shuffle say, are numbered and written once, and read back in each pass.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_BY_ROW:
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        place = F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
+        try:
+            return docs.select(F.unhex(F.md5(place)).alias(key), *columns)
+        except AnalysisException:
+            pass  # a source without places of rows
+    number = F.monotonically_increasing_id().cast("string")
+    return materialize(docs.select(F.unhex(F.md5(number)).alias(key), *columns), label)
+
+
 class HashTable:
     """Open addressing in two arrays: 64-bit keys, never 0, to values above 0."""
 

@@ -22,8 +22,6 @@ from lakeloom.llm.text import ALNUM, Texts, chunks, mix, rows_of
 
 #: Labelled texts of each class that terms and weights are learned from, at most: those of smallest hash.
 TRAIN_ROWS = 4_000
-#: Longer texts are not learned from, so that the sample is bounded in bytes too. All texts are scored.
-TRAIN_BYTES = 65_536
 #: Terms in the lexicon, at most: the most telling ones.
 MAX_TERMS = 2_000
 #: Terms from this many bytes on are also found with one edit.
@@ -267,8 +265,9 @@ def train(
 ) -> Model:
     """Learns lexicon and weights from a bounded sample of labelled texts, ``train_rows`` of each class at most.
 
-    ``labels`` with a null id or label are left out. Texts are those of the rows of
-    ``docs`` with a labelled id, null as empty.
+    ``labels`` with a null id or label are left out. Texts are the whole ones of the
+    rows of ``docs`` with a labelled id, null as empty; of several the first in order,
+    and of several labels 1. The sample's texts are learned from on the driver.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.where("_id is not null and _label in (0, 1)").distinct()
@@ -276,16 +275,11 @@ def train(
     for value in (0, 1):
         part = known.where(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
-        F.octet_length(F.coalesce("_text", F.lit(""))) <= TRAIN_BYTES
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # an id that documents repeat may not swell the sample: its first text in order stands for it
     rows = (
-        texts.join(F.broadcast(sample), "_id")
-        .select(F.coalesce("_text", F.lit("")).alias("text"), "_label", "_id")
-        # an id that documents repeat may not swell the sample
-        .dropDuplicates(["_id"])
-        .toArrow()
-    )
+        texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    ).toArrow()
     rows = rows.sort_by([("_id", "ascending")])
     y = rows.column("_label").to_numpy().astype(np.int64)
     found = rows.column("text").to_pylist()

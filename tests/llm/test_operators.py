@@ -699,3 +699,45 @@ def test_oracle_names(spark):
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     json.dumps(sorted(queries.ORACLES))
+
+
+# --- one key of a row in all passes -------------------------------------------
+
+
+def test_rows_keep_their_key_when_tasks_are_cut_anew(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keyed = tables.with_row_key(docs.where("doc_id >= 0"), [F.col("doc_id")], "keyed")
+    name = "spark.sql.files.maxPartitionBytes"
+    before, first = spark.conf.get(name), sorted(map(tuple, keyed.collect()))
+    try:
+        spark.conf.set(name, "20000")
+        assert sorted(map(tuple, keyed.collect())) == first and len({k for k, _ in first}) == docs.count()
+        # behind a shuffle, or where rows repeat, the key is written
+        for other in (docs.repartition(5), docs.withColumn("_", F.explode(F.array(F.lit(1), F.lit(2))))):
+            keyed = tables.with_row_key(other, [F.col("doc_id")], "keyed")
+            once = sorted(map(tuple, keyed.collect()))
+            spark.conf.set(name, "50000")
+            assert sorted(map(tuple, keyed.collect())) == once and len({k for k, _ in once}) == other.count()
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_links_stay_when_tasks_are_cut_anew_between_passes(spark, sf, monkeypatch, shuffled):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 10_000)) if shuffled else docs
+    docs = docs.repartition(7) if shuffled else docs
+    wanted = sorted(map(tuple, ngram_join.near_duplicates(docs, words=3, similarity=(90, 100)).select("doc_id", "component_id").collect()))
+    name, verify = "spark.sql.files.maxPartitionBytes", ngram_join._verified
+    before = spark.conf.get(name)
+
+    def later(*args):
+        spark.conf.set(name, "30000")
+        return verify(*args)
+
+    monkeypatch.setattr(ngram_join, "_verified", later)
+    try:
+        got = ngram_join.near_duplicates(docs, words=3, similarity=(90, 100)).select("doc_id", "component_id")
+        assert sorted(map(tuple, got.collect())) == wanted
+    finally:
+        spark.conf.set(name, before)
