@@ -11,12 +11,23 @@ from lakeloom.llm.tables import small
 from lakeloom.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bound of an Arrow batch of texts.
+BATCH_BYTES = "4m"
 #: Names a row in all stages; ids may repeat or be null.
 KEY = "_row_key_"
 
 
+def _bounded(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches hold ``BATCH_BYTES`` at most, or one row.
+
+    Texts of a batch are held by the executor and by its Python workers at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a key of each row that is written with it; a stage's output has one already."""
+    _bounded(docs.sparkSession)
     if KEY in docs.columns:
         return docs.select(KEY, *COLUMNS)
     return materialize(docs.select(F.monotonically_increasing_id().alias(KEY), *COLUMNS), "keyed")
@@ -81,6 +92,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of them and of the text they decode to."""
+    _bounded(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.with_digests(bpe.decode(bpe.encode(docs, ranks), ranks), with_ids=True)
 
