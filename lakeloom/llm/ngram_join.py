@@ -43,7 +43,7 @@ LEADERS, LEADERS_GROW = 4, 64
 #: Sets of one n-gram on each side of a tile, when all of them are compared.
 TILE = 256
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
-TASK_POSTINGS, TASK_PAIRS = 2_000_000, 20_000
+TASK_POSTINGS, TASK_PAIRS = 400_000, 20_000
 #: Set sizes from which two and three n-grams of a prefix have to be common.
 TWO_FROM, THREE_FROM = 48, 96
 
