@@ -12,7 +12,7 @@ from lakeloom.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bound of an Arrow batch of texts.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 #: Names a row in all stages; ids may repeat or be null.
 KEY = "_row_key_"
 
@@ -94,7 +94,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of them and of the text they decode to."""
     _bounded(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.with_digests(bpe.decode(bpe.encode(docs, ranks), ranks), with_ids=True)
+    # written in between, so that a task has one Python worker with tables of the vocabulary at a time
+    ids = materialize(bpe.encode(docs, ranks), "ids")
+    return bpe.with_digests(bpe.decode(ids, ranks), with_ids=True)
 
 
 STAGES = [
