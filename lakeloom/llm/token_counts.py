@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup; no pre-token is shuffled.
 
-Every task summarises its frequent pre-tokens; the most frequent of all become
-a compact hash table from pre-token to its number of tokens, which is
+Every task summarises its frequent pre-tokens and the summaries are merged up a
+tree; the most frequent of all become a compact hash table from pre-token to its number of tokens, which is
 broadcast. A second pass adds up the lengths per document. What the table
 lacks is encoded by the tokenizer's own library once per worker and kept in a
 cache of the same shape.
@@ -10,6 +10,7 @@ cache of the same shape.
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Iterator
 
@@ -119,28 +120,35 @@ def _summaries(model: bytes):
                     shrink(2 * SUMMARY_SIZE)
         shrink(SUMMARY_SIZE)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.tolist(), pa.binary()), pa.array(counts)], ["piece", "count"]
+            [pa.array([names.tolist()], pa.list_(pa.binary())), pa.array([counts])], ["pieces", "counts"]
         )
 
     return run
 
 
+def _merged(a: dict[bytes, int], b: dict[bytes, int]) -> dict[bytes, int]:
+    """Two summaries as one of the ``TABLE_SIZE`` most frequent; of equal counts the smaller pre-tokens."""
+    both = dict(a)
+    for piece, count in b.items():
+        both[piece] = both.get(piece, 0) + count
+    if len(both) <= TABLE_SIZE:
+        return both
+    return dict(sorted(both.items(), key=lambda x: (-x[1], x[0]))[:TABLE_SIZE])
+
+
 def frequent_lengths(docs: DataFrame, model: bytes, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes and token counts of frequent pre-tokens of all texts: at most ``TABLE_SIZE``.
 
     Which ones are in the table decides the speed only. They come from bounded
-    summaries of all tasks.
+    summaries, one a task, which are merged two by two up a tree: pre-tokens are
+    not shuffled by key, and the driver gets the last few summaries.
     """
-    top = (
-        docs.select(text_col)
-        .mapInArrow(_summaries(model), "piece binary, count bigint")
-        .groupBy("piece")
-        .agg(F.sum("count").alias("count"))
-        .orderBy(F.desc("count"), "piece")
-        .limit(TABLE_SIZE)
-        .select("piece")
+    summaries = docs.select(text_col).mapInArrow(_summaries(model), "pieces array<binary>, counts array<bigint>").rdd
+    depth = max(2, math.ceil(math.log(max(2, summaries.getNumPartitions()), 8)))
+    top = summaries.map(lambda r: dict(zip(map(bytes, r[0]), r[1], strict=True))).treeAggregate(
+        {}, _merged, _merged, depth
     )
-    pieces = [bytes(r[0]) for r in top.collect()]
+    pieces = sorted(top, key=lambda x: (-top[x], x))
     if not pieces:
         return np.empty(0, np.uint64), np.empty(0, np.int32)
     return _hash(pieces), _lengths(_tokenizer(model), pieces)

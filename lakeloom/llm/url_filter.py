@@ -30,6 +30,8 @@ RULES = (
 SEED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
 #: Labelled URLs of each class the trees are fitted on, at most: those of smallest hash.
 TRAIN_ROWS = 10_000
+#: Folds of hosts; a URL's suffix rate leaves out the labels of its own fold.
+FOLDS = 10
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "host_parts", "digit_ratio", "hyphens",
@@ -122,7 +124,8 @@ def judge_urls(
     trees' probability of label 1, is 0.5 or more. ``label`` is a column of
     ``urls``: 1 unwanted, 0 wanted, null unknown; by default the seed words of
     the host give it. Trees are fitted on at most ``train_rows`` URLs of each
-    class, those of smallest hash; suffix statistics count all URLs.
+    class, those of smallest hash; suffix statistics count all URLs, the rate of
+    label 1 those in other folds of hosts than the URL's own.
 
     A null URL, or one without ``://``, has empty host and path and no rule.
     Null and repeated ids are rows like others. Without labels of both classes
@@ -139,21 +142,46 @@ def judge_urls(
     )
     if label is None:
         base = base.withColumn("label", seed_labels(F.col("host")))
-    made = features(base)
-    suffixes = materialize(
-        made.groupBy("suffix").agg(
-            F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")
+    made = features(base).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    folds = materialize(
+        made.groupBy("suffix", "fold").agg(
+            F.count(F.lit(1)).alias("f_n"),
+            F.count("label").alias("f_known"),
+            F.coalesce(F.sum("label"), F.lit(0)).alias("f_bad"),
         ),
-        "suffixes",
+        "folds",
     )
-    total, known, bad = suffixes.agg(F.sum("n"), F.sum("known"), F.sum("bad")).first()
+    suffixes = folds.groupBy("suffix").agg(F.sum("f_n").alias("n"), F.sum("f_known").alias("known"), F.sum("f_bad").alias("bad"))
+    suffixes = materialize(suffixes, "suffixes")
+    total, known, bad, longest = suffixes.agg(
+        F.sum("n"), F.sum("known"), F.sum("bad"), F.max(F.octet_length("suffix"))
+    ).first()
+    row_bytes = 32 + (longest or 0)
     rate = (bad or 0) / known if known else 0.0
+    # the share of label 1 outside each fold, towards which rates of rare suffixes tend
+    by_fold = {r[0]: r[1:] for r in folds.groupBy("fold").agg(F.sum("f_known"), F.sum("f_bad")).collect()}
+    shares = []
+    for fold in range(FOLDS):
+        k, b = by_fold.get(fold, (0, 0))
+        shares.append((bad - b) / (known - k) if known and known > k else rate)
+    outside = F.array(*map(F.lit, shares))
     stats = suffixes.select(
         "suffix",
         F.log10(F.col("n") / F.lit(float(total or 1))).alias("suffix_share"),
-        ((F.col("bad") + F.lit(20 * rate)) / (F.col("known") + 20)).alias("suffix_rate"),
+        F.col("known").alias("s_known"),
+        F.col("bad").alias("s_bad"),
+    )
+    # what other folds of hosts say of a suffix, so that no host's own label is in its rate
+    known_here = lambda c: F.coalesce(F.col(c), F.lit(0))
+    full = (
+        made.join(small(stats, row_bytes), "suffix", "left")
+        .join(small(folds.where("f_known > 0"), row_bytes), ["suffix", "fold"], "left")
+        .withColumn(
+            "suffix_rate",
+            (F.col("s_bad") - known_here("f_bad") + 20 * outside[F.col("fold")])
+            / (F.col("s_known") - known_here("f_known") + 20),
+        )
     )
-    full = made.join(small(stats, 100), "suffix", "left")
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     if not bad or bad == known:
         scored = full.withColumn("score", F.lit(float(rate)))

@@ -741,3 +741,33 @@ def test_links_stay_when_tasks_are_cut_anew_between_passes(spark, sf, monkeypatc
         assert sorted(map(tuple, got.collect())) == wanted
     finally:
         spark.conf.set(name, before)
+
+
+def test_suffix_rates_leave_out_a_hosts_own_label(spark, monkeypatch):
+    """Turning the label of one host changes the rates of other folds, never its own."""
+    seen = []
+
+    def keep(full, train_rows):
+        seen.append({r["host"]: r["suffix_rate"] for r in full.select("host", "suffix_rate").distinct().collect()})
+        return full.withColumn("score", F.lit(0.0))
+
+    monkeypatch.setattr(url_filter, "_boosted", keep)
+    rows = [(i, f"https://h{i % 40}.net/{i}", int(i % 40 % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, y int")
+    for label in (F.col("y"), F.when(F.col("url").contains("//h7."), 1 - F.col("y")).otherwise(F.col("y"))):
+        url_filter.judge_urls(df, label=label, rules=()).collect()
+    hosts = df.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    fold = dict(hosts.select("host", F.pmod(F.xxhash64("host"), F.lit(url_filter.FOLDS))).collect())
+    before, after = seen
+    for h in before:
+        assert (before[h] == after[h]) == (fold[h] == fold["h7.net"])
+
+
+def test_tables_of_frequent_pre_tokens_are_merged_without_a_shuffle_by_key(spark):
+    texts = [(i, "the cat and the dog " * (1 + i % 3) + f"w{i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(9)
+    model = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    keys, lengths = token_counts.frequent_lengths(docs, model)
+    assert len(set(keys.tolist())) == len(keys) == len(lengths) and (lengths > 0).all()
+    one = token_counts.frequent_lengths(docs.coalesce(1), model)
+    assert sorted(zip(keys.tolist(), lengths.tolist())) == sorted(zip(one[0].tolist(), one[1].tolist()))
