@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ FREQUENT, TASK_FREQUENT = 262_144, 16_384
 BLOCK = 64
 #: Leaders of a block in the first round, and how many times more in each next one.
 LEADERS, LEADERS_GROW = 4, 64
+#: Leaders of an n-gram that lie in one row, about.
+LEADER_ROW = 64
 #: Sets of one n-gram on each side of a tile, when all of them are compared.
 TILE = 256
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
@@ -331,8 +334,9 @@ def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den
     A block's rows are (gram, frequent, set_id, n, rare, root). Leaders come from
     outside its largest component, sets of small components first. A leader
     meets the sets of all its blocks that are in other components, and need not
-    be looked at again. What two sets share of their prefixes decides whether
-    they become a pair; ``few`` (a, b, hits) has what they share besides.
+    be looked at again. All its meetings with one set are counted up in one place
+    and make one pair or none: what the two share of their prefixes decides.
+    ``few`` (a, b, hits) has what they share besides.
     """
     parts = blocks.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("gram").agg(
@@ -343,30 +347,107 @@ def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den
     rank = F.row_number().over(Window.partitionBy("gram").orderBy("size", "root", "set_id"))
     chosen = outside.withColumn("rank", rank).where(F.col("rank") <= leaders).select("set_id").distinct()
     chosen = materialize(chosen, "leaders")
-    leader = open_.join(chosen, "set_id", "left_semi").select(
-        "gram", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "rare", "root"))
+    # an n-gram's leaders lie in rows of about LEADER_ROW, and its sets meet a row at a time
+    leader = open_.join(chosen, "set_id", "left_semi")
+    rows = leader.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROW).alias("rows"))
+    leader = (
+        leader.join(rows, "gram")
+        .groupBy("gram", F.expr("pmod(xxhash64(set_id), rows)").alias("row"))
+        .agg(F.collect_list(F.struct(F.col("set_id").alias("id"), "n", "rare", "root")).alias("met"))
     )
-    first = F.col("set_id") < F.col("l_set_id")
-    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-
-    def meetings(which: str) -> DataFrame:
-        met = open_.where("frequent" if which else "not frequent").join(leader, "gram")
-        met = met.where(f"root <> l_root and {den} * least(n, l_n) >= {num} * greatest(n, l_n) {which}")
-        sides = [("set_id", "a", "b"), ("n", "na", "nb"), ("rare", "ra", "rb")]
-        key = [c for x, a, b in sides for c in (pick(x, f"l_{x}", a), pick(f"l_{x}", x, b))]
-        # two leaders meet from both sides
-        return met.groupBy(*key).agg(F.count_distinct("gram").alias("met"), F.max("set_id").alias("key"))
-
     # without a rare n-gram in common, all that is shared is frequent
-    plain = meetings("and " + _possible("n", "l_n", "rare", "l_rare", "0", num, den)).where(F.col("met") >= _need("na", "nb"))
-    other = meetings("").join(few, ["a", "b"], "left").withColumn("h", F.col("met") + F.coalesce("hits", F.lit(0)))
-    other = other.where(
-        F.when(F.expr("ra >= 0 and rb >= 0"), F.expr(_possible("na", "nb", "ra", "rb", "h", num, den))).otherwise(
-            F.col("h") >= _need("na", "nb")
+    alike = (
+        f"m.root <> root and {den} * least(n, m.n) >= {num} * greatest(n, m.n) "
+        f"and (not frequent or {_possible('n', 'm.n', 'rare', 'm.rare', '0', num, den)})"
+    )
+    counted = "'rarely', int(not frequent), 'often', int(frequent), 'hits', 0L"
+    met = (
+        open_.join(leader, "gram")
+        .withColumn(
+            "met",
+            F.expr(
+                f"transform(filter(met, m -> {alike}), "
+                f"m -> named_struct('id', m.id, 'n', m.n, 'rare', m.rare, {counted}))"
+            ),
         )
+        .where("size(met) > 0")
+        .select("set_id", "n", "rare", "met")
+    )
+    besides = few.select(F.col("a").alias("set_id"), F.col("b").alias("l"), "hits").unionByName(
+        few.select(F.col("b").alias("set_id"), F.col("a").alias("l"), "hits")
+    )
+    besides = besides.join(chosen.select(F.col("set_id").alias("l")), "l", "left_semi").select(
+        "set_id",
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(0).cast("bigint").alias("rare"),
+        F.expr("array(named_struct('id', l, 'n', 0L, 'rare', 0L, 'rarely', 0, 'often', 0, 'hits', hits))").alias("met"),
     )
-    columns = ("a", "b", "na", "nb", "key")
-    return _once(plain.select(*columns).unionByName(other.select(*columns))), chosen
+    found = (
+        met.unionByName(besides)
+        .repartition("set_id")
+        .sortWithinPartitions("set_id")
+        .mapInArrow(_meetings(num, den), "a bigint, b bigint, na bigint, nb bigint, key bigint")
+    )
+    # two leaders meet from both sides
+    return _once(found), chosen
+
+
+def _meetings(num: int, den: int):
+    """From rows of one set after the other, each with leaders it meets: the pairs that may be similar.
+
+    Each pair is counted up and judged once, however many n-grams it shares.
+    """
+    sums = [("rarely", "sum"), ("often", "sum"), ("hits", "sum"), ("na", "max"), ("nb", "max"), ("ra", "max"), ("rb", "max")]
+    names = ["set_id", "id", *(name for name, _ in sums)]
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        done = pa.concat_tables(tables).group_by(["set_id", "id"], use_threads=False).aggregate(sums)
+        return done.select(["set_id", "id", *(f"{name}_{how}" for name, how in sums)]).rename_columns(names)
+
+    def flat(batch: pa.RecordBatch) -> pa.Table:
+        lists = batch.column("met")
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        fields = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+        set_id, n, rare = (batch.column(c).to_numpy()[owner] for c in ("set_id", "n", "rare"))
+        met = fields["rarely"].to_numpy() + fields["often"].to_numpy() > 0
+        least = np.iinfo(np.int64).min
+        # rows of hits only do not know the sets
+        sides = {"na": n, "nb": fields["n"].to_numpy(), "ra": rare, "rb": fields["rare"].to_numpy()}
+        return pa.table(
+            {
+                "set_id": set_id,
+                "id": fields["id"],
+                **{c: fields[c].cast(pa.int64()) for c in ("rarely", "often", "hits")},
+                **{c: np.where(met, x, least) for c, x in sides.items()},
+            }
+        )
+
+    def judged(t: pa.Table) -> pa.RecordBatch:
+        left, right, rarely, often, hits, na, nb, ra, rb = (t.column(c).to_numpy() for c in names)
+        need = _common(np.minimum(na, nb))
+        shared = rarely + hits
+        most = (num + den) * np.minimum(na - ra + shared, nb - rb + shared)
+        possible = np.where((ra >= 0) & (rb >= 0), most >= num * (na + nb), shared >= need)
+        keep = ((often > 0) & (often >= need)) | ((rarely > 0) & possible)
+        left, right, na, nb = (x[keep] for x in (left, right, na, nb))
+        swap = left > right
+        columns = [np.minimum(left, right), np.maximum(left, right), np.where(swap, nb, na), np.where(swap, na, nb), left]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "na", "nb", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = added([flat(batch)] if held is None else [held, flat(batch)])
+            # the last set may go on in the next batch
+            last = pc.equal(both.column("set_id"), batch.column("set_id")[-1])
+            held = both.filter(last)
+            yield judged(both.filter(pc.invert(last)))
+        if held is not None:
+            yield judged(held)
+
+    return run
 
 
 def _need(na: str, nb: str) -> Column:
