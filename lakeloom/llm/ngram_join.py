@@ -304,11 +304,29 @@ def _partial_overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b, "na": pairs.column("na"), "nb": pairs.column("nb"), "overlap": out})
 
 
+def _near_each_other(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, na, nb) with a ``key`` that those of one group of similar sets mostly share.
+
+    It is the least set that ``a`` is paired with, so that segments of a group go
+    to one task instead of one for each of its sets. Where more pairs than a task
+    takes would share it, the key is ``a``.
+    """
+    ends = pairs.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("set_id"), F.col("a").alias("other"))
+    )
+    label = ends.groupBy("set_id").agg(F.least(F.min("other"), F.col("set_id")).alias("label"), F.count_if(F.col("other") > F.col("set_id")).alias("n"))
+    sizes = label.groupBy("label").agg(F.sum("n").alias("pairs"))
+    key = F.when(F.col("pairs") <= TASK_PAIRS, F.col("label")).otherwise(F.col("set_id"))
+    keys = label.join(sizes, "label").select(F.col("set_id").alias("a"), key.alias("key"))
+    return pairs.join(keys, "a").select("a", "b", "na", "nb", "key")
+
+
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: str) -> DataFrame:
     """The pairs (a, b, na, nb, overlap) that reach the threshold; ``pairs`` is a written table of distinct ones.
 
-    Pairs are dealt to tasks by their ``key``, the end that is no leader, so that
-    its segments go to one task and only the few leaders' to many.
+    Pairs are dealt to tasks by their ``key``: of a leader's pairs the other end,
+    so that its segments go to one task and only the few leaders' to many; of
+    others one for most of a group.
     """
     buckets = max(1, -(-pairs.count() // TASK_PAIRS))
     dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).drop("key")
@@ -548,7 +566,7 @@ def near_duplicates(
     """
     num, den = similarity
     source, members, counted, blocks = _candidates(docs, id_col, text_col, words, num, den)
-    pairs = counted.where("enough").select("a", "b", "na", "nb", F.col("a").alias("key"))
+    pairs = _near_each_other(counted.where("enough").select("a", "b", "na", "nb"))
     few = counted.where("not enough").select("a", "b", "hits")
     roots = _linked(source, members, pairs, few, blocks, words, num, den)
     named = members.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
