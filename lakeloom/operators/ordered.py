@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.session import materialize
+
 BLOCK_ROWS = 1_000_000
+#: Bits of a value that one pass of ``rank_select`` counts by; 64 is a multiple.
+DIGIT = 16
 
 # Weights of the cost estimate.
 ALPHA_RISE = 0.5
@@ -192,23 +195,11 @@ def asym_ewma(
     )
 
 
-def value_splits(df: DataFrame, value: str, block_rows: int = 1_000_000) -> list[float]:
-    """Split points that cut the column into 64 to 8192 blocks of about ``block_rows`` rows.
-
-    They only balance work: results never depend on how exact they are.
-    """
-
-    def splits(blocks: int):
-        fractions = [i / blocks for i in range(1, blocks)]
-        accuracy = max(10_000, 10 * blocks)
-        return df.agg(
-            F.count(value), F.percentile_approx(value, fractions, accuracy)
-        ).first()
-
-    rows, found = splits(64)
-    if rows > 64 * block_rows:
-        _, found = splits(min(8192, rows // block_rows))
-    return [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
+def sortable_bits(value: Column) -> Column:
+    """A bigint that orders as Spark orders the double ``value``: 0.0 equals -0.0, NaN is the largest."""
+    plain = F.when(value.isNull() | (value == 0), F.lit(0.0)).otherwise(value)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
 
 def rank_select(
@@ -221,57 +212,58 @@ def rank_select(
     """Exact order statistics per key: (keys, n, one column per rank).
 
     ``ranks`` maps an output name to its 0-based rank, given the group size.
-    Rows are first counted per (key, block of the value range). A key with a
-    third of the rows spreads over a third of the blocks, and only the blocks
-    that hold a wanted rank are read a second time and ordered.
+    A null value does not count; NaN does, as the largest. A key without values
+    has no row.
+
+    Rows are counted by the first ``DIGIT`` bits of their sortable form, which
+    says what block of a key holds a wanted rank. Blocks of more than
+    ``block_rows`` rows are counted again by the next bits, rows of other blocks
+    no more, so after at most four passes a block is small or of one value. Only
+    the rows of blocks that hold a rank are ordered in the end.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    splits = value_splits(rows, "_v", block_rows)
-    rows = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(rows)
-    per_key = Window.partitionBy(*keys)
-    counted = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    placed = counted.withColumns(
-        {
-            "_before": F.sum("_c").over(per_key.orderBy("_b")) - F.col("_c"),
-            "_n": F.sum("_c").over(per_key),
-        }
-    )
+    number = F.col(value).cast("double")
+    rows = df.where(number.isNotNull()).select(*keys, number.alias("_v"))
+    rows = rows.withColumn("_u", sortable_bits(F.col("_v")))
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank"))
             for name, rank in ranks.items()
         ]
     )
-    here = F.filter(
-        wanted,
-        lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_c")),
-    )
-    targets = (
-        placed.withColumn("_want", here)
-        .where(F.size("_want") > 0)
-        .select(*keys, "_b", "_before", "_n", "_want")
-    )
+    targets, shift = None, 64
+    while shift > 0:
+        shift -= DIGIT
+        inside, block = rows, keys
+        if targets is not None:
+            inside, block = _of_blocks(rows, targets, keys, shift + DIGIT), [*keys, "_b", "_n", "_before", "_want"]
+        digit = F.shiftright("_u", shift)
+        counted = inside.groupBy(*block, digit.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        per_block = Window.partitionBy(*block)
+        placed = counted.withColumn("_past", F.sum("_c").over(per_block.orderBy("_d")) - F.col("_c"))
+        if targets is None:
+            placed = placed.withColumn("_n", F.sum("_c").over(per_block)).withColumns(
+                {"_want": wanted, "_before": F.lit(0).cast("bigint")}
+            )
+        start = F.col("_start")
+        here = F.filter("_want", lambda w: (w["rank"] >= start) & (w["rank"] < start + F.col("_c")))
+        found = placed.withColumn("_start", F.col("_before") + F.col("_past")).withColumn("_here", here)
+        found = found.where(F.size("_here") > 0).select(
+            *keys, F.col("_d").alias("_b"), "_n", start.alias("_before"), "_c", F.col("_here").alias("_want")
+        )
+        targets = materialize(found, "blocks_of_ranks")
+        if (targets.agg(F.max("_c")).first()[0] or 0) <= block_rows:
+            break
     # Equal values are counted before they are ordered.
-    values = (
-        rows.join(targets, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_before", "_n", "_want", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    block = [*keys, "_b", "_n", "_before", "_want"]
+    values = _of_blocks(rows, targets, keys, shift).groupBy(*block, "_u").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v")
     )
-    in_block = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ends = F.col("_before") + F.sum("_c").over(in_block)
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_u"))
+    hits = F.filter("_want", lambda w: (w["rank"] < F.col("_end")) & (w["rank"] >= F.col("_end") - F.col("_c")))
     picked = (
-        values.withColumn("_end", ends)
-        .withColumn(
-            "_hit",
-            F.explode(
-                F.filter(
-                    "_want",
-                    lambda w: (w["rank"] < F.col("_end"))
-                    & (w["rank"] >= F.col("_end") - F.col("_c")),
-                )
-            ),
-        )
+        values.withColumn("_end", end)
+        .withColumn("_hit", F.explode(hits))
         .select(*keys, "_n", F.col("_hit.name").alias("_name"), "_v")
     )
     return picked.groupBy(*keys).agg(
@@ -280,6 +272,15 @@ def rank_select(
     )
 
 
+def _of_blocks(rows: DataFrame, targets: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    """The rows whose key and bits above ``shift`` name a block of ``targets``; null keys are keys."""
+    at = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b", "_n", "_before", "_want")
+    same = F.shiftright("_u", shift) == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(at, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def interpolated(df: DataFrame, out: str, fraction: float, lower: str, upper: str) -> DataFrame:
     """Linear interpolation at rank ``fraction * (n - 1)`` between two order statistics."""
     rank = F.lit(fraction) * (F.col("n") - 1)

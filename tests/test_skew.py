@@ -115,6 +115,21 @@ def test_rank_select_constant_and_empty(spark):
     assert W.rank_select(df.where("false"), ["k"], "v", {"m": lambda n: F.lit(0)}).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [1, 1_000_000])
+def test_rank_select_orders_every_double(spark, block_rows):
+    """Signs, subnormal and infinite values, NaN as the largest, equal zeros, close neighbours, null keys."""
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52, -1.0, 0.1]
+    data = [(k, v) for k in ("a", None) for v in values] + [("n", float("nan")), ("n", 1.0), ("n", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    picks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in range(len(values))}
+    got = {r["k"]: r for r in W.rank_select(df, ["k"], "v", picks, block_rows).collect()}
+    for key in ("a", None):
+        assert got[key]["n"] == len(values)
+        assert [got[key][name] for name in picks] == sorted(values)
+    assert (got["n"]["n"], got["n"]["r0"], got["n"]["r2"]) == (2, 1.0, None)
+    assert got["n"]["r1"] != got["n"]["r1"]
+
+
 def test_overlap_skips_across_blocks(spark):
     rng = random.Random(5)
     runs = [("j", s, s + rng.randint(1, 80)) for s in sorted(rng.sample(range(1000), 60))]
