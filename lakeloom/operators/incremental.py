@@ -88,16 +88,21 @@ def run_fingerprint(steps: DataFrame, pairs: DataFrame, step: str, upstream: str
     )
 
 
-def upstream_hashes(steps: DataFrame, edges: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Upstream run hash of each step and edge: (step, partition, upstream, match, run_hash).
+def upstream_hashes(
+    steps: DataFrame, edges: DataFrame, hashes: DataFrame, fan_in: str = "token"
+) -> DataFrame:
+    """Upstream run hashes of each step and edge: (step, partition, upstream, match, run_hash).
 
     For each edge the unpartitioned upstream is used if it exists, else the
     upstream's partition of the same name, else all of its partitions (fan-in).
-    A fan-in is one row with one token of the set of all their hashes (see
-    :func:`gather_upstream`), computed once for each upstream however many steps
-    read it, so there are never more rows than edges. ``hashes`` is (base_id,
-    partition, run_hash) with a null partition for an unpartitioned node.
+    With ``fan_in`` rows, a fan-in is one row for each of their hashes. With token,
+    it is one row with one token of the set of them all (see :func:`gather_upstream`),
+    computed once for each upstream however many steps read it, so there are never
+    more rows than edges. ``hashes`` is (base_id, partition, run_hash) with a null
+    partition for an unpartitioned node.
     """
+    if fan_in not in ("token", "rows"):
+        raise ValueError(f"fan_in is token or rows, not {fan_in!r}")
     need = steps.select("step", "partition").join(
         edges.select(F.col("downstream").alias("step"), "upstream"), "step"
     )
@@ -111,15 +116,18 @@ def upstream_hashes(steps: DataFrame, edges: DataFrame, hashes: DataFrame) -> Da
     exact = need.join(whole, "upstream").withColumn("match", F.lit("exact"))
     rest = need.join(whole, "upstream", "left_anti")
     aligned = rest.join(parts, ["upstream", "partition"]).withColumn("match", F.lit("aligned"))
-    sets = gather_upstream(parts, "upstream", "run_hash").select(
-        "upstream", F.element_at("upstream_ids", 1).alias("run_hash")
-    )
-    fan_in = (
+    if fan_in == "rows":
+        sets = parts.select("upstream", "run_hash")
+    else:
+        sets = gather_upstream(parts, "upstream", "run_hash").select(
+            "upstream", F.element_at("upstream_ids", 1).alias("run_hash")
+        )
+    whole_sets = (
         rest.join(parts, ["upstream", "partition"], "left_anti")
         .join(sets, "upstream")
         .withColumn("match", F.lit("fan_in"))
     )
-    return exact.select(out).unionByName(aligned.select(out)).unionByName(fan_in.select(out))
+    return exact.select(out).unionByName(aligned.select(out)).unionByName(whole_sets.select(out))
 
 
 def cache_lookup(steps: DataFrame, log: DataFrame) -> DataFrame:

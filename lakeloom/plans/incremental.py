@@ -116,12 +116,10 @@ SQL_HASHES = """
             AND h.partition IS NULL),
     a AS (SELECT e.*, 'aligned' AS match, run_hash FROM e JOIN h ON h.base_id = upstream
             AND h.partition = e.partition),
-    k AS (SELECT base_id, sha256(count(*) || '-' || sum(('0x' || d[1:15])::BIGINT) || '-' || sum(('0x' || d[16:30])::BIGINT)
-                   || '-' || sum(('0x' || d[31:45])::BIGINT) || '-' || sum(('0x' || d[46:60])::BIGINT)) AS run_hash
-          FROM (SELECT base_id, sha256(run_hash) AS d FROM h WHERE partition IS NOT NULL) GROUP BY base_id),
-    f AS (SELECT e.*, 'fan_in' AS match, run_hash FROM e JOIN k ON k.base_id = upstream
-            WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.base_id = e.upstream
-                              AND g.partition = e.partition))"""
+    f AS (SELECT e.*, 'fan_in' AS match, run_hash FROM e JOIN h ON h.base_id = upstream
+            WHERE h.partition IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM h g WHERE g.base_id = e.upstream
+                            AND g.partition = e.partition))"""
 
 
 @query(
@@ -152,7 +150,7 @@ def _(t):
         key.alias("base_id"), F.col("seg").alias("partition"), hashed("q", F.col("seg")).alias("run_hash")
     )
     steps = customers.select(key.alias("step"), F.col("c_mktsegment").alias("partition"))
-    return I.upstream_hashes(steps, t.v_edges, whole.unionByName(full).unionByName(some))
+    return I.upstream_hashes(steps, t.v_edges, whole.unionByName(full).unionByName(some), fan_in="rows")
 
 
 @query(

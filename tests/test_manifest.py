@@ -180,3 +180,18 @@ def test_a_fan_in_is_one_row_an_edge(spark):
     again = I.upstream_hashes(steps, edges, frame(parts[::-1])).first().run_hash
     other = I.upstream_hashes(steps, edges, frame([*parts[:-1], ("up", "p299", "changed")])).first().run_hash
     assert again == got[0].run_hash != other
+
+
+def test_a_fan_in_of_rows_has_every_hash(spark, sf):
+    steps = spark.createDataFrame([(f"s{k}", "x") for k in range(3)], "step string, partition string")
+    edges = spark.createDataFrame([(f"s{k}", "up") for k in range(3)], "downstream string, upstream string")
+    parts = spark.createDataFrame([("up", f"p{k}", f"hash{k}") for k in range(40)], "base_id string, partition string, run_hash string")
+    got = rows(I.upstream_hashes(steps, edges, parts, fan_in="rows"), "step", "run_hash")
+    assert got == sorted((f"s{s}", f"hash{k}") for s in range(3) for k in range(40))
+    # the query lists the hashes too: 4 partitions and more of some upstreams
+    import __spark_entry__ as entry
+
+    wide = entry.queries()["upstream_hashes"](spark, sf).where("match = 'fan_in'")
+    assert wide.groupBy("step", "upstream").agg(F.count_distinct("run_hash").alias("n")).agg(F.max("n")).first()[0] > 1
+    with pytest.raises(ValueError):
+        I.upstream_hashes(steps, edges, parts, fan_in="all")
