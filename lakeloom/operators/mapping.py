@@ -2,9 +2,10 @@
 
 A function of whole keys gets each key in exactly one call, however many rows
 it has (``map_by_key``, ``map_aligned``); ``map_aligned_batches`` hands a side of
-any length over batch by batch. A function of parts gets a declared
-number of slices of every key, and a second aggregation merges what it returns
-(``collect_udaf``), so one hot key never lands in one task whole.
+any length over batch by batch. A function of parts gets two slices of every key
+and more of a large one, up to a declared number, and a second aggregation merges
+what it returns (``collect_udaf``), so one hot key never lands in one task whole.
+A function returns a frame or, much cheaper for few rows, a dict of columns.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import queue
 import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import chain, groupby
-from operator import itemgetter
+from operator import and_, itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,28 +29,53 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lakeloom.operators.sets import union_branches
-from lakeloom.session import shuffle_partitions
+from lakeloom.session import materialize, shuffle_partitions
 
 OUTCOME = "idx bigint, ok boolean, value string, error string, attempts int"
-#: Parts of every key that a partial function sees.
-SLICES = 64
+#: Most parts of a key that a partial function sees, and rows that are a part of their own.
+SLICES, SLICE_ROWS = 64, 10_000
+
+#: What a user function returns: a frame, or a dict of columns, which costs far less for few rows.
+Result = pd.DataFrame | Mapping[str, Sequence]
+
+
+def _length(result: Result) -> int:
+    return len(result) if isinstance(result, pd.DataFrame) else max(map(len, result.values()), default=0)
+
+
+def _stacked(results: Sequence[Result], names: Sequence[str]) -> pd.DataFrame:
+    """Results of one row and more one below the other."""
+    if all(isinstance(r, pd.DataFrame) for r in results):
+        return pd.concat(results, ignore_index=True)[names]
+    columns = {}
+    for name in names:
+        values = [r[name] for r in results]
+        if all(isinstance(v, np.ndarray) for v in values):
+            columns[name] = np.concatenate(values)
+        else:
+            # as objects, so that integers beside nulls stay integers
+            columns[name] = pd.Series(list(chain.from_iterable(values)), dtype=object)
+    return pd.DataFrame(columns)
 
 
 def _by_group(
     df: DataFrame,
     group: Sequence[str],
-    call: Callable[[tuple, pd.DataFrame], pd.DataFrame],
+    columns: Sequence[str],
+    call: Callable[[tuple, pd.DataFrame], Result],
     schema: StructType | str,
 ) -> DataFrame:
-    """``call(group_key, rows)`` per group, many groups to an Arrow batch.
+    """``call(group_key, rows)`` per group, rows as ``columns``, many groups to an Arrow batch.
 
     Groups arrive sorted, so a group ends where the key changes; only the last
     group of a batch is held back until its end is seen. This costs far less per
     group than one Arrow stream each. The partition count is explicit, because
     few bytes may still be much Python work and must not be merged into one task.
     """
-    group = list(group)
+    group, columns = list(group), list(columns)
     parts = shuffle_partitions(df.sparkSession)
+    out_schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = out_schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -71,25 +98,26 @@ def _by_group(
                 starts = [0, *starts]
             keys = keys_at(pdf, starts)
             ends = [*starts[1:], len(pdf)]
+            body = pdf[columns]
             out = []
             for key, lo, hi in zip(keys, starts, ends, strict=True):
                 if held and key != held_key:
                     out.append(call(held_key, joined(held)))
                     held = []
                 held_key = key
-                held.append(pdf.iloc[lo:hi])
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if held:
-            yield call(held_key, joined(held))
+                held.append(body.iloc[lo:hi])
+            if out := [r for r in out if _length(r)]:
+                yield _stacked(out, names)
+        if held and _length(last := call(held_key, joined(held))):
+            yield _stacked([last], names)
 
-    return df.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
+    return df.repartition(parts, *group).sortWithinPartitions(*group).mapInPandas(run, out_schema)
 
 
 def map_by_key(
     df: DataFrame,
     keys: Sequence[str],
-    fn: Callable[[tuple, pd.DataFrame], pd.DataFrame],
+    fn: Callable[[tuple, pd.DataFrame], Result],
     schema: StructType | str,
 ) -> DataFrame:
     """``fn(key, rows)`` for every partition key, exactly one call per key at every size.
@@ -97,8 +125,7 @@ def map_by_key(
     The largest key has to fit one task's memory; a function whose partial
     results can be merged belongs in :func:`collect_udaf`.
     """
-    columns = df.columns
-    return _by_group(df, keys, lambda group, pdf: fn(group, pdf[columns]), schema)
+    return _by_group(df, keys, df.columns, fn, schema)
 
 
 def _plain_key(values: Sequence[object]) -> tuple:
@@ -129,15 +156,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tup
             yield _plain_key(key), left, rows
 
 
-def _packed(frames: Iterator[pd.DataFrame], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """Frames of any size as batches of ``size`` rows or somewhat more."""
+def _packed(results: Iterator[Result], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Results of any size as batches of ``size`` rows or somewhat more."""
     held, n = [], 0
-    for frame in chain(frames, [None]):
-        if frame is not None and len(frame):
-            held.append(frame[schema.names])
-            n += len(frame)
-        if held and (frame is None or n >= size):
-            yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), schema, preserve_index=False)
+    for result in chain(results, [None]):
+        if result is not None and (rows := _length(result)):
+            held.append(result)
+            n += rows
+        if held and (result is None or n >= size):
+            yield pa.RecordBatch.from_pandas(_stacked(held, schema.names), schema, preserve_index=False)
             held, n = [], 0
 
 
@@ -151,7 +178,7 @@ def _aligned(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    call: Callable[[tuple, pd.DataFrame, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    call: Callable[[tuple, pd.DataFrame, Iterator[pd.DataFrame]], Iterator[Result]],
     schema: StructType | str,
     how: str,
 ) -> DataFrame:
@@ -180,7 +207,7 @@ def _aligned(
     arrow_out = to_arrow_schema(out_schema)
     empty = to_arrow_schema(right.schema).empty_table().to_pandas()
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[Result]:
         for key, group in groupby(_pieces(batches, len(keys)), key=itemgetter(0)):
             other, first = [], []
             for _, is_left, rows in group:
@@ -204,7 +231,7 @@ def map_aligned(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], Result],
     schema: StructType | str,
     how: str = "left",
 ) -> DataFrame:
@@ -217,7 +244,7 @@ def map_aligned(
     """
     none = to_arrow_schema(left.schema).empty_table().to_pandas()
 
-    def call(key: tuple, other: pd.DataFrame, ours: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(key: tuple, other: pd.DataFrame, ours: Iterator[pd.DataFrame]) -> Iterator[Result]:
         yield fn(key, _joined(list(ours), none), other)
 
     return _aligned(left, right, keys, call, schema, how)
@@ -227,7 +254,7 @@ def map_aligned_batches(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    fn: Callable[[tuple, Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]],
+    fn: Callable[[tuple, Iterator[pd.DataFrame], pd.DataFrame], Iterator[Result]],
     schema: StructType | str,
     how: str = "left",
 ) -> DataFrame:
@@ -371,7 +398,7 @@ def split_outcomes(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 def collect_udaf(
     df: DataFrame,
     keys: Sequence[str],
-    partial: Callable[[tuple, pd.DataFrame], pd.DataFrame],
+    partial: Callable[[tuple, pd.DataFrame], Result],
     partial_schema: StructType | str,
     merge: Mapping[str, Column],
     slices: int = SLICES,
@@ -379,19 +406,27 @@ def collect_udaf(
 ) -> DataFrame:
     """User aggregate over all partition values of a parent.
 
-    Every parent, however small, is cut into up to ``slices`` slices by a hash
-    of ``slice_by`` (all columns by default). ``partial`` turns a slice into
-    partial results; ``merge`` names the aggregate columns that combine them and
-    may not be empty.
+    Every parent, however small, is cut into two slices by a hash of ``slice_by`` (all
+    columns by default), a parent of more rows into one for each ``SLICE_ROWS`` rows, up
+    to ``slices``. Rows of the large parents are counted beforehand. ``partial`` turns a
+    slice into partial results; ``merge`` names the aggregate columns that combine
+    them and may not be empty.
     """
     if not merge:
         raise ValueError("slices of a key need columns that merge them")
-    place = F.pmod(F.xxhash64(*(slice_by or df.columns)), F.lit(slices)).cast("bigint")
     columns, width = df.columns, len(keys)
+    names = [f"_key_{i}" for i in range(width)]
+    # at most rows / 2 * SLICE_ROWS keys, so the written table is tiny beside the data
+    counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_rows"))
+    large = materialize(counted.where(F.col("_rows") > 2 * SLICE_ROWS), "large")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    wanted = F.greatest(F.lit(2), F.ceil(F.coalesce("_rows", F.lit(0)) / SLICE_ROWS))
+    place = F.pmod(F.xxhash64(*(slice_by or columns)), F.least(F.lit(slices), wanted)).cast("bigint")
     parts = _by_group(
-        df.withColumn("_slice", place),
+        df.join(large, same, "left").select(*columns, place.alias("_slice")),
         [*keys, "_slice"],
-        lambda group, pdf: partial(group[:width], pdf[columns]),
+        columns,
+        lambda group, pdf: partial(group[:width], pdf),
         partial_schema,
     )
     return parts.groupBy(*keys).agg(*[c.alias(name) for name, c in merge.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -239,17 +240,14 @@ def _(t):
 
 
 def order_spread(key, pdf):
-    import pandas as pd
-
-    price = pdf["o_totalprice"]
-    return pd.DataFrame(
-        {
-            "o_custkey": [key[0]],
-            "n": [len(price)],
-            "low": [float(price.min())],
-            "high": [float(price.max())],
-        }
-    )
+    price = pdf["o_totalprice"].to_numpy()
+    # as pandas has it, a price that is not a number is none
+    return {
+        "o_custkey": [key[0]],
+        "n": [len(price)],
+        "low": [np.fmin.reduce(price)],
+        "high": [np.fmax.reduce(price)],
+    }
 
 
 @query(

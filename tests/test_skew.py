@@ -361,3 +361,39 @@ def test_step_ids_keep_blanks_and_the_last_of_a_name(spark):
     df = spark.createDataFrame([("b[a=1,c=x ]",), ("b[a=1,a=2,c=3]",)], "t string")
     got = [r[0]["keys"] for r in df.select(G.parse_step_id(F.col("t"))).collect()]
     assert got == [{"a": "1", "c": "x "}, {"a": "2", "c": "3"}]
+
+
+def test_small_keys_get_two_calls_and_large_ones_more(spark, monkeypatch):
+    """Keys of 40 rows had up to 40 calls each; a large null key is spread like any other."""
+    monkeypatch.setattr(X, "SLICE_ROWS", 1000)
+    df = spark.range(400).select(F.col("id").alias("k") % 10, F.col("id").alias("x")).toDF("k", "x")
+    df = df.unionByName(spark.range(30_000).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("x")))
+
+    def size(key, pdf):
+        assert list(pdf.columns) == ["k", "x"]
+        return {"k": [key[0]], "n": [len(pdf)], "total": [pdf["x"].sum()]}
+
+    merge = {"calls": F.count(F.lit(1)), "n": F.sum("n"), "total": F.sum("total"), "most": F.max("n")}
+    got = {r.k: r for r in X.collect_udaf(df, ["k"], size, "k bigint, n bigint, total bigint", merge).collect()}
+    assert len(got) == 11 and all(got[k].n == 40 and 1 < got[k].calls <= 2 for k in range(10))
+    assert all(got[k].total == sum(range(k, 400, 10)) for k in range(10))
+    null = got[None]
+    assert null.n == 30_000 and null.total == sum(range(30_000)) and null.calls == 30 and null.most < 2000
+
+
+def test_functions_return_frames_or_columns(spark):
+    big = 2**53 + 1
+    data = [(k, big + i, None if i == 1 else float(i)) for k in "abc" for i in range(3)]
+    df = spark.createDataFrame(data, "k string, x bigint, y double")
+
+    def plain(key, pdf, other=None):
+        if key[0] == "a":
+            return {"y": [], "k": [], "x": []}  # no rows
+        if key[0] == "b":
+            return pdf[["y", "x", "k"]]
+        return {"y": pdf["y"].to_numpy(), "k": ["c", None, "c"], "x": [None, *pdf["x"].iloc[1:]]}
+
+    want = sorted([r for r in data if r[0] == "b"] + [("c", None, 0.0), (None, big + 1, None), ("c", big + 2, 2.0)], key=repr)
+    schema = "k string, x bigint, y double"
+    assert rows(X.map_by_key(df.repartition(1), ["k"], plain, schema)) == want
+    assert rows(X.map_aligned(df, df.select("k"), ["k"], plain, schema)) == want
