@@ -49,11 +49,15 @@ def _(t):
 )
 def _(t):
     def enrich(key, orders, customers):
-        tier = customers["c_mktsegment"].iloc[0].upper() if len(customers) else None
-        out = orders[["o_orderkey", "o_custkey"]].copy()
-        out["tier"] = tier
-        out["cents"] = (orders["o_totalprice"] * 100).round().astype("int64")
-        return out
+        tier = customers["c_mktsegment"].iat[0].upper() if len(customers) else None
+        cents = (orders["o_totalprice"].to_numpy() * 100).round()
+        whole = np.isfinite(cents).all()
+        return {
+            "o_orderkey": orders["o_orderkey"].to_numpy(),
+            "o_custkey": orders["o_custkey"].to_numpy(),
+            "tier": [tier] * len(orders),
+            "cents": cents.astype("int64") if whole else [None if np.isnan(c) else int(c) for c in cents],
+        }
 
     out = X.map_aligned(
         t.orders.select(
