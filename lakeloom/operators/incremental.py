@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -265,20 +266,21 @@ def refresh_eligibility(
     node waits for an explicit request, which is a window that never opens.
     """
 
+    names = ["_stale", "_waiting", "_blocked"]
+
     def mark(df: DataFrame, name: str) -> DataFrame:
-        return df.select("node_id").distinct().withColumn(name, F.lit(True))
+        return df.select("node_id", *[F.lit(n == name).alias(n) for n in names])
 
-    flagged = (
-        nodes.join(mark(stale, "_stale"), "node_id", "left")
-        .join(mark(waiting, "_waiting"), "node_id", "left")
-        .join(mark(blocked, "_blocked"), "node_id", "left")
-    )
+    marks = reduce(DataFrame.unionByName, map(mark, (stale, waiting, blocked), names))
+    marks = marks.groupBy("node_id").agg(*[F.max(n).alias(n) for n in names])
+    # one join of all marks, merged: they can be as many as the nodes, too many for the driver
+    flagged = nodes.join(marks.hint("merge"), "node_id", "left")
     closed = (F.col("freshness") == "manual") | (
         (F.col("freshness") == "schedule") & ~F.col("window_open")
     )
     state = (
         F.when(~F.col("active"), "historical")
-        .when(F.col("_stale").isNull(), "fresh")
+        .when(~F.coalesce("_stale", F.lit(False)), "fresh")
         .when(F.col("_waiting") | F.col("_blocked"), "stale_waiting_for_upstream")
         .when(closed, "stale_waiting_for_schedule")
         .otherwise("runnable_stale")

@@ -9,11 +9,14 @@ the depth. The walk goes on over the heads and condenses again if that is still
 deep; a chain or a ladder of diamonds is gone after that, however long.
 
 Every step writes its rows to a scratch table, so plans stay small and a lost
-executor costs one step; nothing but counts reaches the driver.
+executor costs one step. Joins of large graphs are sorted and merged, not broadcast,
+so nothing but counts and small sides reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,18 @@ from lakeloom.session import materialize, scratch_path, write_table
 HOPS, JOBS = 5, 5
 #: Layers that are peeled before what is left is condensed.
 LAYERS = 24
+#: Hops of a graph that is not broadcast any more.
+LARGE = 200_000
+
+
+def _side(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How joins take a side that comes from a written ``table``: never broadcast if that is large.
+
+    A file of node numbers is many times smaller than its rows in memory, and the
+    optimizer sees the file. Every broadcast passes through the driver.
+    """
+    large = table.count() > LARGE
+    return lambda df: df.hint("merge") if large else df
 
 
 def _hops(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -40,14 +55,14 @@ def _heads(single: DataFrame) -> DataFrame:
     and null ``steps``; their ``hit`` has gone round the cycle.
     """
     ways = materialize(single.withColumn("done", F.lit(False)), "ways")
-    most, length = ways.count(), 1
+    most, length, side = ways.count(), 1, _side(ways)
 
     def doubled(ways: DataFrame) -> DataFrame:
         above = ways.select(
             F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"),
             F.col("steps").alias("_steps"), F.col("done").alias("_done"),
         )
-        return ways.join(above, "up", "left").select(
+        return ways.join(side(above), "up", "left").select(
             "node_id",
             F.coalesce("_up", "up").alias("up"),
             (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit"),
@@ -61,7 +76,9 @@ def _heads(single: DataFrame) -> DataFrame:
     return ways.select("node_id", F.col("up").alias("head"), "hit", F.when(F.col("done"), F.col("steps")).alias("steps"))
 
 
-def _levels(hops: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _levels(
+    hops: DataFrame, seeds: DataFrame, side: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame | None]:
     """Nodes found from ``seeds`` by walking level by level, and those to go on from, or None at the end."""
     spark = hops.sparkSession
     root, paths = scratch_path(spark, "reached"), []
@@ -74,38 +91,42 @@ def _levels(hops: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame | N
         found, every = level, None
         for _ in range(HOPS):
             # each hop is taken once at most, so rows that repeat need no shuffle before the last step
-            found = hops.join(found, "node_id", "left_semi").select(F.col("next").alias("node_id"))
+            found = hops.join(side(found), "node_id", "left_semi").select(F.col("next").alias("node_id"))
             every = found if every is None else every.unionByName(found)
         seen = spark.read.schema(seeds.schema).parquet(*paths)
-        frontier = every.distinct().join(seen, "node_id", "left_anti")
+        frontier = every.distinct().join(side(seen), "node_id", "left_anti")
     return seen, materialize(frontier, "frontier")
 
 
 def _reach(hops: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from ``seeds`` (node_id, distinct) over distinct ``hops``, seeds included."""
     hops = materialize(hops, "hops")
-    seen, frontier = _levels(hops, seeds)
+    side = _side(hops)
+    seen, frontier = _levels(hops, seeds, side)
     if frontier is None:
         return seen
-    beyond = hops.join(seen, "node_id", "left_anti").join(seen.select(F.col("node_id").alias("next")), "next", "left_anti")
+    beyond = hops.join(side(seen), "node_id", "left_anti").join(
+        side(seen.select(F.col("node_id").alias("next"))), "next", "left_anti"
+    )
     return materialize(seen.unionByName(_condensed(beyond.select("node_id", "next"), frontier)), "reached")
 
 
 def _condensed(hops: DataFrame, seeds: DataFrame) -> DataFrame:
     """As :func:`_reach`, by way of the heads of all nodes that one other leads to."""
     hops = materialize(hops, "hops")
+    side = _side(hops)
     into = hops.groupBy(F.col("next").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("up"))
     marks = seeds.withColumn("hit", F.lit(True))
-    single = into.where("n = 1").join(marks, "node_id", "left").select(
+    single = into.where("n = 1").join(side(marks), "node_id", "left").select(
         "node_id", "up", F.coalesce("hit", F.lit(False)).alias("hit"), F.lit(1).cast("bigint").alias("steps")
     )
     ways = _heads(single)
     # what leads to a node of several ways starts at a head, or is known to be reached
-    joint = hops.join(ways.select(F.col("node_id").alias("next")), "next", "left_anti").join(ways, "node_id", "left")
+    joint = hops.join(side(ways.select(F.col("node_id").alias("next"))), "next", "left_anti").join(side(ways), "node_id", "left")
     joint = materialize(joint.select(F.coalesce("head", "node_id").alias("node_id"), "next", "hit").distinct(), "joint")
-    sure = seeds.join(ways, "node_id", "left_anti").unionByName(joint.where("hit").select(F.col("next").alias("node_id")))
+    sure = seeds.join(side(ways), "node_id", "left_anti").unionByName(joint.where("hit").select(F.col("next").alias("node_id")))
     heads = _reach(joint.select("node_id", "next").where("node_id <> next").distinct(), sure.distinct())
-    below = ways.join(heads.select(F.col("node_id").alias("head"), F.lit(True).alias("_in")), "head", "left")
+    below = ways.join(side(heads.select(F.col("node_id").alias("head"), F.lit(True).alias("_in"))), "head", "left")
     below = below.where("hit or _in").select("node_id")
     return heads.unionByName(below).unionByName(seeds).distinct()
 
@@ -129,7 +150,7 @@ def stale_propagation(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Stale nodes, marked ``changed`` themselves or ``inherited``."""
     stale = downstream_closure(edges, changed)
     own = changed.select("node_id").distinct().withColumn("_own", F.lit(True))
-    return stale.join(own, "node_id", "left").select(
+    return stale.join(own.hint("merge"), "node_id", "left").select(
         "node_id", F.when(F.col("_own"), "changed").otherwise("inherited").alias("cause")
     )
 
@@ -228,8 +249,8 @@ def failure_cascade(edges: DataFrame, nodes: DataFrame, failed: DataFrame) -> Da
     )
     return (
         nodes.select("node_id")
-        .join(own, "node_id", "left")
-        .join(reached, "node_id", "left")
+        .join(own.hint("merge"), "node_id", "left")
+        .join(reached.hint("merge"), "node_id", "left")
         .select("node_id", status.alias("status"))
     )
 

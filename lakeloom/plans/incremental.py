@@ -345,10 +345,10 @@ def _(t):
 
     def below(df):
         hops = edges.select(F.col("upstream").alias("node_id"), "downstream")
-        return hops.join(df, "node_id", "left_semi").select(F.col("downstream").alias("node_id"))
+        return hops.join(df.hint("merge"), "node_id", "left_semi").select(F.col("downstream").alias("node_id"))
 
     stale = L.downstream_closure(edges, changed)
-    manual = stale.join(nodes.where("freshness = 'manual'"), "node_id", "left_semi")
+    manual = stale.join(nodes.where("freshness = 'manual'").hint("merge"), "node_id", "left_semi")
     blocked = below(L.downstream_closure(edges, manual))
     return I.refresh_eligibility(nodes, stale, below(stale), blocked)
 

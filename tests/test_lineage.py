@@ -169,3 +169,34 @@ def test_empty_graph(spark):
     assert L.topo_level(empty, names(spark, "x").where(F.lit(False))).count() == 0
     assert rows(L.topo_level(empty, names(spark, "x"))) == [("x", 0)]
     assert L.validate_edges(spark.createDataFrame([], "node_id string, kind string"), empty).count() == 0
+
+
+def test_large_walks_and_marks_are_not_broadcast(spark, monkeypatch):
+    """Small files of many nodes were broadcast by way of the driver at every hop."""
+    from lakeloom.operators import incremental as I
+    from lakeloom.session import materialize
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    write = L.write_table
+    monkeypatch.setattr(L, "write_table", lambda df, path: plans.append(plan(df)) or write(df, path))
+    edges = materialize(spark.range(1, 300).select((F.col("id") - 1).alias("upstream"), F.col("id").alias("downstream")), "edges")
+    seeds = spark.createDataFrame([(100,), (250,)], "node_id bigint")
+    want = [(i,) for i in range(100, 300)]
+    for large in (10**6, -1):
+        monkeypatch.setattr(L, "LARGE", large)
+        plans.clear()
+        assert sorted(tuple(r) for r in L.downstream_closure(edges, seeds).collect()) == want
+        # a row a level: the first level is the seeds, the others join
+        assert len(plans) > 1 and any("BroadcastHashJoin" in p for p in plans) == (large > 0)
+    nodes = materialize(
+        spark.range(6).select(F.col("id").alias("node_id"), (F.col("id") > 0).alias("active"), F.lit("always").alias("freshness"), F.lit(True).alias("window_open")),
+        "nodes",
+    )
+    some = lambda *ids: materialize(spark.createDataFrame([(i,) for i in ids], "node_id bigint"), "some")
+    got = I.refresh_eligibility(nodes, some(0, 1, 2, 3, 3), some(2, 5), some(3))
+    assert "Broadcast" not in plan(got)
+    waiting = "stale_waiting_for_upstream"
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, "historical"), (1, "runnable_stale"), (2, waiting), (3, waiting), (4, "fresh"), (5, "fresh")
+    ]
