@@ -43,6 +43,8 @@ BLOCK = 64
 LEADERS, LEADERS_GROW = 4, 64
 #: Leaders of an n-gram that lie in one row, about.
 LEADER_ROW = 64
+#: Rounds in which a set's overlap with one other is counted, before all pairs left are.
+SPARSE = 3
 #: Sets of one n-gram on each side of a tile, when all of them are compared.
 TILE = 256
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
@@ -582,7 +584,7 @@ def near_duplicates(
     )
 
 
-def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int, number: int) -> DataFrame:
+def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int, number: int | str) -> DataFrame:
     """The pairs that reach the threshold, by the texts of the sets they name."""
     rows = members.where("n > 0").groupBy("set_id").agg(F.min("row").alias("_row_"))
     sets = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
@@ -594,18 +596,58 @@ def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int,
     return _verify(pairs, segments, num, den, f"links{number}")
 
 
+def _least_others(pairs: DataFrame, label: str) -> DataFrame:
+    """Of each set's pairs the one with the least other set, written."""
+    least = (
+        pairs.select(F.col("a").alias("set_id"), F.col("b").alias("other"))
+        .unionByName(pairs.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+        .groupBy("set_id")
+        .agg(F.min("other").alias("other"))
+    )
+    ends = least.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+    return materialize(pairs.join(ends, ["a", "b"], "left_semi"), f"first{label}")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of two components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    return pairs.where("coalesce(_a, a) <> coalesce(_b, b)").drop("_a", "_b")
+
+
 def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
     """(id, root) of the sets that have links."""
 
-    def verified(pairs: DataFrame, number: int) -> DataFrame:
-        return _verified(source, members, pairs, words, num, den, number).select("a", "b")
+    def settled(pairs: DataFrame, roots: DataFrame | None, number: int) -> tuple[DataFrame, bool]:
+        """Roots after the links among ``pairs``, a written table, and whether there were any.
+
+        A pair within a component need not be looked at, and one link a set joins most
+        of a group. So each set meets the least other it is paired with first; of
+        what is left, the pairs between components go on to the next round.
+        """
+        grown = False
+        for step in range(SPARSE + 1):
+            label = f"{number}_{step}"
+            now = _least_others(pairs, label) if step < SPARSE else pairs
+            links = _verified(source, members, now, words, num, den, label).select("a", "b")
+            if roots is None or not links.isEmpty():
+                grown = True
+                if roots is not None:
+                    # the stars so far stand for all earlier links
+                    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)
+                roots = components(links, f"roots{label}_")
+            if step == SPARSE:
+                break
+            pairs = materialize(_between(pairs.join(now.select("a", "b"), ["a", "b"], "left_anti"), roots), f"left{label}")
+            if pairs.isEmpty():
+                break
+        return roots, grown
 
     number, count = 0, LEADERS
     blocks = blocks.withColumn("root", F.col("set_id"))
     more, leaders = _leader_pairs(blocks, few, count, num, den)
     pairs = materialize(_once(pairs.unionByName(more)), "pairs0")
-    roots = components(verified(pairs, 0), "roots0_")
-    grown = True
+    roots, grown = settled(pairs, None, 0)
     while not leaders.isEmpty():
         number, count = number + 1, count * LEADERS_GROW
         left = blocks.join(small(leaders, 8), "set_id", "left_anti")
@@ -619,12 +661,7 @@ def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
         pairs = materialize(pairs, f"pairs{number}")
         grown = False
         if not pairs.isEmpty():
-            links = verified(pairs, number)
-            grown = not links.isEmpty()
-        if grown:
-            # the stars so far stand for all earlier links
-            stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-            roots = components(stars.unionByName(links), f"roots{number}_")
+            roots, grown = settled(pairs, roots, number)
     return roots
 
 

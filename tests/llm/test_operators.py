@@ -771,3 +771,13 @@ def test_tables_of_frequent_pre_tokens_are_merged_without_a_shuffle_by_key(spark
     assert len(set(keys.tolist())) == len(keys) == len(lengths) and (lengths > 0).all()
     one = token_counts.frequent_lengths(docs.coalesce(1), model)
     assert sorted(zip(keys.tolist(), lengths.tolist())) == sorted(zip(one[0].tolist(), one[1].tolist()))
+
+
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Every set of a group met every leader, and its overlap with each was counted."""
+    rows = [(i, " ".join(f"w{j}" if j != i else f"x{i}" for j in range(200))) for i in range(60)]
+    counted, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: counted.append(pairs.count()) or verify(pairs, *rest))
+    got = ngram_join.near_duplicates(frame(spark, rows), words=3, similarity=(90, 100)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 60
+    assert sum(counted) <= 4 * 60  # of 1770 pairs
