@@ -44,7 +44,7 @@ LEADERS, LEADERS_GROW = 4, 64
 #: Leaders of an n-gram that lie in one row, about.
 LEADER_ROW = 64
 #: Rounds in which a set's overlap with one other is counted, before all pairs left are.
-SPARSE = 3
+SPARSE = 1
 #: Sets of one n-gram on each side of a tile, when all of them are compared.
 TILE = 256
 #: Prefix postings in a task that finds pairs, and pairs in a task that counts overlaps.
