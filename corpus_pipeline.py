@@ -94,9 +94,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of them and of the text they decode to."""
     _bounded(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    # written in between, so that a task has one Python worker with tables of the vocabulary at a time
-    ids = materialize(bpe.encode(docs, ranks), "ids")
-    return bpe.with_digests(bpe.decode(ids, ranks), with_ids=True)
+    return bpe.round_trip(docs, ranks, with_ids=True)
 
 
 STAGES = [

@@ -11,6 +11,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,18 +187,18 @@ class Bpe:
             place = self.cache.get(hashes[miss])
             new = miss[place == 0]
             if len(new):
-                key, first = np.unique(hashes[new], return_index=True)
-                found = [
-                    self.merge(texts.data[a:b].tobytes())
-                    for a, b in zip(starts[new[first]], ends[new[first]], strict=True)
-                ]
                 if len(self.ids) > CACHE_IDS:
                     self.forget()
                     return self.encode(texts)
+                key, first = np.unique(hashes[new], return_index=True)
+                flat, sizes = array("I"), np.empty(len(key), np.int64)
+                for i, (a, b) in enumerate(zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)):
+                    found = self.merge(texts.data[a:b].tobytes())
+                    sizes[i] = len(found)
+                    flat.extend(found)
                 self.cache.add(key, np.arange(len(key)) + len(self.starts))
-                flat = np.fromiter((i for f in found for i in f), np.uint32)
-                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(f) for f in found]))
-                self.ids = np.concatenate([self.ids, flat])
+                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+                self.ids = np.append(self.ids, np.frombuffer(flat, np.uint32))
                 place = self.cache.get(hashes[miss])
             size[miss] = self.starts[place] - self.starts[place - 1]
         out = np.empty(int(size.sum()), np.uint32)
@@ -236,6 +237,43 @@ def _content(docs: DataFrame, ranks_path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _ids(bpe: Bpe, batch: pa.RecordBatch, id_col: str) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batch.column(1)):
+        ids, counts = bpe.encode(chunk)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.view(np.int32))
+        )
+        yield pa.RecordBatch.from_arrays([*rows_of(batch, chunk, [id_col]), lists], [id_col, "ids"])
+
+
+def _decoded(bpe: Bpe, batch: pa.RecordBatch, id_col: str) -> pa.RecordBatch:
+    lists = batch.column(1)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
+
+
+def _digested(batch: pa.RecordBatch, id_col: str, with_ids: bool) -> pa.RecordBatch:
+    lists = batch.column(1)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    texts = [hashlib.sha256(t or b"").hexdigest() for t in batch.column(2).to_pylist()]
+    columns = [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    if with_ids:
+        columns.append(lists)
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _digest_schema(id_col: str, kind: str, with_ids: bool) -> str:
+    return f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+
+
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of every whole text, one row per row of ``docs``.
 
@@ -250,12 +288,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(content.value)
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                ids, counts = bpe.encode(chunk)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.view(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([*rows_of(batch, chunk, [id_col]), lists], [id_col, "ids"])
+            yield from _ids(bpe, batch, id_col)
 
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text_"))
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>")
@@ -268,12 +301,7 @@ def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(content.value)
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            out = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
+            yield _decoded(bpe, batch, id_col)
 
     source = tokens.select(id_col, "ids")
     kind = source.schema[0].dataType.simpleString()
@@ -285,22 +313,27 @@ def with_digests(decoded: DataFrame, id_col: str = "doc_id", with_ids: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            ids = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            texts = [hashlib.sha256(t or b"").hexdigest() for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(lists)
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kind = decoded.schema[id_col].dataType.simpleString()
-    return decoded.select(id_col, "ids", "decoded").mapInArrow(
-        run,
-        f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        + ", ids array<int>" * with_ids,
-    )
+            yield _digested(batch, id_col, with_ids)
+
+    source = decoded.select(id_col, "ids", "decoded")
+    return source.mapInArrow(run, _digest_schema(id_col, source.schema[0].dataType.simpleString(), with_ids))
+
+
+def round_trip(
+    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``with_digests`` of the ids that ``encode`` gives and of the bytes that ``decode`` makes of them.
+
+    One worker of a task does all three, so that the tables of the vocabulary are
+    held once and ids are decoded where they were made.
+    """
+    content = _content(docs, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _load(content.value)
+        for batch in batches:
+            for ids in _ids(bpe, batch, id_col):
+                yield _digested(_decoded(bpe, ids, id_col), id_col, with_ids)
+
+    source = docs.select(F.col(id_col), F.col(text_col).alias("_text_"))
+    return source.mapInArrow(run, _digest_schema(id_col, source.schema[0].dataType.simpleString(), with_ids))

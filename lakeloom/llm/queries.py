@@ -213,8 +213,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS)
-    return bpe.with_digests(bpe.decode(ids, RANKS))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
 
 @query("op10_license_scan")

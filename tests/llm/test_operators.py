@@ -781,3 +781,32 @@ def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch)
     got = ngram_join.near_duplicates(frame(spark, rows), words=3, similarity=(90, 100)).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 60
     assert sum(counted) <= 4 * 60  # of 1770 pairs
+
+
+# --- one worker a task for byte-level BPE -------------------------------------
+
+
+def test_round_trip_is_encode_decode_and_digests_in_one_worker(spark, tmp_path):
+    import corpus_pipeline
+    from lakeloom.llm import queries
+
+    rows = [*AWKWARD, *((50 + i, t) for i, t in enumerate(made(7, 30)))]
+    docs = frame(spark, rows)
+    key = lambda r: repr(tuple(r))
+    steps = bpe.with_digests(bpe.decode(bpe.encode(docs, RANKS), RANKS), with_ids=True)
+    assert sorted(bpe.round_trip(docs, RANKS, with_ids=True).collect(), key=key) == sorted(steps.collect(), key=key)
+    assert bpe.round_trip(empty(spark), RANKS).collect() == []
+    plans = [corpus_pipeline.encode(spark, docs, str(tmp_path)), queries.op9(spark, "/root/testdata/sf0.001")]
+    for df in plans:
+        # each step of its own in a plan is one more Python worker a task
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_cache_of_ids_may_start_over(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_IDS", 50)
+    with open(RANKS, "rb") as file:
+        made_of = bpe.Bpe(bpe.read_ranks(file.read()))
+    library = tiktoken_encoding()
+    for said in made(9, 12):
+        (chunk,) = text.chunks(pa.array([said]))
+        assert made_of.encode(chunk)[0].tolist() == library.encode_ordinary(said)
