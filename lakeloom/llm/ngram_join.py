@@ -188,6 +188,8 @@ _PAIRS = (
     "gram bigint, set_id bigint, n bigint, rare bigint"
 )
 _BLOCK_ROW = ("gram", "set_id", "n", "rare")
+#: A pair of sets, their sizes and the rare n-grams in their prefixes.
+_PAIR = ("a", "b", "na", "nb", "ra", "rb")
 
 
 def _find_pairs(num: int, den: int):
@@ -307,7 +309,7 @@ def _partial_overlaps(pairs: pa.Table, segments: pa.Table) -> pa.Table:
 
 
 def _near_each_other(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with a ``key`` that those of one group of similar sets mostly share.
+    """``pairs`` (a, b, na, nb, ra, rb) with a ``key`` that those of one group of similar sets mostly share.
 
     It is the least set that ``a`` is paired with, so that segments of a group go
     to one task instead of one for each of its sets. Where more pairs than a task
@@ -320,7 +322,7 @@ def _near_each_other(pairs: DataFrame) -> DataFrame:
     sizes = label.groupBy("label").agg(F.sum("n").alias("pairs"))
     key = F.when(F.col("pairs") <= TASK_PAIRS, F.col("label")).otherwise(F.col("set_id"))
     keys = label.join(sizes, "label").select(F.col("set_id").alias("a"), key.alias("key"))
-    return pairs.join(keys, "a").select("a", "b", "na", "nb", "key")
+    return pairs.join(keys, "a").select(*_PAIR, "key")
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, label: str) -> DataFrame:
@@ -352,7 +354,9 @@ def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den
     """(pairs, leaders) of the next round for blocks that hold several components.
 
     A block's rows are (gram, frequent, set_id, n, rare, root). Leaders come from
-    outside its largest component, sets of small components first. A leader
+    outside its largest component, sets of small components first, of these the ones
+    with the fewest rare n-grams: a set near the middle of its group has few of its own,
+    and it is so in all its blocks, so that they choose the same leaders. A leader
     meets the sets of all its blocks that are in other components, and need not
     be looked at again. All its meetings with one set are counted up in one place
     and make one pair or none: what the two share of their prefixes decides.
@@ -364,7 +368,7 @@ def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den
     )
     open_ = blocks.join(largest.where("n_roots > 1").select("gram", "largest"), "gram")
     outside = open_.where("root <> largest").join(parts, ["gram", "root"])
-    rank = F.row_number().over(Window.partitionBy("gram").orderBy("size", "root", "set_id"))
+    rank = F.row_number().over(Window.partitionBy("gram").orderBy("size", _own("rare"), "root", "set_id"))
     chosen = outside.withColumn("rank", rank).where(F.col("rank") <= leaders).select("set_id").distinct()
     chosen = materialize(chosen, "leaders")
     # an n-gram's leaders lie in rows of about LEADER_ROW, and its sets meet a row at a time
@@ -406,7 +410,7 @@ def _leader_pairs(blocks: DataFrame, few: DataFrame, leaders: int, num: int, den
         met.unionByName(besides)
         .repartition("set_id")
         .sortWithinPartitions("set_id")
-        .mapInArrow(_meetings(num, den), "a bigint, b bigint, na bigint, nb bigint, key bigint")
+        .mapInArrow(_meetings(num, den), "a bigint, b bigint, na bigint, nb bigint, ra bigint, rb bigint, key bigint")
     )
     # two leaders meet from both sides
     return _once(found), chosen
@@ -449,10 +453,10 @@ def _meetings(num: int, den: int):
         most = (num + den) * np.minimum(na - ra + shared, nb - rb + shared)
         possible = np.where((ra >= 0) & (rb >= 0), most >= num * (na + nb), shared >= need)
         keep = ((often > 0) & (often >= need)) | ((rarely > 0) & possible)
-        left, right, na, nb = (x[keep] for x in (left, right, na, nb))
+        left, right, na, nb, ra, rb = (x[keep] for x in (left, right, na, nb, ra, rb))
         swap = left > right
-        columns = [np.minimum(left, right), np.maximum(left, right), np.where(swap, nb, na), np.where(swap, na, nb), left]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "na", "nb", "key"])
+        ends = [np.where(swap, y, x) for a, b in ((left, right), (na, nb), (ra, rb)) for x, y in ((a, b), (b, a))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*ends, left)], [*_PAIR, "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -483,8 +487,13 @@ def _possible(na: str, nb: str, ra: str, rb: str, shared: str, num: int, den: in
     return f"{num + den} * least({na} - {ra} + {shared}, {nb} - {rb} + {shared}) >= {num} * ({na} + {nb})"
 
 
+def _own(rare: str) -> Column:
+    """To order sets by the rare n-grams in their prefix; those whose prefix holds no others come last."""
+    return F.when(F.col(rare) >= 0, F.col(rare)).otherwise(F.lit(2**31 - 1))
+
+
 def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.max("key").alias("key"))
+    return pairs.groupBy(*_PAIR).agg(F.max("key").alias("key"))
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, ...]:
@@ -568,7 +577,7 @@ def near_duplicates(
     """
     num, den = similarity
     source, members, counted, blocks = _candidates(docs, id_col, text_col, words, num, den)
-    pairs = _near_each_other(counted.where("enough").select("a", "b", "na", "nb"))
+    pairs = _near_each_other(counted.where("enough").select(*_PAIR))
     few = counted.where("not enough").select("a", "b", "hits")
     roots = _linked(source, members, pairs, few, blocks, words, num, den)
     named = members.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
@@ -596,15 +605,21 @@ def _verified(source, members, pairs: DataFrame, words: int, num: int, den: int,
     return _verify(pairs, segments, num, den, f"links{number}")
 
 
-def _least_others(pairs: DataFrame, label: str) -> DataFrame:
-    """Of each set's pairs the one with the least other set, written."""
-    least = (
-        pairs.select(F.col("a").alias("set_id"), F.col("b").alias("other"))
-        .unionByName(pairs.select(F.col("b").alias("set_id"), F.col("a").alias("other")))
+def _likeliest_others(pairs: DataFrame, label: str) -> DataFrame:
+    """Of each set's pairs the one whose other set has the fewest rare n-grams, then the least, written.
+
+    What a set has in common with a group it shares with many; a rare n-gram is
+    mostly its own and counts against every pair. So most of a group of near
+    copies meets the set at its middle, which is similar to them even where they
+    are not similar to each other.
+    """
+    likeliest = (
+        pairs.select(F.col("a").alias("set_id"), F.col("b").alias("other"), _own("rb").alias("own"))
+        .unionByName(pairs.select(F.col("b").alias("set_id"), F.col("a").alias("other"), _own("ra").alias("own")))
         .groupBy("set_id")
-        .agg(F.min("other").alias("other"))
+        .agg(F.min(F.struct("own", "other"))["other"].alias("other"))
     )
-    ends = least.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+    ends = likeliest.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
     return materialize(pairs.join(ends, ["a", "b"], "left_semi"), f"first{label}")
 
 
@@ -622,14 +637,14 @@ def _linked(source, members, pairs, few, blocks, words, num, den) -> DataFrame:
         """Roots after the links among ``pairs``, a written table, and whether there were any.
 
         A pair within a component need not be looked at, and one link a set joins most
-        of a group. So each set meets the least other it is paired with first; of
+        of a group. So each set meets the likeliest other it is paired with first; of
         what is left, the pairs between components go on to the next round.
         """
         grown = False
         for step in range(SPARSE + 1):
             label = f"{number}_{step}"
-            now = _least_others(pairs, label) if step < SPARSE else pairs
-            links = _verified(source, members, now, words, num, den, label).select("a", "b")
+            now = _likeliest_others(pairs, label) if step < SPARSE else pairs
+            links = _verified(source, members, now.drop("ra", "rb"), words, num, den, label).select("a", "b")
             if roots is None or not links.isEmpty():
                 grown = True
                 if roots is not None:

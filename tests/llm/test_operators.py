@@ -810,3 +810,18 @@ def test_cache_of_ids_may_start_over(monkeypatch):
     for said in made(9, 12):
         (chunk,) = text.chunks(pa.array([said]))
         assert made_of.encode(chunk)[0].tolist() == library.encode_ordinary(said)
+
+
+def test_a_group_meets_the_set_at_its_middle_first(spark, monkeypatch):
+    """Copies with two changes are similar to the text they come from, not to each other: most met sets they are not similar to."""
+    base = [f"w{j}" for j in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 100):
+        copy = list(base)
+        copy[i], copy[(i + 50) % 150] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(copy)))
+    counted, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: counted.append(pairs.count()) or verify(pairs, *rest))
+    got = ngram_join.near_duplicates(frame(spark, rows), words=3, similarity=(90, 100)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 100
+    assert sum(counted) <= 2 * 100  # of 4950 pairs
