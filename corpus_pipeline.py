@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    pa.default_memory_pool().release_unused()  # the sample's texts, which the driver needs no more
     found = toxicity.score(docs, model, id_col=KEY).where("predicted = 1")
     return _without(docs, found.withColumnRenamed(KEY, "doc_id"), "toxic")
 
